@@ -53,6 +53,12 @@ def _piece(buf: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return a, mix((sums[z + 1] - sums[a]) * powers(_BASE_INV, len(buf))[a] + (z - a).astype(np.uint64))
 
 
+def span_hashes(buf: np.ndarray, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
+    """The hash of the bytes of each span start..stop."""
+    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_BYTE[buf] * powers(_BASE, len(buf)), dtype=np.uint64)])
+    return mix((sums[stop] - sums[start]) * powers(_BASE_INV, len(buf) + 1)[start] + (stop - start).astype(np.uint64))
+
+
 def word_hashes(buf: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The hash of each word of all rows, and the offsets of each row's words (as `ends` for bytes).
 
