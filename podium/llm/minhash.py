@@ -11,10 +11,13 @@ from pyspark.sql import functions as F
 
 from podium.llm.common import materialize, slices, text_buffer
 from podium.llm.hashing import LOWER, mix, window_hashes, word_hashes
-from podium.llm.near import similar_classes
+from podium.llm.components import components
+from podium.llm.near import Rest, similar_classes, with_class
 
 _U = np.uint64
 BANDS, BAND_ROWS = 32, 4
+#: Shingles on each side of a block of sets that are compared with each other at once.
+BLOCK = 500_000
 
 
 def shingle_sets(buf: np.ndarray, ends: np.ndarray, width: int) -> list[np.ndarray]:
@@ -102,6 +105,86 @@ def _sets(width: int):
     return run
 
 
+def common_counts(x: list[np.ndarray], y: list[np.ndarray]) -> np.ndarray:
+    """Sizes of the intersections of all sets of x with all of y; the sets' values are distinct.
+
+    Values in few sets are counted pair by pair, the others by a product of 0/1 matrices, some thousand values at a time.
+    """
+    rows = [np.repeat(np.arange(len(s)), [len(v) for v in s]) for s in (x, y)]
+    values = np.concatenate([*x, *y])
+    _, code = np.unique(values, return_inverse=True)
+    codes = code[: len(rows[0])], code[len(rows[0]) :]
+    size = int(code.max()) + 1 if len(code) else 0
+    many = [np.bincount(c, minlength=size) for c in codes]
+    out = np.zeros((len(x), len(y)), np.float32)
+    product = many[0] * many[1]
+    light = (product > 0) & (product <= 16)
+    # light values: each row of x that has one, with each row of y that has it
+    order = np.argsort(codes[1], kind="stable")
+    start = np.concatenate([[0], np.cumsum(many[1])])
+    own = np.flatnonzero(light[codes[0]])
+    n = many[1][codes[0][own]]
+    at = np.repeat(start[codes[0][own]] - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
+    np.add.at(out, (np.repeat(rows[0][own], n), rows[1][order[at]]), 1)
+    heavy = np.flatnonzero(product > 16)
+    place = np.full(size, -1)
+    for a in range(0, len(heavy), 4096):
+        part = heavy[a : a + 4096]
+        place[part] = np.arange(len(part))
+        sides = []
+        for s, r, c in zip((x, y), rows, codes, strict=True):
+            m = np.zeros((len(s), len(part)), np.float32)
+            ok = place[c] >= 0
+            m[r[ok], place[c[ok]]] = 1
+            sides.append(m)
+        out += sides[0] @ sides[1].T
+        place[part] = -1
+    return out.astype(np.int64)
+
+
+def blocks_of_strangers(percent: int) -> Rest:
+    """The rest by blocks: in each group of ids that share buckets, directly or not, blocks of strangers (ids outside the
+    group's largest component) meet blocks of all ids. A task holds two blocks; one link for each stranger and component
+    leaves it."""
+
+    def link(table: pa.Table) -> pa.Table:
+        ids, comp, mine = (table[c].to_numpy(zero_copy_only=False) for c in ("id", "component", "stranger"))
+        flat = table["shingles"].combine_chunks()
+        ends = flat.offsets.to_numpy()
+        values = flat.values.to_numpy(zero_copy_only=False)
+        sets = [values[a:b] for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
+        x, y = np.flatnonzero(mine), np.flatnonzero(~mine)
+        found = []
+        if len(x) and len(y):
+            size = np.diff(ends)
+            common = common_counts([sets[i] for i in x], [sets[i] for i in y])
+            union = size[x][:, None] + size[y][None, :] - common
+            a, b = np.nonzero((100 * common >= percent * union) & (comp[x][:, None] != comp[y][None, :]))
+            keys = np.unique(np.stack([ids[x[a]], comp[y[b]]]), axis=1, return_index=True)[1]
+            found = [(ids[x[a[k]]], ids[y[b[k]]]) for k in keys]
+        return pa.table({"a": pa.array([int(p) for p, _ in found], pa.int64()), "b": pa.array([int(q) for _, q in found], pa.int64())})
+
+    def rest(rows: DataFrame, sets: DataFrame, met: DataFrame) -> DataFrame:
+        group = components(met.select(F.col("id").alias("a"), F.col("hub").alias("b"))).withColumnRenamed("component", "grp").withColumnRenamed("node", "id")
+        known = rows.select("id", "component").distinct()
+        every = materialize(with_class(met.select("id", "n").distinct().join(group, "id"), known.withColumnRenamed("id", "node")), "members")
+        # ids of closed buckets only are in one component with their buckets; theirs isn't known here, so they are no strangers
+        each = every.join(rows.select("id").distinct(), "id", "left_semi")
+        main = each.groupBy("grp", "component").count().groupBy("grp").agg(F.max_by("component", F.struct("count", "component")).alias("main"))
+        each = each.join(main, "grp").withColumn("stranger", F.col("component") != F.col("main"))
+        blocks = lambda total: F.greatest(F.lit(1), F.ceil(total / F.lit(BLOCK))).cast("int")
+        sizes = each.groupBy("grp").agg(blocks(F.sum("n")).alias("ny"), blocks(F.sum(F.when(F.col("stranger"), F.col("n")).otherwise(0))).alias("nx"), F.max("stranger").alias("any"))
+        each = each.join(sizes.where("any"), "grp").join(sets, "id")
+        to = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
+        own = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
+        columns = ["grp", "i", "j", "id", "component", "stranger", "shingles"]
+        x = each.where("stranger").withColumn("i", own("nx")).withColumn("j", F.explode(to("ny")))
+        y = each.withColumn("stranger", F.lit(False)).withColumn("j", own("ny")).withColumn("i", F.explode(to("nx")))
+        return x.select(columns).unionByName(y.select(columns)).groupBy("grp", "i", "j").applyInArrow(link, "a long, b long")
+
+    return rest
+
+
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, bands: int = BANDS, rows: int = BAND_ROWS) -> DataFrame:
     """docs(doc_id long, text) -> (doc_id, n_shingles, component_id, kept), a row for each doc_id.
 
@@ -134,7 +217,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, bands: i
         both = pairs.join(y, "b").join(x, "a").withColumn("common", F.size(F.array_intersect("x", "y")).cast("long"))
         return both.where(f"100 * common >= {percent} * (size(x) + size(y) - common)").select("a", "b").distinct()
 
-    found = similar_classes(buckets, verify, percent, prepare)
+    found = similar_classes(buckets, prepare, verify, blocks_of_strangers(percent))
     of = leads.join(found.withColumnRenamed("node", "id"), "id", "left").select("key1", "key2", F.coalesce("component", "id").alias("component"))
     joined = copies.join(of, ["key1", "key2"]).select("doc_id", F.col("component").alias("component_id"))
     sized = one.select("doc_id", F.col("s.n_shingles").alias("n_shingles"))

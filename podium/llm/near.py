@@ -1,9 +1,9 @@
 """From banded buckets to verified classes, without all pairs of a bucket.
 
-A bucket's smallest member is its hub. Star edges hub - member are checked first and joined into components; then
-only members whose component differs from their bucket's main one are compared with the bucket. Pairs within a
-component need no check: they are linked already. So a group of n near copies costs about n checks, and no link
-between members of one bucket is lost.
+A bucket's smallest member is its hub. Star edges hub - member are checked first and joined into components. Members whose
+component differs from their bucket's main one ("strangers") are then checked against the smallest stranger and the hub of
+each of their buckets. What is still open after that goes to `rest`, which must leave no pair of a bucket out. Pairs within a
+component need no check: they are linked already. So a group of n near copies costs about n checks.
 """
 
 from __future__ import annotations
@@ -18,36 +18,46 @@ from podium.llm.components import components
 
 #: (pairs(a, b), what prepare made) -> those of them that are similar, (a, b)
 Verify = Callable[[DataFrame, DataFrame], DataFrame]
+#: (rows of open buckets, what prepare made, all rows met) -> links (a, b)
+Rest = Callable[[DataFrame, DataFrame, DataFrame], DataFrame]
 
 
-def _with_class(rows: DataFrame, found: DataFrame) -> DataFrame:
+def with_class(rows: DataFrame, found: DataFrame) -> DataFrame:
     return rows.join(found.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
 
 
-def similar_classes(buckets: DataFrame, verify: Verify, size_percent: int, prepare: Callable[[DataFrame], DataFrame]) -> DataFrame:
+def open_buckets(met: DataFrame, found: DataFrame) -> DataFrame:
+    """Rows of buckets that have several components, with component and the bucket's main one (that of its hub)."""
+    rows = with_class(met, found)
+    mixed = rows.groupBy("bucket").agg(F.min("component").alias("main"), F.max("component").alias("other")).where("main < other")
+    return rows.join(mixed.select("bucket", "main"), "bucket")
+
+
+def pairs_of_strangers(verify: Verify) -> Rest:
+    """The rest by DataFrame joins: each stranger with all of its bucket."""
+
+    def rest(rows: DataFrame, store: DataFrame, met: DataFrame) -> DataFrame:
+        x, y = rows.where("component != main").alias("x"), rows.alias("y")
+        pairs = x.join(y, F.expr("x.bucket = y.bucket and x.component != y.component and (y.component = y.main or x.id < y.id)"))
+        pairs = pairs.select(F.expr("least(x.id, y.id)").alias("a"), F.expr("greatest(x.id, y.id)").alias("b")).distinct()
+        return verify(materialize(pairs, "pairs"), store)
+
+    return rest
+
+
+def similar_classes(buckets: DataFrame, prepare: Callable[[DataFrame], DataFrame], verify: Verify, rest: Rest) -> DataFrame:
     """buckets(bucket long, id long, n long) -> (node, component): the classes of ids under verified links.
 
-    n is the size of an id's set; pairs of sizes that can't reach size_percent are not compared. Only ids with a link
-    are returned. An id may be in many buckets; one in a bucket of its own is never compared. prepare gets the ids (id) that
-    share a bucket with another and makes what verify needs of them, once.
+    n is the size of an id's set. Only ids with a link are returned. An id may be in many buckets; one in a bucket of its own is
+    never compared. prepare gets the ids (id) that share a bucket with another and makes what verify needs of them, once.
     """
     hubs = buckets.groupBy("bucket").agg(F.min("id").alias("hub"), F.max("id").alias("last"))
     met = materialize(buckets.join(hubs.where("hub < last").select("bucket", "hub"), "bucket"), "buckets")
     store = prepare(met.select("id").distinct())
     star = met.where("id != hub").groupBy("id").agg(F.min("hub").alias("hub"))
     links = materialize(verify(star.select(F.col("hub").alias("a"), F.col("id").alias("b")), store), "links")
-    fit = f"100 * least(x.n, y.n) >= {size_percent} * greatest(x.n, y.n)"
-
-    def open_buckets(found: DataFrame) -> tuple[DataFrame, DataFrame]:
-        """Rows of buckets that still have several components, and those of them outside the bucket's main one."""
-        rows = _with_class(met, found)
-        mixed = rows.groupBy("bucket").agg(F.min("component").alias("main"), F.max("component").alias("other")).where("main < other")
-        rows = rows.join(mixed.select("bucket", "main"), "bucket")
-        return rows, rows.where("component != main")
-
-    # a second star: each stranger with the smallest stranger of its bucket, and each with its bucket's hub
     found = materialize(components(links), "classes")
-    rows, strangers = open_buckets(found)
+    strangers = open_buckets(met, found).where("component != main")
     seconds = strangers.groupBy("bucket").agg(F.min("id").alias("second"))
     met_second = strangers.join(seconds, "bucket")
     more = met_second.select(F.least("id", "second").alias("a"), F.greatest("id", "second").alias("b")).unionByName(
@@ -55,14 +65,9 @@ def similar_classes(buckets: DataFrame, verify: Verify, size_percent: int, prepa
     )
     more = materialize(more.where("a != b").distinct(), "pairs")
     links = materialize(links.unionByName(verify(more, store)), "links")
-    # what is left: strangers against all of their bucket
     found = materialize(components(links), "classes")
-    rows, strangers = open_buckets(found)
-    x = strangers.alias("x")
-    y = rows.alias("y")
-    rest = x.join(y, F.expr(f"x.bucket = y.bucket and x.component != y.component and (y.component = y.main or x.id < y.id) and {fit}"))
-    rest = rest.select(F.expr("least(x.id, y.id)").alias("a"), F.expr("greatest(x.id, y.id)").alias("b")).distinct()
-    rest = materialize(rest.join(more, ["a", "b"], "left_anti"), "pairs")
-    if rest.isEmpty():
+    rows = materialize(open_buckets(met, found), "open")
+    if rows.isEmpty():
         return found
-    return components(links.unionByName(verify(rest, store)))
+    last = materialize(rest(rows, store, met), "links")
+    return found if last.isEmpty() else components(links.unionByName(last))

@@ -21,7 +21,8 @@ _CHUNK = 1 << 14
 class Settings:
     """sizes: n-gram lengths in characters. bits: of the feature hash. alpha: smoothing of counts.
 
-    max_features: how many n-grams the linear model takes, the ones whose document shares differ most between classes.
+    max_features: how many n-grams the linear model takes, the ones whose document shares differ most between classes, among
+    those with a log-count ratio of at least min_ratio either way.
     sample_rows: at most about so many labelled rows, picked by a hash of doc_id, fit the linear weights (on the driver);
     counts and ratios come from all labelled rows. penalty, steps, rate: of the fit.
     """
@@ -29,8 +30,9 @@ class Settings:
     sizes: tuple[int, ...] = (3, 4, 5)
     bits: int = 20
     alpha: float = 1.0
-    max_features: int = 20_000
-    sample_rows: int = 20_000
+    max_features: int = 10_000
+    min_ratio: float = 0.9
+    sample_rows: int = 10_000
     penalty: float = 1e-4
     steps: int = 150
 
@@ -153,7 +155,7 @@ def train(labelled: DataFrame, sample: DataFrame, settings: Settings | None = No
     ratio = np.log(shares[1] / shares[0])
     both = (counts.sum(0) + a) / (rows.sum() + 2 * a)
     z = (shares[1] - shares[0]) / np.sqrt(both * (1 - np.minimum(both, 1 - 1e-9)) * (1 / (rows[0] + 2 * a) + 1 / (rows[1] + 2 * a)))
-    z[counts.sum(0) == 0] = 0
+    z[(counts.sum(0) == 0) | (np.abs(ratio) < settings.min_ratio)] = 0
     features = np.sort(np.argsort(-np.abs(z), kind="stable")[: settings.max_features])
     features = features[np.abs(z[features]) >= 3]
     got = sample.select("text", "label").mapInArrow(_list(settings, features), "label long, features binary").collect()
