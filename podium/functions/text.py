@@ -8,6 +8,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StringType
 
 #: Typographic characters and what they become.
 TYPOGRAPHY = (("‘", "'"), ("’", "'"), ("“", '"'), ("”", '"'), ("`", "'"), ("´", "'"), ("–", "-"), ("—", "-"), (" ", " "))
@@ -28,7 +29,7 @@ def unify_credit(c: Column) -> Column:
     return F.regexp_replace(c, r"(?i)\s+(?:featuring|feat\.?|ft\.?|w/)\s+", " & ")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def fold(s: pd.Series) -> pd.Series:
     """Lower case without combining marks (NFKD): Spark has no built-in for it. Call it on distinct strings."""
     return s.map(lambda x: None if x is None else "".join(c for c in unicodedata.normalize("NFKD", x) if not unicodedata.combining(c)).lower())
@@ -68,7 +69,7 @@ def contained(a: Column, b: Column) -> Column:
     return F.when(F.size(a) == 0, F.lit(0.0)).otherwise(F.size(F.array_intersect(a, b)) / F.size(a))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def similarity(a: pd.Series, b: pd.Series) -> pd.Series:
     """Twice the matching characters over all characters (longest blocks first), as difflib counts them."""
     return pd.Series([None if x is None or y is None else difflib.SequenceMatcher(None, x, y).ratio() for x, y in zip(a, b, strict=True)], dtype="float64")

@@ -5,8 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-_ARTIST = F.substring_index
-
 
 def week_chart(entries: DataFrame, chart: str, year: int, week: int) -> DataFrame:
     return entries.where((F.col("lijst") == chart) & (F.col("jaar") == year) & (F.col("week") == week)).select("positie", "titel", "artiest", "sleutel")

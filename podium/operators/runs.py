@@ -4,11 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.window import WindowSpec
 
 from podium.operators.points import best_positions
 
 _SONG = ("lijst", "sleutel")
-_BY_IDX = Window.partitionBy(*_SONG).orderBy("idx")
+
+
+def _by_idx() -> WindowSpec:
+    return Window.partitionBy(*_SONG).orderBy("idx")
 
 
 def calendar_index(entries: DataFrame) -> DataFrame:
@@ -30,7 +34,7 @@ def sequence(entries: DataFrame) -> DataFrame:
 
 def with_island(seq: DataFrame) -> DataFrame:
     """island: equal for editions that follow each other without a gap."""
-    return seq.withColumn("island", F.col("idx") - F.row_number().over(_BY_IDX))
+    return seq.withColumn("island", F.col("idx") - F.row_number().over(_by_idx()))
 
 
 def runs(entries: DataFrame) -> DataFrame:
@@ -60,7 +64,7 @@ def highest_entries(entries: DataFrame) -> DataFrame:
 
 def biggest_jumps(entries: DataFrame) -> DataFrame:
     """The largest rise between editions that follow each other, above zero, the latest on ties."""
-    seq = sequence(entries).select(*_SONG, "idx", "positie", F.lag("idx").over(_BY_IDX).alias("pi"), F.lag("positie").over(_BY_IDX).alias("pp"))
+    seq = sequence(entries).select(*_SONG, "idx", "positie", F.lag("idx").over(_by_idx()).alias("pi"), F.lag("positie").over(_by_idx()).alias("pp"))
     rise = seq.where("pi = idx - 1 and pp > positie").withColumn("sprong", F.col("pp") - F.col("positie"))
     return rise.groupBy(*_SONG).agg(F.max(F.struct("sprong", "idx")).alias("m")).select(*_SONG, "m.sprong", "m.idx")
 
@@ -75,7 +79,7 @@ def climbs_to_one(entries: DataFrame) -> DataFrame:
 
 def longest_absences(entries: DataFrame) -> DataFrame:
     """The most editions between two runs of a song, the latest on ties."""
-    gap = sequence(entries).select(*_SONG, "idx", (F.col("idx") - F.lag("idx").over(_BY_IDX)).alias("stap")).where("stap > 1")
+    gap = sequence(entries).select(*_SONG, "idx", (F.col("idx") - F.lag("idx").over(_by_idx())).alias("stap")).where("stap > 1")
     return gap.groupBy(*_SONG).agg(F.max(F.struct("stap", "idx")).alias("m")).select(*_SONG, "m.stap", "m.idx")
 
 
@@ -98,7 +102,7 @@ def waves(entries: DataFrame, gap: int = 2) -> DataFrame:
 
 def delta_to_last(entries: DataFrame) -> DataFrame:
     """Difference to the last charted position, over gaps; null for the first."""
-    return sequence(entries).select(*_SONG, "idx", "positie", (F.lag("positie").over(_BY_IDX) - F.col("positie")).alias("verschil"))
+    return sequence(entries).select(*_SONG, "idx", "positie", (F.lag("positie").over(_by_idx()) - F.col("positie")).alias("verschil"))
 
 
 def friday(year: Column, week: Column) -> Column:
