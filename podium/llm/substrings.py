@@ -44,7 +44,7 @@ def _ask(width: int, buckets: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.schema([("bucket", pa.int32()), ("docs", pa.list_(pa.int64())), ("groups", pa.list_(pa.int32())), ("counts", pa.list_(pa.int32())), ("hashes", pa.binary()), ("doc", pa.int64()), ("text_key", pa.int64()), ("bits", pa.binary())])
         for batch in batches:
-            for part in slices(batch, "text", 24_000_000):
+            for part in slices(batch, "text", 10_000_000):
                 buf, ends = text_buffer(part.column("text"))
                 ids = part.column("doc_id").fill_null(_NO_ID).to_numpy(zero_copy_only=False)
                 group = dict(zip(ids.tolist(), part.column("grp").to_pylist(), strict=True))
@@ -59,6 +59,7 @@ def _ask(width: int, buckets: int):
                 mark = np.zeros(len(hashes), bool)
                 mark[order[local]] = True
                 h, doc = h[first], least
+                del hashes, order, local
                 bucket = ((h >> np.uint64(32)) % np.uint64(buckets)).astype(np.int32)
                 order = np.lexsort((doc, bucket))
                 h, doc, bucket = h[order], doc[order], bucket[order]

@@ -200,7 +200,8 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, settings: Settings | None
     known = known.where(F.col("label").isNotNull() & ~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("label").alias("label"))
     n = known.count()
     pick = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < int((1 << 20) * min(1.0, settings.sample_rows / max(n, 1)))
-    labelled = docs.where(~held_out(F.col("doc_id"))).join(known, "doc_id")
+    # the same plan at every size: labels grow with the input, so neither side is broadcast
+    labelled = docs.where(~held_out(F.col("doc_id"))).join(known.hint("merge"), "doc_id")
     # about sample_rows ids at most: small enough to broadcast at any size of the input
     sample = docs.join(F.broadcast(known.where(pick)), "doc_id")
     model = train(labelled, sample, settings)
