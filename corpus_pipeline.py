@@ -49,7 +49,7 @@ STAGES: list[tuple[str, Stage]] = [
     ("packing", pack),
 ]
 
-#: Compression, MinHash candidates and tokens can't be expressed in SQL; tests compare the stages with brute force.
+#: Compression, MinHash candidates and tokens can't be expressed in SQL; tests compare the operators of the stages with brute force or fixtures.
 ORACLE_SQL = None
 
 
