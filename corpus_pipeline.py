@@ -19,7 +19,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Repeated lines go; every document stays, n_chars follows its text."""
-    return lines.dedup_lines(docs).selectExpr("doc_id", "text", "lang", "source", "cast(length(text) as long) as n_chars")
+    return lines.dedup_lines(docs, lines.EVERY_LINE).selectExpr("doc_id", "text", "lang", "source", "cast(length(text) as long) as n_chars")
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

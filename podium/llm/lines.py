@@ -21,7 +21,7 @@ class Fuzzy:
 
     Lines of at least `long` shingles take their minima over the quarter of shingles whose hash says so, lines of at most
     `long` * 5 / 4 over all; those in between do both, so any two lines that can be similar meet in one of the two ways.
-    min_chars: shorter lines (white space trimmed) are left alone.
+    min_chars: shorter lines (white space trimmed) are left alone; 1 compares every line that isn't blank.
     """
 
     shingle: int = 7
@@ -33,6 +33,10 @@ class Fuzzy:
     seed: int = 11
 
 
+#: What the query and the pipeline use: every line that isn't blank.
+EVERY_LINE = Fuzzy(min_chars=1)
+
+
 def _trimmed(line: Column) -> Column:
     return F.btrim(line, F.lit(" \t\n\x0b\x0c\r"))
 
@@ -52,10 +56,13 @@ def _n(wide: Column, size: int) -> Column:
 
 
 def line_buckets(lines: DataFrame, how: Fuzzy) -> DataFrame:
-    """lines(id, line) -> (bucket, id, n): the bands of each distinct line, n = shingles with repeats."""
+    """lines(id, line) -> (bucket, id, n): the bands of each distinct line, n = shingles with repeats.
+
+    A line shorter than a shingle is similar to equal lines only, and those have one id already.
+    """
     rng = random.Random(how.seed)
     masks = [rng.getrandbits(32) - (1 << 31) for _ in range(how.bands * how.rows)]
-    wide = lines.select("id", _wide(F.col("line")).alias("wide"))
+    wide = lines.where(F.length("line") >= how.shingle).select("id", _wide(F.col("line")).alias("wide"))
     wide = wide.select("id", "wide", _n(F.col("wide"), how.shingle).alias("n"))
     zero, one = F.lit(0), F.lit(1)
     ways = F.when(F.col("n") < how.long, F.array(zero)).when(F.col("n") > how.long * 5 // 4, F.array(one)).otherwise(F.array(zero, one))

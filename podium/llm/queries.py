@@ -47,7 +47,7 @@ def op8_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_fuzzy_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = lines.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    found = lines.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"), lines.EVERY_LINE)
     return found.select("doc_id", "n_lines", "n_removed", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
 
 

@@ -2,6 +2,7 @@
 
 import random
 import re
+import tempfile
 import zlib
 from collections import Counter, defaultdict
 
@@ -171,6 +172,20 @@ def test_fuzzy_lines(spark):
     assert lines.dedup_lines(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
+def test_fuzzy_lines_short(spark):
+    """The query and the pipeline's stage take every line that isn't blank, also those shorter than a shingle."""
+    import corpus_pipeline
+    from podium.llm import queries
+
+    rows = [(1, "Read more\n\n}\nonly here"), (2, " Read more\n\n}\n}"), (3, "own text\nRead more\n")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "'en' lang", "'s' source", "0L n_chars")
+    kept = {1: rows[0][1], 2: "", 3: "own text\n"}
+    assert {r.doc_id: r.text for r in corpus_pipeline.line_dedup(spark, docs, "").collect()} == kept
+    path = tempfile.mkdtemp(prefix="spark-")
+    docs.write.parquet(f"{path}/documents.parquet")
+    assert {r.doc_id: r.n_removed for r in queries.op9_fuzzy_lines(spark, path).collect()} == {1: 0, 2: 3, 3: 1}
+
+
 def test_toxicity(spark):
     rng = random.Random(4)
     plain = [f"word{i}" for i in range(300)]
