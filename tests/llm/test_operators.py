@@ -186,6 +186,21 @@ def test_fuzzy_lines_short(spark):
     assert {r.doc_id: r.n_removed for r in queries.op9_fuzzy_lines(spark, path).collect()} == {1: 0, 2: 3, 3: 1}
 
 
+def test_fuzzy_lines_recall(spark):
+    """Every pair of lines just above 80 % by brute force shares a bucket."""
+    rng, rows = random.Random(8), []
+    for k in range(3000):
+        n = (24, 60, 106, 220)[k % 4]
+        a = "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(n))
+        b = a[: n - (n - 6) // 9] + "".join(rng.choice("ABCDEFGHIJ") for _ in range((n - 6) // 9))
+        x, y = ({t[i : i + 7] for i in range(n - 6)} for t in (a, b))
+        assert 80 * len(x | y) <= 100 * len(x & y) < 86 * len(x | y)
+        rows += [(2 * k, a), (2 * k + 1, b)]
+    buckets = lines.line_buckets(spark.createDataFrame(rows, "id long, line string"), lines.Fuzzy())
+    met = buckets.groupBy("bucket", F.expr("id div 2").alias("pair")).agg(F.countDistinct("id").alias("n")).where("n = 2")
+    assert met.select("pair").distinct().count() == 3000
+
+
 def test_toxicity(spark):
     rng = random.Random(4)
     plain = [f"word{i}" for i in range(300)]
