@@ -20,8 +20,7 @@ class Fuzzy:
     """shingle: characters of a shingle. percent: least 100 * intersection / union. bands of rows minima each: two lines at
     80 % share none of 20 bands of 3 with a probability of (1 - 0.8^3)^20 = 6e-7.
 
-    Lines of at least `long` shingles take their minima over the quarter of shingles whose hash says so, lines of at most
-    `long` * 5 / 4 over all; those in between do both, so any two lines that can be similar meet in one of the two ways.
+    Minima are over all shingles of a line, whatever its length, so that lines with equal sets share all bands.
     min_chars: shorter lines (white space trimmed) are left alone; 1 compares every line that isn't blank.
     """
 
@@ -29,7 +28,6 @@ class Fuzzy:
     percent: int = 80
     bands: int = 20
     rows: int = 3
-    long: int = 160
     min_chars: int = 20
     seed: int = 11
 
@@ -65,17 +63,13 @@ def line_buckets(lines: DataFrame, how: Fuzzy) -> DataFrame:
     masks = [rng.getrandbits(32) - (1 << 31) for _ in range(how.bands * how.rows)]
     wide = lines.where(F.length("line") >= how.shingle).select("id", _wide(F.col("line")).alias("wide"))
     wide = wide.select("id", "wide", _n(F.col("wide"), how.shingle).alias("n"))
-    zero, one = F.lit(0), F.lit(1)
-    ways = F.when(F.col("n") < how.long, F.array(zero)).when(F.col("n") > how.long * 5 // 4, F.array(one)).otherwise(F.array(zero, one))
-    wide = wide.select("id", "wide", "n", F.explode(ways).alias("way"))
     last = F.greatest(F.lit(1), F.length("wide") - (4 * how.shingle - 1))
-    each = wide.select("id", "n", "way", "wide", F.explode(F.sequence(F.lit(1), last, F.lit(4))).alias("at"))
-    each = each.select("id", "n", "way", _shingle(F.col("wide"), F.col("at"), how.shingle).alias("s"))
-    each = each.where((F.col("way") == 0) | (F.col("s").bitwiseAND(F.lit(3)) == 0))
+    each = wide.select("id", "n", "wide", F.explode(F.sequence(F.lit(1), last, F.lit(4))).alias("at"))
+    each = each.select("id", "n", _shingle(F.col("wide"), F.col("at"), how.shingle).alias("s"))
     # hashed again after the mask: masks alone give orders that depend on each other
     minima = [F.min(F.hash(F.col("s").bitwiseXOR(F.lit(m)))).alias(f"m{i}") for i, m in enumerate(masks)]
-    signed = each.groupBy("id", "way").agg(F.max("n").alias("n"), *minima)
-    bands = F.array(*[F.xxhash64(F.lit(b), "way", *[f"m{b * how.rows + r}" for r in range(how.rows)]) for b in range(how.bands)])
+    signed = each.groupBy("id").agg(F.max("n").alias("n"), *minima)
+    bands = F.array(*[F.xxhash64(F.lit(b), *[f"m{b * how.rows + r}" for r in range(how.rows)]) for b in range(how.bands)])
     return signed.select(F.explode(bands).alias("bucket"), "id", F.col("n").cast("long").alias("n"))
 
 

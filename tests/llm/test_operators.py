@@ -186,6 +186,15 @@ def test_fuzzy_lines_short(spark):
     assert {r.doc_id: r.n_removed for r in queries.op9_fuzzy_lines(spark, path).collect()} == {1: 0, 2: 3, 3: 1}
 
 
+def test_fuzzy_lines_repeated_phrases(spark):
+    """Lines whose sets are equal share all buckets, however often a phrase is repeated; few distinct shingles suffice."""
+    phrase = "click here to subscribe now! "
+    rows = [(0, phrase * 4), (1, phrase * 9), (2, "-" * 40), (3, "-" * 900), (4, "ab" * 50), (5, "ab" * 500)]
+    buckets = lines.line_buckets(spark.createDataFrame(rows, "id long, line string"), lines.Fuzzy())
+    got = {r.id: r.b for r in buckets.groupBy("id").agg(F.collect_set("bucket").alias("b")).collect()}
+    assert all(set(got[i]) == set(got[i + 1]) for i in (0, 2, 4))
+
+
 def test_fuzzy_lines_recall(spark):
     """Every pair of lines just above 80 % by brute force shares a bucket."""
     rng, rows = random.Random(8), []
