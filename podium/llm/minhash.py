@@ -18,6 +18,8 @@ _U = np.uint64
 BANDS, BAND_ROWS = 32, 4
 #: Shingles on each side of a block of sets that are compared with each other at once.
 BLOCK = 500_000
+#: Sets on each side of the matrix that a block's comparison holds at once.
+STRIP = 1_000
 
 
 def shingle_sets(buf: np.ndarray, ends: np.ndarray, width: int) -> list[np.ndarray]:
@@ -142,10 +144,32 @@ def common_counts(x: list[np.ndarray], y: list[np.ndarray]) -> np.ndarray:
     return out.astype(np.int64)
 
 
+def _strips(rows: np.ndarray, size: np.ndarray) -> list[np.ndarray]:
+    """rows in the order of their sizes, cut into pieces of at most STRIP."""
+    rows = rows[np.argsort(size[rows], kind="stable")]
+    return [rows[k : k + STRIP] for k in range(0, len(rows), STRIP)]
+
+
+def block_links(ids: np.ndarray, comp: np.ndarray, mine: np.ndarray, sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
+    """Links from the sets that are `mine` to the others in other components, one strip of each side at a time."""
+    size = np.array([len(s) for s in sets], np.int64)
+    found = []
+    for u in _strips(np.flatnonzero(mine), size):
+        for v in _strips(np.flatnonzero(~mine), size):
+            if 100 * min(size[u[-1]], size[v[-1]]) < percent * max(size[u[0]], size[v[0]]):
+                continue
+            common = common_counts([sets[i] for i in u], [sets[i] for i in v])
+            union = size[u][:, None] + size[v][None, :] - common
+            a, b = np.nonzero((100 * common >= percent * union) & (comp[u][:, None] != comp[v][None, :]))
+            keys = np.unique(np.stack([ids[u[a]], comp[v[b]]]), axis=1, return_index=True)[1]
+            found += [(ids[u[a[k]]], ids[v[b[k]]]) for k in keys]
+    return found
+
+
 def blocks_of_strangers(percent: int) -> Rest:
     """The rest by blocks: in each group of ids that share buckets, directly or not, blocks of strangers (ids outside the
-    group's largest component) meet blocks of all ids. A task holds two blocks; one link for each stranger and component
-    leaves it."""
+    group's largest component) meet blocks of all ids. A task holds two blocks and the matrix of STRIP sets of each; one link for each
+    stranger, component and strip leaves it. Strips whose sizes alone rule a link out are passed over."""
 
     def link(table: pa.Table) -> pa.Table:
         ids, comp, mine = (table[c].to_numpy(zero_copy_only=False) for c in ("id", "component", "stranger"))
@@ -153,15 +177,7 @@ def blocks_of_strangers(percent: int) -> Rest:
         ends = flat.offsets.to_numpy()
         values = flat.values.to_numpy(zero_copy_only=False)
         sets = [values[a:b] for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
-        x, y = np.flatnonzero(mine), np.flatnonzero(~mine)
-        found = []
-        if len(x) and len(y):
-            size = np.diff(ends)
-            common = common_counts([sets[i] for i in x], [sets[i] for i in y])
-            union = size[x][:, None] + size[y][None, :] - common
-            a, b = np.nonzero((100 * common >= percent * union) & (comp[x][:, None] != comp[y][None, :]))
-            keys = np.unique(np.stack([ids[x[a]], comp[y[b]]]), axis=1, return_index=True)[1]
-            found = [(ids[x[a[k]]], ids[y[b[k]]]) for k in keys]
+        found = block_links(ids, comp, mine, sets, percent)
         return pa.table({"a": pa.array([int(p) for p, _ in found], pa.int64()), "b": pa.array([int(q) for _, q in found], pa.int64())})
 
     def rest(rows: DataFrame, sets: DataFrame, met: DataFrame) -> DataFrame:

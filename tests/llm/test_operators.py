@@ -82,6 +82,21 @@ def test_common_counts():
     assert all(got[i, j] == len(np.intersect1d(a, b)) for i, a in enumerate(x) for j, b in enumerate(y))
 
 
+def test_blocks_are_bounded_by_rows(monkeypatch):
+    """Many short strangers are compared in matrices of at most STRIP sets a side, with the links of brute force."""
+    rng = np.random.default_rng(3)
+    sets = [np.unique(np.concatenate([np.arange(9) + 100 * (i % 7), rng.integers(10_000, 10_400, i % 4)])) for i in range(2600)]
+    ids, mine = np.arange(2600), np.arange(2600) % 2 == 0
+    shapes, count = [], minhash.common_counts
+    monkeypatch.setattr(minhash, "common_counts", lambda x, y: shapes.append((len(x), len(y))) or count(x, y))
+    got = set(minhash.block_links(ids, ids, mine, sets, 80))
+    assert shapes and max(map(max, shapes)) <= 1000
+    x, y = np.flatnonzero(mine), np.flatnonzero(~mine)
+    common, size = count([sets[i] for i in x], [sets[i] for i in y]), np.array([len(s) for s in sets])
+    a, b = np.nonzero(100 * common >= 80 * (size[x][:, None] + size[y][None, :] - common))
+    assert len(a) and got == set(zip(x[a].tolist(), y[b].tolist(), strict=True))
+
+
 def test_quality(spark, docs):
     got = {r.doc_id: r for r in quality.score_quality(docs).collect()}
     for i, t, *_ in corpus():
