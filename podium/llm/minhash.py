@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from podium.llm.common import materialize, slices, text_buffer
+from podium.llm.common import WORD, materialize, slices, text_buffer
 from podium.llm.hashing import LOWER, mix, window_hashes, word_hashes
 from podium.llm.components import components
 from podium.llm.near import Rest, similar_classes, with_class
@@ -89,8 +89,8 @@ def _sign(width: int, bands: int, rows: int):
                 bucket = band_hashes(signatures([sets[i] for i in some], bands * rows), bands, rows)
                 lists = np.zeros(len(sets) + 1, np.int32)
                 lists[1:] = np.cumsum(np.where(sizes > 0, bands, 0))
-                arrays = [part.column("doc_id"), pa.array(sizes), pa.array(keys[:, 0].view(np.int64)), pa.array(keys[:, 1].view(np.int64)), pa.ListArray.from_arrays(pa.array(lists), pa.array(bucket.reshape(-1).view(np.int64)))]
-                yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "n_shingles", "key1", "key2", "buckets"])
+                arrays = [part.column("doc_id"), part.column("t"), pa.array(sizes), pa.array(keys[:, 0].view(np.int64)), pa.array(keys[:, 1].view(np.int64)), pa.ListArray.from_arrays(pa.array(lists), pa.array(bucket.reshape(-1).view(np.int64)))]
+                yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "t", "n_shingles", "key1", "key2", "buckets"])
 
     return run
 
@@ -102,7 +102,7 @@ def _sets(width: int):
                 sets = shingle_sets(*text_buffer(part.column("text")), width)
                 ends = np.concatenate([[0], np.cumsum([len(s) for s in sets])]).astype(np.int32)
                 values = pa.array(np.concatenate([*sets, np.zeros(0, np.uint64)]).view(np.int64))
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.ListArray.from_arrays(pa.array(ends), values)], names=["id", "shingles"])
+                yield pa.RecordBatch.from_arrays([part.column("t"), pa.ListArray.from_arrays(pa.array(ends), values)], names=["id", "shingles"])
 
     return run
 
@@ -201,30 +201,27 @@ def blocks_of_strangers(percent: int) -> Rest:
     return rest
 
 
-def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, bands: int = BANDS, rows: int = BAND_ROWS) -> DataFrame:
-    """docs(doc_id long, text) -> (doc_id, n_shingles, component_id, kept), a row for each doc_id.
+def _keyed(docs: DataFrame) -> DataFrame:
+    """docs with t, the 64-bit hash that tells texts apart."""
+    return docs.withColumn("t", F.xxhash64("text"))
 
-    Two documents are linked if 100 * intersection >= percent * union of their sets of `width`-word shingles (A-Z
-    lower-cased; a text with fewer words is one shingle). component_id is the smallest doc_id reachable, kept says that
-    it is the document's own. Texts that are null, empty or without words have no shingles and no link. Links are
-    confirmed on the full sets. Rows with a null doc_id are not documents and are left out; of rows with the same doc_id
-    the one with the smallest set key stands for the document. Other columns are ignored.
 
-    Equal sets meet by a 128-bit key first, so that copies don't enter the buckets; `bands` buckets of `rows` minima
-    (bands * rows a power of two) miss a pair at 85 % with a probability under 1e-10, at 80 % under 1e-7.
-    """
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null")
-    signed = docs.mapInArrow(_sign(width, bands, rows), "doc_id long, n_shingles long, key1 long, key2 long, buckets array<long>")
-    signed = materialize(signed, "signatures")
-    one = signed.groupBy("doc_id").agg(F.min(F.struct("key1", "key2", "n_shingles")).alias("s"))
-    copies = one.select("doc_id", "s.*").where("n_shingles > 0")
-    # the smallest doc_id of each distinct set stands for it
-    leads = copies.groupBy("key1", "key2").agg(F.min("doc_id").alias("id"))
-    heads = signed.join(leads, (signed.doc_id == leads.id) & (signed.key1 == leads.key1) & (signed.key2 == leads.key2), "left_semi")
-    buckets = heads.select(F.explode("buckets").alias("bucket"), F.col("doc_id").alias("id"), F.col("n_shingles").alias("n"))
+def _rows(docs: DataFrame, width: int, percent: int, bands: int, rows: int) -> DataFrame:
+    """docs(doc_id long, text) -> (doc_id, t, n_shingles, component_id, kept), a row for each row."""
+    docs = _keyed(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"))
+    signed = docs.mapInArrow(_sign(width, bands, rows), "doc_id long, t long, n_shingles long, key1 long, key2 long, buckets array<long>")
+    # the number of a row holds from here on, as it is written
+    signed = materialize(signed.withColumn("row", F.monotonically_increasing_id()), "signatures")
+    some = signed.where("n_shingles > 0")
+    # one row of each distinct set stands for it: the smallest doc_id, null last; the hash of its text is the node
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "t", "row")
+    leads = materialize(some.groupBy("key1", "key2").agg(F.min(order).alias("first")).withColumn("id", F.col("first.t")), "leads")
+    heads = some.join(leads.select(F.col("first.row").alias("row")), "row", "left_semi")
+    buckets = heads.select(F.explode("buckets").alias("bucket"), F.col("t").alias("id"), F.col("n_shingles").alias("n"))
 
     def prepare(ids: DataFrame) -> DataFrame:
-        kept = docs.join(ids.withColumnRenamed("id", "doc_id"), "doc_id", "left_semi")
+        lead = leads.select("id", F.col("first.doc_id").alias("d")).join(ids, "id", "left_semi")
+        kept = docs.join(lead, (docs.t == lead.id) & docs.doc_id.eqNullSafe(lead.d), "left_semi").dropDuplicates(["t", "doc_id"])
         return materialize(kept.mapInArrow(_sets(width), "id long, shingles array<long>"), "sets")
 
     def verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -234,8 +231,38 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, bands: i
         return both.where(f"100 * common >= {percent} * (size(x) + size(y) - common)").select("a", "b").distinct()
 
     found = similar_classes(buckets, prepare, verify, blocks_of_strangers(percent))
-    of = leads.join(found.withColumnRenamed("node", "id"), "id", "left").select("key1", "key2", F.coalesce("component", "id").alias("component"))
-    joined = copies.join(of, ["key1", "key2"]).select("doc_id", F.col("component").alias("component_id"))
-    sized = one.select("doc_id", F.col("s.n_shingles").alias("n_shingles"))
-    out = sized.join(joined, "doc_id", "left").withColumn("component_id", F.coalesce("component_id", "doc_id"))
-    return out.withColumn("kept", F.col("doc_id") == F.col("component_id"))
+    # each linked set with the first row of its component
+    linked = leads.join(found.withColumnRenamed("node", "id"), "id").select("key1", "key2", "component", "first")
+    linked = linked.join(linked.groupBy("component").agg(F.min("first").alias("top")), "component").select("key1", "key2", "top")
+    tops = leads.join(linked, ["key1", "key2"], "left").select("key1", "key2", F.coalesce("top", "first").alias("top"))
+    joined = some.join(tops, ["key1", "key2"])
+    joined = joined.select("doc_id", "t", "n_shingles", F.col("top.doc_id").alias("component_id"), (F.col("row") == F.col("top.row")).alias("kept"))
+    alone = signed.where("n_shingles = 0").select("doc_id", "t", "n_shingles", F.col("doc_id").alias("component_id"), F.lit(True).alias("kept"))
+    return joined.unionByName(alone)
+
+
+def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, bands: int = BANDS, rows: int = BAND_ROWS) -> DataFrame:
+    """docs(doc_id long, text) -> (doc_id, n_shingles, component_id, kept), a row for each row of docs.
+
+    Two rows are linked if 100 * intersection >= percent * union of their sets of `width`-word shingles (A-Z lower-cased; a
+    text with fewer words is one shingle). component_id is the smallest doc_id of the rows reachable, null if all of them are
+    null. kept is true for one row of each group: the smallest doc_id, null last, then by text hash. Rows with the same doc_id
+    are rows like others. Texts that are null, empty or without words have no shingles and no link, and are kept. Links are
+    confirmed on the full sets. Other columns are ignored.
+
+    Equal sets meet by a 128-bit key first, so that copies don't enter the buckets; `bands` buckets of `rows` minima
+    (bands * rows a power of two) miss a pair at 85 % with a probability under 1e-10, at 80 % under 1e-7. Texts are told
+    apart by a 64-bit hash.
+    """
+    return _rows(docs, width, percent, bands, rows).drop("t")
+
+
+def drop_near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
+    """The rows of docs that near_duplicates keeps, with all their columns."""
+    kept = _rows(docs, width, percent, BANDS, BAND_ROWS).where("kept and n_shingles > 0").select(F.col("doc_id").alias("d"), "t")
+    with_word = F.coalesce(F.col("text").rlike(WORD), F.lit(False))
+    keyed = _keyed(docs.where(with_word))
+    # kept rows have distinct (d, t); of rows that are equal in these one stays
+    of = keyed.join(kept.withColumnRenamed("t", "kt"), (keyed.t == F.col("kt")) & keyed.doc_id.cast("long").eqNullSafe(F.col("d")), "left_semi")
+    one = of.groupBy("t", "doc_id").agg(F.min(F.struct(*docs.columns)).alias("row")).select("row.*")
+    return one.unionByName(docs.where(~with_word))

@@ -75,6 +75,24 @@ def test_minhash(spark, docs):
     assert minhash.near_duplicates(empty(spark)).count() == 0
 
 
+def test_near_dedup_null_and_repeated_ids(spark):
+    """Rows are what is compared: null doc_id, several texts under one doc_id, repeated rows."""
+    import corpus_pipeline
+
+    rng = random.Random(6)
+    a, b, c, d = (" ".join(f"w{rng.randrange(10**6)}" for _ in range(60)) for _ in range(4))
+    rows = [(None, a), (7, b), (7, c), (7, c), (3, c + " end"), (None, d), (None, d + " end"), (9, b), (None, None), (5, ""), (5, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "'en' lang", "'s' source", "0L n_chars")
+    out = minhash.near_duplicates(docs, 5, 80).collect()
+    assert Counter((r.doc_id, r.component_id) for r in out if r.n_shingles) == Counter({(None, None): 3, (7, 7): 1, (7, 3): 2, (3, 3): 1, (9, 7): 1})
+    assert len(out) == len(rows) and sum(r.kept for r in out) == 7
+    kept = corpus_pipeline.near_dedup(spark, docs, "")
+    assert kept.columns == docs.columns
+    got = Counter((r.doc_id, r.text) for r in kept.collect())
+    assert got.total() == 7 and got[None, a] == got[7, b] == got[3, c + " end"] == got[None, None] == 1 and got[5, ""] == 2
+    assert got[None, d] + got[None, d + " end"] == 1
+
+
 def test_common_counts():
     rng = np.random.default_rng(1)
     x, y = ([np.unique(rng.integers(0, 200, rng.integers(1, 80))) for _ in range(n)] for n in (30, 40))
