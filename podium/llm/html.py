@@ -84,7 +84,17 @@ _HINT = re.compile(
     r"replies|disqus|widget\w*|toolbar|pagination|pager|login|signup|search|contentinfo|complementary)(?![a-z])",
     re.I,
 )
-_HIDDEN_ATTRIBUTE = re.compile(r"(?:^|\s)hidden(?=[\s=/]|$)|display\s*:\s*none|aria-hidden\s*=\s*[\"']?true", re.I)
+_ATTRIBUTE = re.compile(r"([^\s=/>\"']+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]*)))?")
+_NO_DISPLAY = re.compile(r"display\s*:\s*none", re.I)
+
+
+def _is_hidden(attributes: str) -> bool:
+    """Whether one of the attributes hides the element: by its name, not by a word in another's value."""
+    for m in _ATTRIBUTE.finditer(attributes):
+        name, value = m[1].lower(), m[2] or m[3] or m[4] or ""
+        if name == "hidden" or (name == "aria-hidden" and value.strip().lower().startswith("true")) or (name == "style" and _NO_DISPLAY.search(value)):
+            return True
+    return False
 
 
 def blocks(page: str) -> list[tuple[str, int, int, bool, bool]]:
@@ -135,7 +145,7 @@ def blocks(page: str) -> list[tuple[str, int, int, bool, bool]]:
             elif name in _RAW:
                 end = _RAW_END[name].search(page, at)
                 at = end.end() if end else len(page)
-            elif name in _HIDDEN or _HIDDEN_ATTRIBUTE.search(attributes):
+            elif name in _HIDDEN or _is_hidden(attributes):
                 if not attributes.endswith("/") and name not in _VOID:
                     hidden.append(name)
             elif hidden:

@@ -285,3 +285,11 @@ def test_html(spark):
     got = {r.page_id: r for r in html.extract_pages(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
     assert got[2].text == "" and got[3].n_chars == 0 and got[4].n_chars == 999_999
     assert got[1].n_chars == len(html.main_text(page))
+
+
+def test_html_hidden_attribute():
+    words = "an article text of enough words to stand as the content of this page " * 2
+    for attribute in ('title="The hidden cost of tea"', 'class="flex hidden md:block"', "data-note='display:none'"):
+        assert html.main_text(f"<article><p {attribute}>{words}</p></article>") == words.strip()
+    for attribute in ("hidden", 'class=x hidden=""', 'style="color:red; display: none"', "aria-hidden=true"):
+        assert html.main_text(f"<article><p {attribute}>{words}</p></article>") == ""
