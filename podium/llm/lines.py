@@ -11,29 +11,29 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from podium.llm.common import materialize
-from podium.llm.near import pairs_of_strangers, similar_classes
+from podium.llm.common import col, materialize
+from podium.llm.near import Sets, similar_classes, sketch_words
+
+#: Words of 64 bits of a line's parity sketch.
+SKETCH = 8
 
 
 @dataclass(frozen=True)
 class Fuzzy:
-    """shingle: characters of a shingle. percent: least 100 * intersection / union. bands of rows minima each: two lines at
-    80 % share none of 20 bands of 3 with a probability of (1 - 0.8^3)^20 = 6e-7.
+    """shingle: characters of a shingle. percent: least 100 * intersection / union. minima: of a signature, and as many bands
+    of three of them. Two lines at 80 % share no band with a probability of about 1e-4 (simulated), whatever their length.
 
-    Minima are over all shingles of a line, whatever its length, so that lines with equal sets share all bands.
-    min_chars: shorter lines (white space trimmed) are left alone; 1 compares every line that isn't blank.
+    Minima are over all shingles of every line that isn't blank, so lines with equal sets share all bands.
     """
 
     shingle: int = 7
     percent: int = 80
-    bands: int = 20
-    rows: int = 3
-    min_chars: int = 20
+    minima: int = 20
     seed: int = 11
 
-
-#: What the query and the pipeline use: every line that isn't blank.
-EVERY_LINE = Fuzzy(min_chars=1)
+    def __post_init__(self):
+        if self.minima < 17:
+            raise ValueError("bands of fewer minima share more than one of them")
 
 
 def _trimmed(line: Column) -> Column:
@@ -44,33 +44,27 @@ def _wide(line: Column) -> Column:
     return F.encode(line, "utf-32")
 
 
-def _shingle(wide: Column, at: Column, size: int) -> Column:
-    """The hash of the shingle that starts at byte `at` (from 1)."""
-    return F.hash(F.substring(wide, at, F.lit(4 * size)))
-
-
-def _n(wide: Column, size: int) -> Column:
-    """Shingles of a line with repeats; a line shorter than one is one."""
-    return F.greatest(F.lit(1), (F.length(wide) / 4).cast("int") - (size - 1))
+def _order(s: Column, turn: int, mask: int) -> Column:
+    """One of the orders of a 64-bit hash: its bits rotated, then some of them flipped."""
+    turned = F.shiftleft(s, turn).bitwiseOR(F.shiftrightunsigned(s, 64 - turn)) if turn else s
+    return turned.bitwiseXOR(F.lit(mask))
 
 
 def line_buckets(lines: DataFrame, how: Fuzzy) -> DataFrame:
-    """lines(id, line) -> (bucket, id, n): the bands of each distinct line, n = shingles with repeats.
+    """lines(id, line) -> (bucket, id): the bands of each distinct line.
 
-    A line shorter than a shingle is similar to equal lines only, and those have one id already.
+    A band is three minima, any two bands share one at most. A line shorter than a shingle is similar to equal lines only, and
+    those have one id already.
     """
     rng = random.Random(how.seed)
-    masks = [rng.getrandbits(32) - (1 << 31) for _ in range(how.bands * how.rows)]
+    orders = [(64 * i // how.minima, rng.getrandbits(64) - (1 << 63)) for i in range(how.minima)]
     wide = lines.where(F.length("line") >= how.shingle).select("id", _wide(F.col("line")).alias("wide"))
-    wide = wide.select("id", "wide", _n(F.col("wide"), how.shingle).alias("n"))
     last = F.greatest(F.lit(1), F.length("wide") - (4 * how.shingle - 1))
-    each = wide.select("id", "n", "wide", F.explode(F.sequence(F.lit(1), last, F.lit(4))).alias("at"))
-    each = each.select("id", "n", _shingle(F.col("wide"), F.col("at"), how.shingle).alias("s"))
-    # hashed again after the mask: masks alone give orders that depend on each other
-    minima = [F.min(F.hash(F.col("s").bitwiseXOR(F.lit(m)))).alias(f"m{i}") for i, m in enumerate(masks)]
-    signed = each.groupBy("id").agg(F.max("n").alias("n"), *minima)
-    bands = F.array(*[F.xxhash64(F.lit(b), *[f"m{b * how.rows + r}" for r in range(how.rows)]) for b in range(how.bands)])
-    return signed.select(F.explode(bands).alias("bucket"), "id", F.col("n").cast("long").alias("n"))
+    each = wide.select("id", "wide", F.explode(F.sequence(F.lit(1), last, F.lit(4))).alias("at"))
+    each = each.select("id", F.xxhash64(F.substring(F.col("wide"), F.col("at"), F.lit(4 * how.shingle))).alias("s"))
+    signed = each.groupBy("id").agg(*[F.min(_order(F.col("s"), *o)).alias(f"m{i}") for i, o in enumerate(orders)])
+    bands = F.array(*[F.xxhash64(F.lit(i), *[f"m{(i + j) % how.minima}" for j in (0, 3, 8)]) for i in range(how.minima)])
+    return signed.select(F.explode(bands).alias("bucket"), "id")
 
 
 def _bound(value: Column, f) -> Column:
@@ -107,7 +101,14 @@ def fuzzy_classes(lines: DataFrame, how: Fuzzy) -> DataFrame:
         same = _similar(_set(F.col("x"), how.shingle), _set(F.col("y"), how.shingle), how.percent)
         return pairs.join(y, "b").join(x, "a").where(same).select("a", "b")
 
-    return similar_classes(materialize(line_buckets(lines, how), "bands"), prepare, verify, pairs_of_strangers(verify))
+    def elements(ids: DataFrame, kept: DataFrame) -> DataFrame:
+        return kept.join(ids, "id", "left_semi").select("id", F.explode(_set(F.col("line"), how.shingle)).alias("s"))
+
+    def sketch(ids: DataFrame, kept: DataFrame) -> DataFrame:
+        words = F.array(*sketch_words(F.col("s"), SKETCH))
+        return elements(ids, kept).groupBy("id").agg(F.count("*").alias("n"), words.alias("words"))
+
+    return similar_classes(line_buckets(lines, how), prepare, verify, Sets(sketch, elements, how.percent, SKETCH))
 
 
 def dedup_lines(docs: DataFrame, how: Fuzzy | None = None) -> DataFrame:
@@ -115,20 +116,19 @@ def dedup_lines(docs: DataFrame, how: Fuzzy | None = None) -> DataFrame:
 
     Lines end at \\n and are compared without white space at their ends. Two lines are linked if their sets of character
     shingles have the given similarity (equal lines always do); of each component the line that comes first by doc_id
-    (null last), text hash and place stays, the others go with their line end. Lines of fewer than min_chars characters, blank
-    ones too, are left alone. A null text stays null and has no lines; an empty text has one. Rows with equal doc_id and
-    text count as one document and come out alike. Other columns stay as they are; columns named n_lines or n_removed are
-    replaced. Lines are told apart by a 64-bit hash.
+    (null last), text hash and place stays, the others go with their line end. Blank lines are left alone. A null text stays
+    null and has no lines; an empty text has one. Rows with equal doc_id and text count as one document and come out alike, so
+    repeated rows keep the same lines. An empty table stays empty. Other columns stay as they are, whatever their names;
+    columns named n_lines or n_removed are replaced. Lines are told apart by a 64-bit hash.
     """
     how = how or Fuzzy()
     docs = docs.drop("n_lines", "n_removed")
-    keyed = docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id").cast("long").alias("d"), "text", F.xxhash64("text").alias("t"))
+    others = [c for c in docs.columns if c != "text"]
+    keyed = docs.select(F.struct(*[col(c) for c in others]).alias("row"), F.col("doc_id").cast("long").alias("d"), "text", F.xxhash64("text").alias("t"))
     each = keyed.select("d", "t", F.posexplode(F.split("text", "\n")).alias("pos", "line")).withColumn("line", _trimmed(F.col("line")))
-    each = each.where(F.length("line") >= how.min_chars).withColumn("id", F.xxhash64("line"))
-    lines = each.select("id", "line")
-    places = materialize(each.select("d", "t", "pos", "id"), "places")
-    found = fuzzy_classes(lines, how).withColumnRenamed("node", "id")
-    of = places.join(found, "id", "left").select("d", "t", "pos", F.coalesce("component", "id").alias("c"))
+    each = each.where(F.length("line") > 0).withColumn("id", F.xxhash64("line"))
+    found = fuzzy_classes(each.select("id", "line"), how).withColumnRenamed("node", "id")
+    of = each.select("d", "t", "pos", "id").join(found, "id", "left").select("d", "t", "pos", F.coalesce("component", "id").alias("c"))
     of = materialize(of, "places")
     first = of.groupBy("c").agg(F.min(F.struct(F.col("d").isNull().alias("n"), "d", "t", "pos")).alias("f"), F.count("*").alias("many"))
     again = of.join(first.where("many > 1").select("c", "f"), "c").where("not (d <=> f.d and t = f.t and pos = f.pos)")
@@ -137,8 +137,8 @@ def dedup_lines(docs: DataFrame, how: Fuzzy | None = None) -> DataFrame:
     joined = keyed.join(gone, F.col("d").eqNullSafe(F.col("gd")) & (F.col("t") == F.col("gt")), "left")
     parts = F.split("text", "\n")
     stay = F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), "gone")
-    text = F.when(F.col("gone").isNull(), F.col("text")).otherwise(F.array_join(F.transform(stay, lambda i: F.element_at(parts, i + 1)), "\n"))
-    n_lines = F.coalesce(F.size(parts), F.lit(0)).cast("long")
+    text = F.when(F.col("gone").isNull(), F.col("text")).otherwise(F.array_join(_bound(parts, lambda p: F.transform(stay, lambda i: F.element_at(p, i + 1))), "\n"))
+    n_lines = F.coalesce(F.size(parts), F.lit(0))
     out = joined.select("row", text.alias("text"), F.when(F.col("text").isNull(), F.lit(0)).otherwise(n_lines).cast("long").alias("n_lines"), F.when(F.col("gone").isNull(), F.lit(0)).otherwise(F.size("gone")).cast("long").alias("n_removed"))
-    columns = [F.col("text") if c == "text" else F.col(f"row.`{c}`").alias(c) for c in docs.columns]
+    columns = [F.col("text") if c == "text" else F.col("row").getField(c).alias(c) for c in docs.columns]
     return out.select(*columns, "n_lines", "n_removed")

@@ -9,17 +9,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from podium.llm.common import WORD, materialize, slices, text_buffer
+from podium.llm.common import WORD, col, materialize, slices, text_buffer
 from podium.llm.hashing import LOWER, mix, window_hashes, word_hashes
-from podium.llm.components import components
-from podium.llm.near import Rest, similar_classes, with_class
+from podium.llm.near import Sets, similar_classes
 
 _U = np.uint64
 BANDS, BAND_ROWS = 32, 4
-#: Shingles on each side of a block of sets that are compared with each other at once.
-BLOCK = 500_000
-#: Sets on each side of the matrix that a block's comparison holds at once.
-STRIP = 1_000
+#: Words of 64 bits of a document's parity sketch.
+SKETCH = 32
 
 
 def shingle_sets(buf: np.ndarray, ends: np.ndarray, width: int) -> list[np.ndarray]:
@@ -95,6 +92,12 @@ def _sign(width: int, bands: int, rows: int):
     return run
 
 
+def parity_sketch(values: np.ndarray) -> np.ndarray:
+    """Bit k of word w: the parity of the distinct values that fall there (near.sketch_words tells what for)."""
+    bits = np.bincount((values & _U(64 * SKETCH - 1)).astype(np.int64), minlength=64 * SKETCH).astype(np.uint8) & 1
+    return np.packbits(bits, bitorder="little").view(np.int64)
+
+
 def _sets(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -102,105 +105,13 @@ def _sets(width: int):
                 sets = shingle_sets(*text_buffer(part.column("text")), width)
                 ends = np.concatenate([[0], np.cumsum([len(s) for s in sets])]).astype(np.int32)
                 values = pa.array(np.concatenate([*sets, np.zeros(0, np.uint64)]).view(np.int64))
-                yield pa.RecordBatch.from_arrays([part.column("t"), pa.ListArray.from_arrays(pa.array(ends), values)], names=["id", "shingles"])
+                words = pa.array(np.concatenate([*map(parity_sketch, sets), np.zeros(0, np.int64)]))
+                words = pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1, dtype=np.int32) * SKETCH), words)
+                yield pa.RecordBatch.from_arrays([part.column("t"), pa.ListArray.from_arrays(pa.array(ends), values), words], names=["id", "shingles", "words"])
 
     return run
 
 
-def common_counts(x: list[np.ndarray], y: list[np.ndarray]) -> np.ndarray:
-    """Sizes of the intersections of all sets of x with all of y; the sets' values are distinct.
-
-    Values in few sets are counted pair by pair, the others by a product of 0/1 matrices, some thousand values at a time.
-    """
-    rows = [np.repeat(np.arange(len(s)), [len(v) for v in s]) for s in (x, y)]
-    values = np.concatenate([*x, *y])
-    _, code = np.unique(values, return_inverse=True)
-    codes = code[: len(rows[0])], code[len(rows[0]) :]
-    size = int(code.max()) + 1 if len(code) else 0
-    many = [np.bincount(c, minlength=size) for c in codes]
-    out = np.zeros((len(x), len(y)), np.float32)
-    product = many[0] * many[1]
-    light = (product > 0) & (product <= 16)
-    # light values: each row of x that has one, with each row of y that has it
-    order = np.argsort(codes[1], kind="stable")
-    start = np.concatenate([[0], np.cumsum(many[1])])
-    own = np.flatnonzero(light[codes[0]])
-    n = many[1][codes[0][own]]
-    at = np.repeat(start[codes[0][own]] - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
-    np.add.at(out, (np.repeat(rows[0][own], n), rows[1][order[at]]), 1)
-    heavy = np.flatnonzero(product > 16)
-    place = np.full(size, -1)
-    for a in range(0, len(heavy), 4096):
-        part = heavy[a : a + 4096]
-        place[part] = np.arange(len(part))
-        sides = []
-        for s, r, c in zip((x, y), rows, codes, strict=True):
-            m = np.zeros((len(s), len(part)), np.float32)
-            ok = place[c] >= 0
-            m[r[ok], place[c[ok]]] = 1
-            sides.append(m)
-        out += sides[0] @ sides[1].T
-        place[part] = -1
-    return out.astype(np.int64)
-
-
-def _strips(rows: np.ndarray, size: np.ndarray) -> list[np.ndarray]:
-    """rows in the order of their sizes, cut into pieces of at most STRIP."""
-    rows = rows[np.argsort(size[rows], kind="stable")]
-    return [rows[k : k + STRIP] for k in range(0, len(rows), STRIP)]
-
-
-def block_links(ids: np.ndarray, comp: np.ndarray, mine: np.ndarray, sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
-    """Links from the sets that are `mine` to the others in other components, one strip of each side at a time."""
-    size = np.array([len(s) for s in sets], np.int64)
-    found = []
-    for u in _strips(np.flatnonzero(mine), size):
-        for v in _strips(np.flatnonzero(~mine), size):
-            if 100 * min(size[u[-1]], size[v[-1]]) < percent * max(size[u[0]], size[v[0]]):
-                continue
-            common = common_counts([sets[i] for i in u], [sets[i] for i in v])
-            union = size[u][:, None] + size[v][None, :] - common
-            a, b = np.nonzero((100 * common >= percent * union) & (comp[u][:, None] != comp[v][None, :]))
-            keys = np.unique(np.stack([ids[u[a]], comp[v[b]]]), axis=1, return_index=True)[1]
-            found += [(ids[u[a[k]]], ids[v[b[k]]]) for k in keys]
-    return found
-
-
-def blocks_of_strangers(percent: int) -> Rest:
-    """The rest by blocks: in each group of ids that share buckets, directly or not, blocks of strangers (ids outside the
-    group's largest component) meet blocks of all ids. A task holds two blocks and the matrix of STRIP sets of each; one link for each
-    stranger, component and strip leaves it. Strips whose sizes alone rule a link out are passed over."""
-
-    def link(table: pa.Table) -> pa.Table:
-        ids, comp, mine = (table[c].to_numpy(zero_copy_only=False) for c in ("id", "component", "stranger"))
-        flat = table["shingles"].combine_chunks()
-        ends = flat.offsets.to_numpy()
-        values = flat.values.to_numpy(zero_copy_only=False)
-        sets = [values[a:b] for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
-        found = block_links(ids, comp, mine, sets, percent)
-        return pa.table({"a": pa.array([int(p) for p, _ in found], pa.int64()), "b": pa.array([int(q) for _, q in found], pa.int64())})
-
-    def rest(rows: DataFrame, sets: DataFrame, met: DataFrame) -> DataFrame:
-        group = components(met.select(F.col("id").alias("a"), F.col("hub").alias("b"))).withColumnRenamed("component", "grp").withColumnRenamed("node", "id")
-        known = rows.select("id", "component").distinct()
-        every = materialize(with_class(met.select("id", "n").distinct().join(group, "id"), known.withColumnRenamed("id", "node")), "members")
-        # ids of closed buckets only are in one component with their buckets; theirs isn't known here, so they are no strangers
-        each = every.join(rows.select("id").distinct(), "id", "left_semi")
-        main = each.groupBy("grp", "component").count().groupBy("grp").agg(F.max_by("component", F.struct("count", "component")).alias("main"))
-        each = each.join(main, "grp").withColumn("stranger", F.col("component") != F.col("main"))
-        blocks = lambda total: F.greatest(F.lit(1), F.ceil(total / F.lit(BLOCK))).cast("int")
-        sizes = each.groupBy("grp").agg(blocks(F.sum("n")).alias("ny"), blocks(F.sum(F.when(F.col("stranger"), F.col("n")).otherwise(0))).alias("nx"), F.max("stranger").alias("any"))
-        each = each.join(sizes.where("any"), "grp").join(sets, "id")
-        to = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
-        own = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
-        columns = ["grp", "i", "j", "id", "component", "stranger", "shingles"]
-        x = each.where("stranger").withColumn("i", own("nx")).withColumn("j", F.explode(to("ny")))
-        y = each.withColumn("stranger", F.lit(False)).withColumn("j", own("ny")).withColumn("i", F.explode(to("nx")))
-        return x.select(columns).unionByName(y.select(columns)).groupBy("grp", "i", "j").applyInArrow(link, "a long, b long")
-
-    return rest
-
-
 def _keyed(docs: DataFrame) -> DataFrame:
     """docs with t, the 64-bit hash that tells texts apart."""
     return docs.withColumn("t", F.xxhash64("text"))
@@ -217,12 +128,12 @@ def _rows(docs: DataFrame, width: int, percent: int, bands: int, rows: int) -> D
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "t", "row")
     leads = materialize(some.groupBy("key1", "key2").agg(F.min(order).alias("first")).withColumn("id", F.col("first.t")), "leads")
     heads = some.join(leads.select(F.col("first.row").alias("row")), "row", "left_semi")
-    buckets = heads.select(F.explode("buckets").alias("bucket"), F.col("t").alias("id"), F.col("n_shingles").alias("n"))
+    buckets = heads.select(F.explode("buckets").alias("bucket"), F.col("t").alias("id"))
 
     def prepare(ids: DataFrame) -> DataFrame:
         lead = leads.select("id", F.col("first.doc_id").alias("d")).join(ids, "id", "left_semi")
         kept = docs.join(lead, (docs.t == lead.id) & docs.doc_id.eqNullSafe(lead.d), "left_semi").dropDuplicates(["t", "doc_id"])
-        return materialize(kept.mapInArrow(_sets(width), "id long, shingles array<long>"), "sets")
+        return materialize(kept.mapInArrow(_sets(width), "id long, shingles array<long>, words array<long>"), "sets")
 
     def verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
         x = sets.select(F.col("id").alias("a"), F.col("shingles").alias("x"))
@@ -230,7 +141,13 @@ def _rows(docs: DataFrame, width: int, percent: int, bands: int, rows: int) -> D
         both = pairs.join(y, "b").join(x, "a").withColumn("common", F.size(F.array_intersect("x", "y")).cast("long"))
         return both.where(f"100 * common >= {percent} * (size(x) + size(y) - common)").select("a", "b").distinct()
 
-    found = similar_classes(buckets, prepare, verify, blocks_of_strangers(percent))
+    def sketch(ids: DataFrame, sets: DataFrame) -> DataFrame:
+        return sets.join(ids, "id", "left_semi").select("id", F.size("shingles").cast("long").alias("n"), "words")
+
+    def elements(ids: DataFrame, sets: DataFrame) -> DataFrame:
+        return sets.join(ids, "id", "left_semi").select("id", F.explode("shingles").alias("s"))
+
+    found = similar_classes(buckets, prepare, verify, Sets(sketch, elements, percent, SKETCH))
     # each linked set with the first row of its component
     linked = leads.join(found.withColumnRenamed("node", "id"), "id").select("key1", "key2", "component", "first")
     linked = linked.join(linked.groupBy("component").agg(F.min("first").alias("top")), "component").select("key1", "key2", "top")
@@ -264,5 +181,5 @@ def drop_near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) ->
     keyed = _keyed(docs.where(with_word))
     # kept rows have distinct (d, t); of rows that are equal in these one stays
     of = keyed.join(kept.withColumnRenamed("t", "kt"), (keyed.t == F.col("kt")) & keyed.doc_id.cast("long").eqNullSafe(F.col("d")), "left_semi")
-    one = of.groupBy("t", "doc_id").agg(F.min(F.struct(*docs.columns)).alias("row")).select("row.*")
+    one = of.groupBy("t", "doc_id").agg(F.min(F.struct(*[col(c) for c in docs.columns])).alias("row")).select("row.*")
     return one.unionByName(docs.where(~with_word))

@@ -2,15 +2,22 @@
 
 A bucket's smallest member is its hub. Star edges hub - member are checked first and joined into components. Members whose
 component differs from their bucket's main one ("strangers") are then checked against the smallest stranger and the hub of
-each of their buckets. What is still open after that goes to `rest`, which must leave no pair of a bucket out. Pairs within a
-component need no check: they are linked already. So a group of n near copies costs about n checks.
+each of their buckets. Pairs within a component need no check: they are linked already. So a group of n near copies costs
+about n checks.
+
+What is still open is settled exactly. Buckets are split by set size, so that only sets meet whose sizes allow a link. In a
+part of at most `most` rows strangers meet the others, which bounds the pairs by `most` for each row; the sets of larger parts
+meet by their rarest elements (prefix filter), which loses no link either. Both leave pairs out whose sketches or places in the
+prefixes rule a link out.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
+from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from podium.llm.common import materialize
@@ -18,8 +25,19 @@ from podium.llm.components import components
 
 #: (pairs(a, b), what prepare made) -> those of them that are similar, (a, b)
 Verify = Callable[[DataFrame, DataFrame], DataFrame]
-#: (rows of open buckets, what prepare made, all rows met) -> links (a, b)
-Rest = Callable[[DataFrame, DataFrame, DataFrame], DataFrame]
+
+
+@dataclass(frozen=True)
+class Sets:
+    """What settles open buckets. sketch(ids, store) -> (id, n, words array<long>): set size and parity sketch.
+    elements(ids, store) -> (id, s): the distinct elements of the sets. percent: of a link. most: rows of a part that are
+    compared with each other."""
+
+    sketch: Callable[[DataFrame, DataFrame], DataFrame]
+    elements: Callable[[DataFrame, DataFrame], DataFrame]
+    percent: int
+    words: int
+    most: int = 200
 
 
 def with_class(rows: DataFrame, found: DataFrame) -> DataFrame:
@@ -33,41 +51,98 @@ def open_buckets(met: DataFrame, found: DataFrame) -> DataFrame:
     return rows.join(mixed.select("bucket", "main"), "bucket")
 
 
-def pairs_of_strangers(verify: Verify) -> Rest:
-    """The rest by DataFrame joins: each stranger with all of its bucket."""
-
-    def rest(rows: DataFrame, store: DataFrame, met: DataFrame) -> DataFrame:
-        x, y = rows.where("component != main").alias("x"), rows.alias("y")
-        pairs = x.join(y, F.expr("x.bucket = y.bucket and x.component != y.component and (y.component = y.main or x.id < y.id)"))
-        pairs = pairs.select(F.expr("least(x.id, y.id)").alias("a"), F.expr("greatest(x.id, y.id)").alias("b")).distinct()
-        return verify(materialize(pairs, "pairs"), store)
-
-    return rest
+def sketch_words(element: Column, words: int) -> list[Column]:
+    """Aggregates over the distinct elements of a set: bit k of word w is the parity of those that fall there.
 
-
-def similar_classes(buckets: DataFrame, prepare: Callable[[DataFrame], DataFrame], verify: Verify, rest: Rest) -> DataFrame:
-    """buckets(bucket long, id long, n long) -> (node, component): the classes of ids under verified links.
-
-    n is the size of an id's set. Only ids with a link are returned. An id may be in many buckets; one in a bucket of its own is
-    never compared. prepare gets the ids (id) that share a bucket with another and makes what verify needs of them, once.
+    Two sets whose sketches differ in d bits differ in d elements at least, so a bound on d never loses a link.
+    """
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), element.bitwiseAND(F.lit(63)).cast("int"))
+    at = F.shiftrightunsigned(element, 6).bitwiseAND(F.lit(words - 1))
+    return [F.bit_xor(F.when(at == w, bit).otherwise(F.lit(0).cast("long"))) for w in range(words)]
+
+
+def _sizes(percent: int) -> str:
+    return f"least(x.n, y.n) * 100 >= greatest(x.n, y.n) * {percent}"
+
+
+def _mains(rows: DataFrame, key: list[str]) -> DataFrame:
+    """Of each key with several components: its rows and the component that most of them have."""
+    many = rows.groupBy(*key, "component").agg(F.count("*").alias("k"))
+    of = many.groupBy(*key).agg(F.max_by("component", F.struct("k", "component")).alias("main"), F.sum("k").alias("m"), F.count("*").alias("kinds"))
+    return of.where("kinds > 1").drop("kinds")
+
+
+def _strangers_met(each: DataFrame, key: list[str], fits: str) -> DataFrame:
+    """each(key, id, component, main, n, ...) -> pairs (a, b) of different components that share a key and fit."""
+    same = " and ".join(f"x.{k} = y.{k}" for k in key)
+    x, y = each.where("component != main").alias("x"), each.alias("y")
+    met = x.join(y, F.expr(f"{same} and x.component != y.component and (y.component = y.main or x.id < y.id) and {fits}"))
+    return met.select(F.expr("least(x.id, y.id)").alias("a"), F.expr("greatest(x.id, y.id)").alias("b"))
+
+
+def _by_prefix(ids: DataFrame, elements: DataFrame, percent: int) -> DataFrame:
+    """ids(id, component), elements(id, s) -> pairs that may be links: two sets that are similar share one of the first
+    n - ceil(percent * n / 100) + 1 of their elements in any common order. Rare elements come first in it."""
+    counts = elements.groupBy("s").agg(F.count("*").alias("f"))
+    order = elements.join(counts, "s").groupBy("id").agg(F.sort_array(F.collect_list(F.struct("f", "s"))).alias("o"))
+    order = order.withColumn("n", F.size("o").cast("long"))
+    first = order.select("id", "n", F.posexplode(F.slice("o", F.lit(1), (F.col("n") - F.ceil(F.col("n") * percent / 100.0) + 1).cast("int"))).alias("pos", "e"))
+    rows = first.where("e.f > 1").select("id", "n", "pos", "e.s").join(ids, "id")
+    rows = materialize(rows, "prefixes")
+    each = rows.join(_mains(rows, ["s"]), "s")
+    left = f"(least(x.n - x.pos, y.n - y.pos)) * {100 + percent} >= {percent} * (x.n + y.n)"
+    return _strangers_met(each, ["s"], f"{_sizes(percent)} and {left}")
+
+
+def settle(rows: DataFrame, store: DataFrame, sets: Sets) -> DataFrame:
+    """Rows (bucket, id, component) of open buckets -> the pairs (a, b) across components that may be links, once each."""
+    p = sets.percent
+    known = materialize(sets.sketch(rows.select("id").distinct(), store), "sketches")
+    # sizes of a link differ by one class at most
+    size = F.floor(F.log(F.col("n").cast("double")) / F.lit(math.log(100 / p) * 1.0001)).cast("int")
+    rows = rows.select("bucket", "id", "component").join(known.select("id", "n"), "id")
+    rows = rows.select("bucket", "id", "component", F.explode(F.array(size, size + 1)).alias("size"))
+    rows = materialize(rows, "parts")
+    key = ["bucket", "size"]
+    mains = _mains(rows, key)
+    each = rows.join(mains, key)
+    differ = " + ".join(f"bit_count(x.words[{w}] ^ y.words[{w}])" for w in range(sets.words))
+    fits = f"{_sizes(p)} and ({differ}) * {100 + p} <= {100 - p} * (x.n + y.n)"
+    small = _strangers_met(each.where(F.col("m") <= sets.most).join(known, "id"), key, fits)
+    large = materialize(each.where(F.col("m") > sets.most).select("id", "component").distinct(), "large")
+    if large.isEmpty():
+        return small.distinct()
+    return small.unionByName(_by_prefix(large, sets.elements(large.select("id"), store), p)).distinct()
+
+
+def similar_classes(buckets: DataFrame, prepare: Callable[[DataFrame], DataFrame], verify: Verify, sets: Sets) -> DataFrame:
+    """buckets(bucket long, id long) -> (node, component): the classes of ids under verified links.
+
+    Only ids with a link are returned. An id may be in many buckets; one in a bucket of its own is never compared. prepare
+    gets the ids (id) that share a bucket with another and makes what verify needs of them, once.
     """
     hubs = buckets.groupBy("bucket").agg(F.min("id").alias("hub"), F.max("id").alias("last"))
     met = materialize(buckets.join(hubs.where("hub < last").select("bucket", "hub"), "bucket"), "buckets")
     store = prepare(met.select("id").distinct())
     star = met.where("id != hub").groupBy("id").agg(F.min("hub").alias("hub"))
-    links = materialize(verify(star.select(F.col("hub").alias("a"), F.col("id").alias("b")), store), "links")
-    found = materialize(components(links), "classes")
+    found = materialize(components(verify(star.select(F.col("hub").alias("a"), F.col("id").alias("b")), store)), "classes")
     strangers = open_buckets(met, found).where("component != main")
     seconds = strangers.groupBy("bucket").agg(F.min("id").alias("second"))
     met_second = strangers.join(seconds, "bucket")
     more = met_second.select(F.least("id", "second").alias("a"), F.greatest("id", "second").alias("b")).unionByName(
         met_second.select(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b"))
     )
-    more = materialize(more.where("a != b").distinct(), "pairs")
-    links = materialize(links.unionByName(verify(more, store)), "links")
-    found = materialize(components(links), "classes")
+    found = _joined(found, verify(materialize(more.where("a != b").distinct(), "pairs"), store))
     rows = materialize(open_buckets(met, found), "open")
     if rows.isEmpty():
         return found
-    last = materialize(rest(rows, store, met), "links")
-    return found if last.isEmpty() else components(links.unionByName(last))
+    return _joined(found, verify(materialize(settle(rows, store, sets), "pairs"), store))
+
+
+def _joined(found: DataFrame, links: DataFrame) -> DataFrame:
+    """The classes after more links; those found so far are stars already."""
+    links = materialize(links.select("a", "b"), "links")
+    if links.isEmpty():
+        return found
+    known = found.where("node != component").select(F.col("node").alias("a"), F.col("component").alias("b"))
+    return materialize(components(known.unionByName(links)), "classes")

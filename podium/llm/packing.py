@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import json
 import zlib
 from collections import defaultdict
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import chain
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -22,7 +23,8 @@ _ODD_BYTE = np.zeros(256, bool)
 _ODD_BYTE[[9, 11, 12, 13, 28, 29, 30, 31]] = True
 _ODD_PAIRS = ("  ", "\n\n", " \n", "\n ", "<|")
 _WIDE_SPACES = "\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
-_CACHE_PIECES = 1_000_000
+#: A cached piece and its ids take about 300 bytes.
+_CACHE_PIECES = 100_000
 
 
 def _byte_letters() -> dict[int, int]:
@@ -35,8 +37,9 @@ class Encoder:
     """ids of texts, as tokenizers gives them for a byte-level BPE without a prefix space.
 
     Such a tokenizer cuts at single spaces and line ends before it merges, so the ids of a piece (a word with the space
-    before it, or a line end) don't depend on its neighbours. Pieces are found by hash, each new one is encoded once.
-    Texts with other white space, or with what may be a special token's string, are encoded whole.
+    before it, or a line end) don't depend on its neighbours. Pieces of a slice are told apart by hash and compared byte by
+    byte, each new one is encoded once. Texts with other white space, or with what may be a special token's string, are
+    encoded whole; so are all texts if the file describes another kind of tokenizer.
     """
 
     _CUT = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
@@ -46,10 +49,12 @@ class Encoder:
 
         self._tokenizer = Tokenizer.from_file(path)
         self._letters = _byte_letters()
-        self._clear()
+        with open(path, encoding="utf-8") as f:
+            self._known = _is_plain(json.load(f))
+        self.clear()
 
-    def _clear(self) -> None:
-        self._place: dict[int, int] = {}
+    def clear(self) -> None:
+        self._place: dict[bytes, int] = {}
         self._words: dict[str, list[int]] = {}
         self._ids = np.zeros(0, np.uint32)
         self._ends = np.zeros(1, np.int64)
@@ -83,15 +88,20 @@ class Encoder:
         first[ends[:-1][ends[:-1] < len(buf)]] = True
         start = np.flatnonzero(first)
         stop = np.concatenate([start[1:], [len(buf)]])[: len(start)]
-        key, at, inverse = np.unique(span_hashes(buf, start, stop), return_index=True, return_inverse=True)
-        get = self._place.get
-        known = np.fromiter((get(k, -1) for k in key.tolist()), np.int64, len(key))
-        new = np.flatnonzero(known < 0)
-        if len(new):
-            raw = buf.tobytes()
-            got = self._learn([raw[a:b].decode() for a, b in zip(start[at[new]].tolist(), stop[at[new]].tolist(), strict=True)])
+        _, at, inverse = np.unique(span_hashes(buf, start, stop), return_index=True, return_inverse=True)
+        length = stop - start
+        like = np.repeat(start[at[inverse]] - start, length) + np.arange(len(buf))
+        if (length != length[at[inverse]]).any() or (buf[np.minimum(like, len(buf) - 1)] != buf).any():  # two pieces of one hash
+            return [np.array(x, np.uint32) for x in self._encode(texts)]
+        del like
+        raw = buf.tobytes()
+        pieces = [raw[a:b] for a, b in zip(start[at].tolist(), stop[at].tolist(), strict=True)]
+        known = np.fromiter(map(self._place.get, pieces, repeat(-1)), np.int64, len(pieces))
+        new = np.flatnonzero(known < 0).tolist()
+        if new:
+            got = self._learn([pieces[k].decode() for k in new])
             known[new] = np.arange(len(self._place), len(self._place) + len(new))
-            self._place.update(zip(key[new].tolist(), known[new].tolist(), strict=True))
+            self._place.update((pieces[k], int(known[k])) for k in new)
             self._ids = np.concatenate([self._ids, np.fromiter(chain.from_iterable(got), np.uint32)])
             self._ends = np.concatenate([self._ends, self._ends[-1] + np.cumsum([len(x) for x in got])])
         place = known[inverse]
@@ -103,14 +113,24 @@ class Encoder:
         return [ids[a:b] for a, b in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True)]
 
     def __call__(self, texts: list[str]) -> list[np.ndarray]:
-        odd = {i for i, x in enumerate(texts) if any(p in x for p in _ODD_PAIRS) or _odd_space(x)}
+        odd = {i for i, x in enumerate(texts) if not self._known or any(p in x for p in _ODD_PAIRS) or _odd_space(x)}
         if len(self._place) > _CACHE_PIECES:
-            self._clear()
+            self.clear()
         plain = iter(self._plain([x for i, x in enumerate(texts) if i not in odd]))
         whole = iter(self._encode([texts[i] for i in sorted(odd)]))
         return [np.array(next(whole), np.uint32) if i in odd else next(plain) for i in range(len(texts))]
 
 
+def _is_plain(described: dict) -> bool:
+    """Whether a tokenizer file has nothing but byte-level pieces cut by the usual pattern, and a BPE model."""
+    cut, model = described.get("pre_tokenizer") or {}, described.get("model") or {}
+    special = [x["content"] for x in described.get("added_tokens") or []]
+    return (
+        cut.get("type") == "ByteLevel" and not cut.get("add_prefix_space") and cut.get("use_regex", True) and not described.get("normalizer")
+        and model.get("type", "BPE") == "BPE" and not model.get("dropout") and not model.get("ignore_merges") and all("<|" in x for x in special)
+    )
+
+
 def _odd_space(text: str) -> bool:
     """White space other than a space or a line end."""
     if _ODD_BYTE[np.frombuffer(text.encode(), np.uint8)].any():
@@ -127,7 +147,7 @@ def _pieces(tokenizer: str, most: int, end_id: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(tokenizer)
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", 1_000_000):
                 texts = [x or "" for x in part.column("text").to_pylist()]
                 rows: list[list] = [[], [], [], [], []]
                 for i, ids in enumerate(encode(texts)):
@@ -139,6 +159,7 @@ def _pieces(tokenizer: str, most: int, end_id: int):
                             column.append(x)
                 arrays = [part.column("doc_id").take(pa.array(rows[0], pa.int64())), *[pa.array(x, pa.int64()) for x in rows[1:]]]
                 yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
+        encode.clear()  # the worker lives on
 
     return run
 

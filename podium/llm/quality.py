@@ -11,7 +11,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from podium.llm.common import slices, text_buffer
+from podium.llm.common import col, slices, text_buffer
 from podium.llm.hashing import IS_SPACE, mix, window_hashes, word_hashes
 
 _SPACE = " \t\n\x0b\x0c\r"
@@ -143,6 +143,7 @@ def score_quality(docs: DataFrame, text: str = "text", bands: Bands | None = Non
 
 
 def keep_quality(docs: DataFrame, text: str = "text", bands: Bands | None = None) -> DataFrame:
-    """The rows of docs that score_quality keeps, with the columns of docs."""
-    judged = score_quality(docs.withColumn("__text", F.col(text)).select("__text", F.struct(*docs.columns).alias("__row")), "__text", bands)
-    return judged.where("kept").select("__row.*")
+    """The rows of docs that score_quality keeps, with the columns of docs, whatever their names."""
+    plain = docs.select(*[col(c).alias(f"c{i}") for i, c in enumerate(docs.columns)])
+    judged = score_quality(plain, f"c{docs.columns.index(text)}", bands).where("kept")
+    return judged.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(docs.columns)])

@@ -8,7 +8,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
-from podium.llm import fingerprints, html, lines, minhash, mixing, packing, quality, substrings, toxicity, urls
+from podium.llm import fingerprints, html, lines, minhash, mixing, near, packing, quality, substrings, toxicity, urls
 from pyspark.sql import functions as F
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -93,26 +93,24 @@ def test_near_dedup_null_and_repeated_ids(spark):
     assert got[None, d] + got[None, d + " end"] == 1
 
 
-def test_common_counts():
-    rng = np.random.default_rng(1)
-    x, y = ([np.unique(rng.integers(0, 200, rng.integers(1, 80))) for _ in range(n)] for n in (30, 40))
-    got = minhash.common_counts(x, y)
-    assert all(got[i, j] == len(np.intersect1d(a, b)) for i, a in enumerate(x) for j, b in enumerate(y))
+@pytest.mark.parametrize("most", [200, 3])
+def test_settle(spark, most):
+    """All links across components of open buckets are among the pairs, by comparison of small parts or by rare elements."""
+    rng = np.random.default_rng(3)
+    base = [rng.integers(0, 10**9, 40) for _ in range(6)]
+    sets = {i: {*base[i % 6][: 40 - i % 9].tolist(), *rng.integers(0, 10**9, i % 5).tolist()} for i in range(150)}
+    store = spark.createDataFrame([(i, sorted(s)) for i, s in sets.items()], "id long, s array<long>")
+    rows = spark.createDataFrame([(k, i, i) for i in sets for k in (0, i % 6)], "bucket long, id long, component long")
 
+    def elements(ids, store):
+        return store.join(ids, "id", "left_semi").select("id", F.explode("s").alias("s"))
 
-def test_blocks_are_bounded_by_rows(monkeypatch):
-    """Many short strangers are compared in matrices of at most STRIP sets a side, with the links of brute force."""
-    rng = np.random.default_rng(3)
-    sets = [np.unique(np.concatenate([np.arange(9) + 100 * (i % 7), rng.integers(10_000, 10_400, i % 4)])) for i in range(2600)]
-    ids, mine = np.arange(2600), np.arange(2600) % 2 == 0
-    shapes, count = [], minhash.common_counts
-    monkeypatch.setattr(minhash, "common_counts", lambda x, y: shapes.append((len(x), len(y))) or count(x, y))
-    got = set(minhash.block_links(ids, ids, mine, sets, 80))
-    assert shapes and max(map(max, shapes)) <= 1000
-    x, y = np.flatnonzero(mine), np.flatnonzero(~mine)
-    common, size = count([sets[i] for i in x], [sets[i] for i in y]), np.array([len(s) for s in sets])
-    a, b = np.nonzero(100 * common >= 80 * (size[x][:, None] + size[y][None, :] - common))
-    assert len(a) and got == set(zip(x[a].tolist(), y[b].tolist(), strict=True))
+    def sketch(ids, store):
+        return elements(ids, store).groupBy("id").agg(F.count("*").alias("n"), F.array(*near.sketch_words(F.col("s"), 2)).alias("words"))
+
+    pairs = {(r.a, r.b) for r in near.settle(rows.distinct(), store, near.Sets(sketch, elements, 80, 2, most)).collect()}
+    links = {(a, b) for a in sets for b in sets if a < b and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])}
+    assert links and links <= pairs and len(pairs) < 3 * len(links)
 
 
 def test_quality(spark, docs):
@@ -197,9 +195,9 @@ def test_fuzzy_lines(spark):
     line = " ".join(rng.choice(["alpha", "beta", "gamma", "delta", "omega"]) + str(rng.randrange(90)) for _ in range(30))
     near = line.replace(line[40:46], "edited", 1)
     rows = [(1, f"{line}\nshort\nan own line of the first text here"), (2, f"  {line}  \nshort\nanother line that only the second has"), (3, f"{near}\n\nwholly different words stand in this third line"), (4, None), (5, ""), (None, line), (2, "a second row of the same document")]
-    got = lines.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string").withColumn("n_lines", F.lit("x"))).collect()
+    got = lines.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string").withColumn("n_lines", F.lit("x")).withColumn("a.b", F.lit(1))).collect()
     texts = {(r.doc_id, r.n_lines): (r.text, r.n_removed) for r in got}
-    assert texts[1, 3] == (rows[0][1], 0) and texts[2, 3] == ("short\nanother line that only the second has", 1)
+    assert texts[1, 3] == (rows[0][1], 0) and texts[2, 3] == ("another line that only the second has", 2)
     assert texts[3, 3] == ("\nwholly different words stand in this third line", 1)
     assert texts[4, 0] == (None, 0) and texts[5, 1] == ("", 0) and texts[None, 1] == ("", 1) and texts[2, 1][1] == 0
     assert lines.dedup_lines(spark.createDataFrame([], "doc_id long, text string")).count() == 0
