@@ -42,12 +42,31 @@ def shared_dir(spark: SparkSession) -> str:
     return _own_dir()
 
 
+#: Shuffle files go as soon as the query that made them has ended.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write df as Parquet in the shared folder and read it back: lineage is cut, and executors may be lost."""
+    """Write df as Parquet in the shared folder and read it back: lineage is cut, and executors may be lost. What was written
+    holds the result, so the shuffle files behind it aren't kept."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    before = spark.conf.get(_CLEANUP, "false")
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_CLEANUP, before)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._written = path
+    return out
+
+
+def discard(*written: DataFrame) -> None:
+    """Deletes what materialize wrote for these, once nothing is read from them any more."""
+    for df in written:
+        folder = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df._written)
+        folder.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(folder, True)
 
 
 def n_words(text: Column) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from podium.llm.common import materialize
+from podium.llm.common import discard, materialize
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
@@ -32,7 +32,8 @@ def components(edges: DataFrame, max_rounds: int = 50) -> DataFrame:
     )
     before = None
     for _ in range(max_rounds):
-        now = materialize(_star(_star(now, True), False), "links")
+        last, now = now, materialize(_star(_star(now, True), False), "links")
+        discard(last)
         seen = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if seen == before:
             return now.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(

@@ -20,7 +20,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from podium.llm.common import materialize
+from podium.llm.common import discard, materialize
 from podium.llm.components import components
 
 #: (pairs(a, b), what prepare made) -> those of them that are similar, (a, b)
@@ -121,28 +121,35 @@ def similar_classes(buckets: DataFrame, prepare: Callable[[DataFrame], DataFrame
     Only ids with a link are returned. An id may be in many buckets; one in a bucket of its own is never compared. prepare
     gets the ids (id) that share a bucket with another and makes what verify needs of them, once.
     """
+    buckets = buckets.select("bucket", "id").repartition("bucket")  # dealt once, for both sides of the join
     hubs = buckets.groupBy("bucket").agg(F.min("id").alias("hub"), F.max("id").alias("last"))
     met = materialize(buckets.join(hubs.where("hub < last").select("bucket", "hub"), "bucket"), "buckets")
     store = prepare(met.select("id").distinct())
     star = met.where("id != hub").groupBy("id").agg(F.min("hub").alias("hub"))
-    found = materialize(components(verify(star.select(F.col("hub").alias("a"), F.col("id").alias("b")), store)), "classes")
+    links = materialize(verify(star.select(F.col("hub").alias("a"), F.col("id").alias("b")), store), "links")
+    found = _joined(None, links)
     strangers = open_buckets(met, found).where("component != main")
     seconds = strangers.groupBy("bucket").agg(F.min("id").alias("second"))
     met_second = strangers.join(seconds, "bucket")
     more = met_second.select(F.least("id", "second").alias("a"), F.greatest("id", "second").alias("b")).unionByName(
         met_second.select(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b"))
     )
-    found = _joined(found, verify(materialize(more.where("a != b").distinct(), "pairs"), store))
+    more = materialize(more.where("a != b").distinct(), "pairs")
+    found = _joined(found, materialize(verify(more, store), "links"))
     rows = materialize(open_buckets(met, found), "open")
-    if rows.isEmpty():
-        return found
-    return _joined(found, verify(materialize(settle(rows, store, sets), "pairs"), store))
+    if not rows.isEmpty():
+        last = materialize(settle(rows, store, sets), "pairs")
+        found = _joined(found, materialize(verify(last, store), "links"))
+        discard(last)
+    discard(met, store, more, rows)
+    return found
 
 
-def _joined(found: DataFrame, links: DataFrame) -> DataFrame:
-    """The classes after more links; those found so far are stars already."""
-    links = materialize(links.select("a", "b"), "links")
-    if links.isEmpty():
+def _joined(found: DataFrame | None, links: DataFrame) -> DataFrame:
+    """The classes after more links (written ones, which go); those found so far are stars already."""
+    if found is not None and links.isEmpty():
         return found
-    known = found.where("node != component").select(F.col("node").alias("a"), F.col("component").alias("b"))
-    return materialize(components(known.unionByName(links)), "classes")
+    known = links if found is None else found.where("node != component").select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(links)
+    out = materialize(components(known), "classes")
+    discard(links, *([found] if found is not None else []))
+    return out
