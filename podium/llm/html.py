@@ -5,6 +5,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -14,61 +15,59 @@ from pyspark.sql import functions as F
 
 from podium.llm.common import slices
 
-#: Labelled blocks. noise: inside a container that names itself navigation, advert, comment and the like; main: inside an
-#: article or main element; words, link (share of words in links), then both of the block before and of the one after.
+#: Labelled pages: a line for each, a block after another in page order as words/words in links and + (main text) or -.
+#: [ and ] stand around what lies in an article or main element. Containers that name themselves navigation, advert or the
+#: like are left out here: their blocks are never main text, but count as neighbours.
 LABELLED = """
-noise main words link before before_link after after_link content
-1 0 1 1.0 0 0.0 1 1.0 0
-1 0 1 1.0 1 1.0 1 1.0 0
-1 0 2 1.0 1 1.0 6 0.0 0
-1 0 6 0.0 1 1.0 12 0.0 0
-1 0 45 0.0 60 0.0 50 0.0 0
-1 0 120 0.0 80 0.0 90 0.0 0
-1 0 15 0.1 90 0.0 0 0.0 0
-1 0 8 0.0 120 0.0 0 0.0 0
-1 1 10 0.0 80 0.0 70 0.0 0
-1 1 60 0.0 80 0.0 70 0.0 0
-1 1 3 1.0 40 0.0 90 0.0 0
-1 1 25 0.2 40 0.0 0 0.0 0
-0 1 1 0.0 0 0.0 60 0.0 1
-0 1 1 0.0 40 0.0 1 0.0 1
-0 1 5 0.0 6 0.0 80 0.0 1
-0 1 9 0.0 9 0.0 5 0.0 1
-0 1 80 0.0 10 0.0 90 0.0 1
-0 1 90 0.0 80 0.0 8 0.0 1
-0 1 12 0.4 60 0.0 50 0.0 1
-0 1 4 1.0 60 0.0 50 0.0 1
-0 1 1 1.0 50 0.0 3 1.0 1
-0 1 30 0.1 1 1.0 6 0.0 1
-0 1 2 0.0 2 0.0 2 0.0 1
-0 1 3 0.0 70 0.0 0 0.0 1
-0 0 1 1.0 1 1.0 1 1.0 0
-0 0 2 1.0 2 1.0 3 1.0 0
-0 0 3 1.0 30 0.0 2 1.0 0
-0 0 12 0.9 8 0.9 14 0.8 0
-0 0 20 0.8 3 1.0 4 1.0 0
-0 0 2 0.0 1 1.0 1 1.0 0
-0 0 3 0.0 2 1.0 4 0.0 0
-0 0 4 0.0 3 0.0 3 0.0 0
-0 0 5 0.0 2 0.0 0 0.0 0
-0 0 6 0.0 4 0.0 5 0.0 0
-0 0 7 0.3 60 0.0 2 1.0 0
-0 0 4 0.0 60 0.0 0 0.0 0
-0 0 40 0.0 8 0.0 60 0.0 1
-0 0 60 0.0 40 0.0 70 0.0 1
-0 0 25 0.1 50 0.0 30 0.0 1
-0 0 18 0.0 30 0.0 40 0.0 1
-0 0 14 0.0 40 0.0 35 0.0 1
-0 0 11 0.0 25 0.0 30 0.0 1
-0 0 6 0.0 30 0.0 45 0.0 1
-0 0 3 0.0 60 0.0 55 0.0 1
-0 0 5 0.0 4 0.0 50 0.0 1
-0 0 100 0.0 3 1.0 2 1.0 1
-0 0 35 0.2 3 1.0 40 0.1 1
+1/1- 1/1- 1/1- 5/0+ 60/0+ 80/2+ 45/0+ 8/0-
+2/2- 2/2- 3/3- 6/0+ 3/0+ 90/0+ 70/4+ 30/0+ 6/2-
+1/1- 2/2- 1/1- 40/0+ 35/0+ 18/0+ 12/0+
+2/2- 3/3- 80/0+ 40/0+ 30/1+ 18/0+
+4/4- 2/2- 1/1- 7/0+ 120/0+ 9/0+ 100/3+ 20/0+ 3/3- 2/2- 2/2-
+3/3- 4/0+ 25/0+ 60/5+ 3/0+ 44/0+ 5/0+ 38/0+ 10/8- 12/11-
+1/1- 1/1- 9/0- 5/0+ 70/0+ 66/0+ 22/0+ 7/0-
+12/10- 8/0+ 200/10+ 150/0+ 90/2+ 14/12-
+2/2- 2/2- 2/2- 2/2- 2/2- 2/2- 3/0- 2/2- 2/2-
+6/6- 7/7- 5/5- 8/8- 6/6- 2/0- 9/9- 7/7-
+1/0- 2/0- 1/0- 3/0- 4/4- 5/0- 2/2-
+55/0+ 40/0+ 65/3+
+150/0+
+30/0+ 6/0+ 9/0+ 7/0+ 11/0+ 34/0+
+5/0+ 28/0+ 16/1+ 40/2+ 15/0+ 21/0+ 4/4- 3/3- 4/4- 3/3-
+3/3- 3/3- 6/0+ 50/0+ 1/0+ 60/0+ 2/0+ 45/0+ 9/0- 2/2-
+2/1- 4/2- 10/0+ 75/1+ 80/0+ 35/0+ 4/2- 6/3-
+1/1- 7/0- 6/0+ 48/0+ 52/0+ 3/0+ 5/1-
+8/0+ 90/6+ 85/0+ 7/7- 6/6- 8/8- 5/5- 4/0-
+4/0+ 12/0+ 33/0+ 14/0+ 41/2+ 13/0+ 8/6-
+20/18- 15/14- 9/0+ 64/0+ 20/1+ 58/2+ 24/20-
+2/2- 5/0+ 36/8+ 42/9+ 50/12+ 3/3- 3/3-
+1/1- 1/1- 4/0+ 17/0+ 19/0+ 23/0+ 26/0+ 2/0-
+2/2- 2/2- [ 5/0+ 60/0+ 3/0+ 80/1+ ] 8/0-
+1/1- 1/1- 1/1- 10/0- [ 4/0+ 3/0+ ] 9/0-
+3/3- [ 1/0+ 2/0+ 90/3+ 1/0+ 1/0+ ] 7/1-
+2/2- 1/1- [ 6/0+ 70/0+ 4/4+ 65/2+ 2/0+ 5/0+ ] 2/2- 2/2- 11/0-
+[ 40/0+ 2/2- 2/2- 3/3- 2/2- 55/0+ ] 6/0-
+[ 3/0+ 12/6+ 9/0+ 1/1+ 60/0+ 8/3+ ] 4/4-
+1/1- [ 7/0+ ] 8/0-
+2/2- [ 5/0+ 33/0+ 3/3- 4/4- 3/3- ] 5/5- 12/0-
+[ 2/0+ 1/0+ 6/0+ 3/0+ 4/0+ 2/0+ ] 9/1-
+3/3- 2/2- [ 1/0+ 30/30+ 50/1+ 2/0+ ] 10/0-
+2/2- 60/0+ 80/0+ 35/1+
+3/3- 90/2+ 40/0+ 9/0-
+4/4- 50/0+ 30/0+ 3/3-
+5/5- 70/1+ 65/0+ 2/2- 60/0+
+[ 5/0+ 60/0+ 3/0+ ]
+2/2- [ 4/0+ 70/1+ 2/0+ ]
+[ 6/0+ 8/0+ ]
+1/1- 2/2- [ 3/0+ 40/0+ 9/0+ 6/0+ ]
+3/3- [ 5/0+ 80/2+ 1/0+ 4/0+ ]
 """
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^'\">]|\"[^\"]*\"|'[^']*')*+)>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)([^>]*)>|<[!?][^>]*>", re.S)
-_HIDDEN = frozenset("script style noscript template svg math iframe object audio video canvas textarea select button option title head".split())
+#: A comment, a tag that ends at the first > outside quotes, a tag that ends at the first >, a declaration.
+_COMMENT = re.compile(r"<!--.*?(?:-->|\Z)", re.S)
+_NAME = re.compile(r"<(/?)([a-zA-Z][a-zA-Z0-9:-]*)")
+_QUOTED_END = re.compile(r"[^'\">]*+(?:\"[^\"]*+\"[^'\">]*+|'[^']*+'[^'\">]*+)*+>")
+_HIDDEN = frozenset("script style noscript template iframe textarea select button option title head".split())
 _RAW = frozenset("script style textarea title noscript iframe template".split())
 _RAW_END = {x: re.compile(rf"</{x}(?=[\s/>]|\Z)[^>]*(?:>|\Z)", re.I) for x in _RAW}
 _BLOCK = frozenset(
@@ -78,23 +77,52 @@ _BLOCK = frozenset(
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _NESTED = frozenset("address article aside blockquote body center details dialog dir div dl fieldset figure footer form header hgroup main menu nav ol section table ul".split())
 _NOISE = frozenset("nav footer aside form menu dialog".split())
+_NAMED = frozenset(("class", "id", "role", "aria-label"))
 _HINT = re.compile(
-    r"(?:class|id|role|aria-label)\s*=\s*[\"']?[^\"'>]*?(?<![a-z])(?:ads?|advert\w*|banners?|sponsor\w*|promo\w*|nav|navbar|navigation|menu\w*|breadcrumbs?|"
-    r"sidebar\w*|footer|masthead|cookies?|consent|notices?|alert|popup|modal|newsletter|subscribe|share|sharing|social|related|recommend\w*|comments?|"
-    r"replies|disqus|widget\w*|toolbar|pagination|pager|login|signup|search|contentinfo|complementary)(?![a-z])",
+    r"(?<![a-z])(?:ads?|advert\w*|banners?|sponsor\w*|promo\w*|nav|navbar|navigation|menu\w*|breadcrumbs?|sidebar\w*|footer|masthead|cookies?|"
+    r"consent|notices?|alert|popup|modal|newsletter|subscribe|share|sharing|social|related|recommend\w*|comments?|replies|disqus|widget\w*|toolbar|"
+    r"pagination|pager|login|signup|search|contentinfo|complementary)(?![a-z])",
     re.I,
 )
-_ATTRIBUTE = re.compile(r"([^\s=/>\"']+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]*)))?")
+_ATTRIBUTE = re.compile(r"([^\s=/>\"']+)(?:\s*+=\s*+(?:\"([^\"]*)\"|'([^']*)'|([^\s>]*)))?")
 _NO_DISPLAY = re.compile(r"display\s*:\s*none", re.I)
 
 
-def _is_hidden(attributes: str) -> bool:
-    """Whether one of the attributes hides the element: by its name, not by a word in another's value."""
+def _meaning(attributes: str) -> tuple[bool, bool]:
+    """Whether attributes hide the element, and whether they name it as something else than main text."""
+    hidden = named = False
     for m in _ATTRIBUTE.finditer(attributes):
         name, value = m[1].lower(), m[2] or m[3] or m[4] or ""
-        if name == "hidden" or (name == "aria-hidden" and value.strip().lower().startswith("true")) or (name == "style" and _NO_DISPLAY.search(value)):
-            return True
-    return False
+        hidden |= name == "hidden" or (name == "aria-hidden" and value.strip().lower().startswith("true")) or (name == "style" and bool(_NO_DISPLAY.search(value)))
+        named |= name in _NAMED and bool(_HINT.search(value))
+    return hidden, named
+
+
+def _tokens(page: str) -> Iterator[tuple[int, int, bool, str, str]]:
+    """(start, end, closing, name, attributes) of each tag, and of comments and declarations with an empty name; send() moves
+    on to a place. Each character is looked at a bounded number of times, whatever the page."""
+    at, last, quotes = 0, page.rfind(">"), True
+    while True:
+        start = page.find("<", at)
+        if start < 0:
+            return
+        if page.startswith("<!--", start):
+            end, found = _COMMENT.match(page, start).end(), None  # type: ignore[union-attr]
+        elif start > last:
+            return
+        elif page[start + 1 : start + 2] in ("!", "?"):
+            end, found = page.index(">", start) + 1, None
+        else:
+            found = _NAME.match(page, start)
+            if not found:
+                at = start + 1
+                continue
+            whole = _QUOTED_END.match(page, found.end()) if quotes else None
+            quotes = quotes and whole is not None  # no > outside quotes up to the end of the page: don't look again
+            end = whole.end() if whole else page.find(">", found.end()) + 1
+            if not end:
+                return
+        at = (yield (start, end, bool(found[1]), found[2].lower(), page[found.end() : end - 1]) if found else (start, end, False, "", "")) or end
 
 
 def blocks(page: str) -> list[tuple[str, int, int, bool, bool]]:
@@ -106,6 +134,8 @@ def blocks(page: str) -> list[tuple[str, int, int, bool, bool]]:
     out: list[tuple[str, int, int, bool, bool]] = []
     stack: list[tuple[str, bool, bool]] = []  # containers: name, noise, main
     hidden: list[str] = []
+    inside: Counter[str] = Counter()  # names in stack
+    covered: Counter[str] = Counter()  # names in hidden
     text: list[tuple[str, bool]] = []
     link = 0
     at = 0
@@ -121,65 +151,91 @@ def blocks(page: str) -> list[tuple[str, int, int, bool, bool]]:
                 out.append((whole, words, min(words, linked), noise, main))
             text.clear()
 
-    match = _TOKEN.search(page)
-    while match:
-        if not hidden and match.start() > at:
-            text.append((page[at : match.start()], link > 0))
-        at = match.end()
-        name = match[2] or match[5]
-        if name:
-            name = name.lower()
-            closing, attributes = (match[1] or match[4]) == "/", match[3] or match[6] or ""
-            if closing:
-                if hidden:
-                    if name in hidden:
-                        del hidden[len(hidden) - 1 - hidden[::-1].index(name) :]
-                elif name == "a":
-                    link = max(0, link - 1)
-                elif name in _BLOCK:
-                    flush()
-                    link = 0
-                    if any(x[0] == name for x in stack):
-                        while stack.pop()[0] != name:
-                            pass
-            elif name in _RAW:
-                end = _RAW_END[name].search(page, at)
-                at = end.end() if end else len(page)
-            elif name in _HIDDEN or _is_hidden(attributes):
-                if not attributes.endswith("/") and name not in _VOID:
-                    hidden.append(name)
-            elif hidden:
-                if name == hidden[-1] and name not in _VOID:
-                    hidden.append(name)
-                elif name == "body" and "head" in hidden:
-                    hidden.clear()
+    tokens = _tokens(page)
+    token = next(tokens, None)
+    while token:
+        start, end, closing, name, attributes = token
+        if not hidden and start > at:
+            text.append((page[at:start], link > 0))
+        at = end
+        gone, named = _meaning(attributes) if attributes and not closing else (False, False)
+        if not name:
+            pass
+        elif closing:
+            if hidden:
+                if covered[name]:
+                    while (x := hidden.pop()) != name:
+                        covered[x] -= 1
+                    covered[name] -= 1
             elif name == "a":
-                link = 1
-            elif name == "br":
-                text.append((" ", link > 0))
-            if not closing and name in _BLOCK and not hidden:
+                link = max(0, link - 1)
+            elif name in _BLOCK:
                 flush()
                 link = 0
-                if name in _NESTED and not (name == "hr" or attributes.endswith("/")):
-                    noise, main = (stack[-1][1], stack[-1][2]) if stack else (False, False)
-                    hint = name not in ("body", "main") and bool(attributes) and bool(_HINT.search(attributes))
-                    own = name in _NOISE or hint or (name == "header" and not main)
-                    stack.append((name, noise or own, main or name in ("article", "main")))
-        match = _TOKEN.search(page, at)
+                if inside[name]:
+                    while (x := stack.pop()[0]) != name:
+                        inside[x] -= 1
+                    inside[name] -= 1
+        elif name in _RAW:
+            found = _RAW_END[name].search(page, at)
+            at = found.end() if found else len(page)
+        elif name in _HIDDEN or gone:
+            if not attributes.endswith("/") and name not in _VOID:
+                hidden.append(name)
+                covered[name] += 1
+        elif hidden:
+            if name == hidden[-1] and name not in _VOID:
+                hidden.append(name)
+                covered[name] += 1
+            elif name == "body" and covered["head"]:
+                hidden.clear()
+                covered.clear()
+        elif name == "a":
+            link = 1
+        elif name == "br":
+            text.append((" ", link > 0))
+        if name and not closing and name in _BLOCK and not hidden:
+            flush()
+            link = 0
+            if name in _NESTED and not attributes.endswith("/"):
+                noise, main = (stack[-1][1], stack[-1][2]) if stack else (False, False)
+                own = name in _NOISE or (named and name not in ("body", "main")) or (name == "header" and not main)
+                stack.append((name, noise or own, main or name in ("article", "main")))
+                inside[name] += 1
+        try:
+            token = tokens.send(at)
+        except StopIteration:
+            token = None
     if not hidden and at < len(page):
         text.append((page[at:], link > 0))
     flush()
     return out
 
 
-def features(found: list[tuple[str, int, int, bool, bool]]) -> list[tuple[float, ...]]:
-    """noise, main, words, link density, then words and link density of the blocks before and after."""
-    own = [(float(w), linked / w) for _, w, linked, _, _ in found]
+def features(found: list[tuple[int, int, bool]]) -> list[tuple[float, ...]]:
+    """found: words, words in links, main -> words, link density, both of the block before and of the one after, main."""
+    own = [(float(w), linked / w) for w, linked, _ in found]
     pad = [(0.0, 0.0), *own, (0.0, 0.0)]
-    return [(float(f[3]), float(f[4]), *pad[i + 1], *pad[i], *pad[i + 2]) for i, f in enumerate(found)]
+    return [(*pad[i + 1], *pad[i], *pad[i + 2], float(f[2])) for i, f in enumerate(found)]
+
+
+def labelled_rows(lines: list[str]) -> list[tuple[float, ...]]:
+    """The features and the label of each block of labelled pages."""
+    rows = []
+    for line in lines:
+        main, page, labels = False, [], []
+        for x in line.split():
+            if x in "[]":
+                main = x == "["
+            else:
+                words, linked = map(int, x[:-1].split("/"))
+                page.append((words, linked, main))
+                labels.append(float(x[-1] == "+"))
+        rows += [(*f, y) for f, y in zip(features(page), labels, strict=True)]
+    return rows
 
 
-def grow(rows: list[tuple[float, ...]], depth: int = 6) -> tuple:
+def grow(rows: list[tuple[float, ...]], depth: int = 8) -> tuple:
     """A decision tree by Gini impurity: (share,) or (feature, limit, tree up to it, tree above). Last column: the label."""
     share = sum(r[-1] for r in rows) / len(rows)
     best = None
@@ -196,7 +252,7 @@ def grow(rows: list[tuple[float, ...]], depth: int = 6) -> tuple:
 
 @lru_cache(1)
 def trained() -> tuple:
-    return grow([tuple(map(float, line.split())) for line in LABELLED.strip().split("\n")[1:]])
+    return grow(labelled_rows(LABELLED.strip().split("\n")))
 
 
 def is_content(tree: tuple, row: tuple[float, ...]) -> bool:
@@ -209,14 +265,17 @@ def main_text(page: str | None, tree: tuple | None = None) -> str:
     """The content blocks of a page, joined by a line end; empty for null or empty pages and those without content."""
     found = blocks(page or "")
     tree = tree or trained()
-    return "\n".join(b[0] for b, f in zip(found, features(found), strict=True) if is_content(tree, f))
+    of = features([(words, linked, main) for _, words, linked, _, main in found])
+    return "\n".join(b[0] for b, f in zip(found, of, strict=True) if not b[3] and is_content(tree, f))
 
 
 def extract_pages(pages: DataFrame) -> DataFrame:
     """pages(page_id, url, html) -> (page_id, url, text, n_chars), a row for each row of pages; null html is empty.
 
-    n_chars counts code points. Pages are read whole, one at a time, whatever their length; other columns are ignored and
-    repeated rows give equal results.
+    n_chars counts code points. Pages are read whole, one at a time, whatever their length, in a time that grows with it;
+    other columns are ignored, whatever their names, and repeated rows give equal results. An empty table gives no rows. What
+    menus, adverts, forms, comments and the like name themselves is no main text; the tree decides on all other blocks by their
+    word count and link density, those of their neighbours, and whether they lie in an article.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
