@@ -122,11 +122,61 @@ def test_quality(spark, docs):
         assert (got[i].n_words, got[i].word_chars, got[i].n_repeat_words) == (len(w), sum(map(len, w)), len(again))
         assert got[i].base_failed == (len(w) < 50 or 100 * len(again) > 50 * len(w))
     assert got[0].source is None and not got[1000].kept
-    flat = spark.createDataFrame([(1, "spam eggs " * 400), (2, " ".join(str(i * 7919 % 100003) for i in range(300)))], "doc_id long, text string")
-    assert [r.doc_id for r in quality.keep_quality(flat).collect()] == [2]
+    flat = spark.createDataFrame([(1, "spam eggs " * 400), (2, corpus()[0][1] + " " + " ".join(f"word{i * 7919 % 1003}" for i in range(300)))], "doc_id long, text string").withColumn("a.b", F.lit(1))
+    kept = quality.keep_quality(flat)
+    assert kept.columns == flat.columns and [r.doc_id for r in kept.collect()] == [2]
     assert quality.score_quality(empty(spark)).count() == 0
 
 
+def quality_by_hand(text):
+    """Counts and verdict of one text, as the rules say, one at a time."""
+    import math
+
+    import zstandard
+
+    b, w = quality.Bands(), WORD.findall(text or "")
+    seen, dup = set(), 0
+    for x in (text or "").split("\n"):
+        if WORD.search(x):
+            dup += x in seen
+            seen.add(x)
+    windows = Counter(tuple(w[k : k + 3]) for k in range(len(w) - 2))
+    again = {k + j for k in range(len(w) - 2) if windows[tuple(w[k : k + 3])] > 1 for j in range(3)}
+    failed = len(w) < 50 or 100 * len(again) > 50 * len(w)
+    data = (text or "").encode()
+    n = len(data)
+    press = lambda x: len(zstandard.ZstdCompressor(level=3, write_content_size=False).compress(x)) / len(x)
+    ok = True
+    if n >= b.knots[0]:
+        k = max(i for i, x in enumerate(b.knots) if x <= n)
+        share = (math.log(n) - math.log(b.knots[k])) / (math.log(b.knots[k + 1]) - math.log(b.knots[k])) if k + 1 < len(b.knots) else 0
+        limit = lambda v: v[k] + share * (v[min(k + 1, len(v) - 1)] - v[k])
+        ok = limit(b.whole_low) <= press(data) <= limit(b.whole_high)
+        if n >= 2 * b.chunk_bytes:
+            at = sorted({*range(0, n - b.chunk_bytes + 1, b.chunk_bytes), n - b.chunk_bytes})
+            each = [press(data[x : x + b.chunk_bytes]) for x in at]
+            ok &= sum(x < b.chunk_low for x in each) <= len(each) * b.chunk_share >= sum(x > b.chunk_high for x in each)
+    return len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", text or "")), dup, len(again), failed, not failed and ok
+
+
+def test_quality_bands(spark):
+    """Junk that passes the base rules is rejected by the bands, prose stays; all columns as by hand."""
+    rng = random.Random(12)
+    letters = "etaoinshrdlucmfwypvbgkjqxz"
+    vocabulary = ["".join(rng.choices(letters, [26 - i for i in range(26)], k=rng.randint(2, 9))) for _ in range(3000)]
+    prose = [" ".join(rng.choices(vocabulary, k=n)) for n in (60, 200, 500, 1500, 4000)]
+    listed = [" | ".join(rng.choice(vocabulary[:40]) + rng.choice("#$%&") * 3 for _ in range(n)) for n in (200, 500, 1500)]
+    noise = ["".join(rng.choices("".join(map(chr, range(33, 127))), k=8 * n)) for n in (1000,)]
+    noise = [" ".join(x[i : i + 8] for i in range(0, len(x), 8)) for x in noise]
+    lines_ = "\n".join(["the same line", *prose[1].split("\n"), "the same line", "a < b | c", "", " ", "the same line"])
+    long = " ".join(rng.choices(vocabulary, k=150_000))
+    texts = [*prose, *listed, *noise, lines_, long, None, "", " \n", "é" * 400]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words, r.base_failed, r.kept) for r in quality.score_quality(rows.unionAll(rows)).collect()}
+    assert got == {i: quality_by_hand(t) for i, t in enumerate(texts)}
+    assert all(got[i][6] for i in range(5)) and not any(got[i][6] for i in range(5, 9)) and not any(got[i][5] for i in range(5, 9))
+
+
 def test_packing(spark, docs):
     path = pytest.importorskip("public_tokenizers").path("byte_bpe_50k.json")
     from tokenizers import Tokenizer
