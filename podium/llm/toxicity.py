@@ -15,24 +15,26 @@ from podium.llm.common import slices
 
 _U = np.uint64
 _CHUNK = 1 << 14
+#: Characters whose n-grams are held at once.
+_PIECE = 500_000
 
 
 @dataclass(frozen=True)
 class Settings:
     """sizes: n-gram lengths in characters. bits: of the feature hash. alpha: smoothing of counts.
 
-    max_features: how many n-grams the linear model takes, the ones whose document shares differ most between classes, among
-    those with a log-count ratio of at least min_ratio either way.
-    sample_rows: at most about so many labelled rows, picked by a hash of doc_id, fit the linear weights (on the driver);
-    counts and ratios come from all labelled rows. penalty, steps, rate: of the fit.
+    shrink: every log-count ratio is drawn towards 0 by so many standard errors; n-grams whose ratio is 0 then say nothing.
+    sample_rows: at most about so many labelled documents, picked by a hash of doc_id, fit the linear weights on the driver, and
+    fewer if their lists of n-grams could exceed sample_bytes; counts and ratios come from all labelled rows. penalty, steps: of
+    the fit.
     """
 
     sizes: tuple[int, ...] = (3, 4, 5)
     bits: int = 20
     alpha: float = 1.0
-    max_features: int = 10_000
-    min_ratio: float = 0.9
+    shrink: float = 2.5
     sample_rows: int = 10_000
+    sample_bytes: int = 200_000_000
     penalty: float = 1e-4
     steps: int = 150
 
@@ -46,11 +48,36 @@ class Model:
 
 
 def present(texts: list[str], settings: Settings, table: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """(row, feature) of each distinct n-gram of each lower-cased text, sorted; table: keeps features with a True there."""
-    low = [x.lower() for x in texts]
-    n_chars = np.array([len(x) for x in low], np.int64)
-    code = np.frombuffer("".join(low).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
-    row = np.repeat(np.arange(len(low)), n_chars)
+    """(row, feature) of each distinct n-gram of each lower-cased text, sorted; table: keeps features with a True there.
+
+    Long texts are read in overlapping pieces, so scratch memory doesn't grow with them.
+    """
+    found, rows, pieces, size = [], [], [], 0
+    for i, x in enumerate(texts):
+        low = x.lower()
+        for a in range(0, len(low), _PIECE):
+            rows.append(i)
+            pieces.append(low[a : a + _PIECE + max(settings.sizes) - 1])
+            size += len(pieces[-1])
+            if size >= _PIECE:
+                found.append(_distinct(_keys(rows, pieces, settings, table)))
+                rows, pieces, size = [], [], 0
+    if pieces:
+        found.append(_keys(rows, pieces, settings, table))
+    keys = _distinct(np.concatenate([*found, np.zeros(0, np.int64)]))
+    return keys >> settings.bits, keys & ((1 << settings.bits) - 1)
+
+
+def _distinct(keys: np.ndarray) -> np.ndarray:
+    keys = np.sort(keys)
+    return keys[np.concatenate([[True], keys[1:] != keys[:-1]])] if len(keys) else keys
+
+
+def _keys(rows: list[int], pieces: list[str], settings: Settings, table: np.ndarray | None) -> np.ndarray:
+    """row << bits | feature of each n-gram of the pieces, which belong to these rows."""
+    n_chars = np.array([len(x) for x in pieces], np.int64)
+    code = np.frombuffer("".join(pieces).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+    row = np.repeat(np.array(rows, np.int64), n_chars)
     end = np.repeat(np.cumsum(n_chars), n_chars)
     place = np.arange(len(code))
     found = []
@@ -66,9 +93,7 @@ def present(texts: list[str], settings: Settings, table: np.ndarray | None = Non
                 ok &= table[bucket]
             ok = np.flatnonzero(ok)
             found.append((row[ok] << settings.bits) | bucket[ok])
-    keys = np.sort(np.concatenate([*found, np.zeros(0, np.int64)]))
-    keys = keys[np.concatenate([[True], keys[1:] != keys[:-1]])] if len(keys) else keys
-    return keys >> settings.bits, keys & ((1 << settings.bits) - 1)
+    return np.concatenate([*found, np.zeros(0, np.int64)])
 
 
 def _count(settings: Settings):
@@ -109,7 +134,7 @@ def _list(settings: Settings, features: np.ndarray):
                 row, feature = present([x or "" for x in part.column("text").to_pylist()], settings, table)
                 cut = np.searchsorted(row, np.arange(part.num_rows + 1))
                 lists = [feature[a:b].astype(np.int32).tobytes() for a, b in zip(cut[:-1], cut[1:], strict=True)]
-                yield pa.RecordBatch.from_arrays([part.column("label"), pa.array(lists, pa.binary())], names=["label", "features"])
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("label"), pa.array(lists, pa.binary())], names=["doc_id", "label", "features"])
 
     return run
 
@@ -137,8 +162,18 @@ def fit_weights(rows: list[np.ndarray], y: np.ndarray, ratio: np.ndarray, settin
     return w, b
 
 
-def train(labelled: DataFrame, sample: DataFrame, settings: Settings | None = None) -> Model:
-    """labelled(text, label): every row to learn from; sample(text, label): the bounded part that fits the weights."""
+def shrunk_ratios(counts: np.ndarray, rows: np.ndarray, settings: Settings) -> np.ndarray:
+    """The log-count ratio of each n-gram - how much likelier it is in a toxic document - less `shrink` standard errors."""
+    a = settings.alpha
+    n = rows[:, None] + 2 * a
+    ratio = np.log((counts[1] + a) / n[1]) - np.log((counts[0] + a) / n[0])
+    error = np.sqrt(np.maximum((1 / (counts + a) - 1 / n).sum(0), 0))
+    ratio = np.sign(ratio) * np.maximum(0, np.abs(ratio) - settings.shrink * error)
+    return np.where(counts.sum(0) > 0, ratio, 0)
+
+
+def train(labelled: DataFrame, known: int, settings: Settings | None = None) -> Model:
+    """labelled(doc_id, text, label): every row to learn from; known: about how many documents these are."""
     settings = settings or Settings()
     size = 1 << settings.bits
     summed = labelled.select("text", "label").mapInArrow(_count(settings), "chunk int, counts binary")
@@ -150,18 +185,16 @@ def train(labelled: DataFrame, sample: DataFrame, settings: Settings | None = No
             rows = got
         else:
             counts[:, r["chunk"] : r["chunk"] + _CHUNK] = got.reshape(2, -1)
-    a = settings.alpha
-    shares = (counts + a) / (rows[:, None] + 2 * a)
-    ratio = np.log(shares[1] / shares[0])
-    both = (counts.sum(0) + a) / (rows.sum() + 2 * a)
-    z = (shares[1] - shares[0]) / np.sqrt(both * (1 - np.minimum(both, 1 - 1e-9)) * (1 / (rows[0] + 2 * a) + 1 / (rows[1] + 2 * a)))
-    z[(counts.sum(0) == 0) | (np.abs(ratio) < settings.min_ratio)] = 0
-    features = np.sort(np.argsort(-np.abs(z), kind="stable")[: settings.max_features])
-    features = features[np.abs(z[features]) >= 3]
-    got = sample.select("text", "label").mapInArrow(_list(settings, features), "label long, features binary").collect()
-    lists = [np.searchsorted(features, np.frombuffer(r["features"], np.int32)) for r in got]
+    ratio = shrunk_ratios(counts, rows, settings)
+    features = np.flatnonzero(ratio)
+    share = min(settings.sample_rows, settings.sample_bytes / 4 / max(1, len(features))) / max(known, 1)
+    sample = labelled.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < int((1 << 20) * min(1.0, share)))
+    lists = sample.select("doc_id", "text", "label").mapInArrow(_list(settings, features), "doc_id long, label long, features binary")
+    # one row for each document: an id that holds many rows counts once
+    got = lists.groupBy("doc_id").agg(F.max(F.struct("label", "features")).alias("row")).select("row.*").collect()
+    found = [np.searchsorted(features, np.frombuffer(r["features"], np.int32)) for r in got]
     y = np.array([float(r["label"] > 0) for r in got])
-    w, b = fit_weights(lists, y, ratio[features], settings)
+    w, b = fit_weights(found, y, ratio[features], settings)
     return Model(features, w * ratio[features], b, settings)
 
 
@@ -191,20 +224,17 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, settings: Settings | None
 
     Only labels of rows that aren't held out are learnt from; a document with several labels counts as toxic if one says
     so, null labels and labels without a document are ignored. Null and empty texts have no n-grams and get the score of the
-    intercept. Other columns of either table are ignored. Without labelled rows of both classes every score is about the
+    intercept. Other columns of either table are ignored; repeated rows get equal scores and are counted as often as they stand
+    there. An empty table gives no rows. Without labelled rows of both classes every score is about the
     share of toxic ones (0.5 without any).
     """
     settings = settings or Settings()
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("long").alias("label"))
     known = known.where(F.col("label").isNotNull() & ~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("label").alias("label"))
-    n = known.count()
-    pick = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < int((1 << 20) * min(1.0, settings.sample_rows / max(n, 1)))
     # the same plan at every size: labels grow with the input, so neither side is broadcast
     labelled = docs.where(~held_out(F.col("doc_id"))).join(known.hint("merge"), "doc_id")
-    # about sample_rows ids at most: small enough to broadcast at any size of the input
-    sample = docs.join(F.broadcast(known.where(pick)), "doc_id")
-    model = train(labelled, sample, settings)
+    model = train(labelled, known.count(), settings)
     flagged = docs.withColumn("held_out", held_out(F.col("doc_id")))
     out = flagged.mapInArrow(_score(model, ["doc_id", "held_out"]), "doc_id long, held_out boolean, score double")
     return out.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
