@@ -17,12 +17,16 @@ _BAD = "@block"
 
 @dataclass(frozen=True)
 class Mining:
-    """min_support: share of labelled pages that a token combination has at least (and min_count pages);
-    min_confidence: share of the pages with the combination that are labelled unwanted."""
+    """min_support: share of labelled pages that are unwanted and have the rule's tokens, at least (and min_count pages).
+
+    Confidence is the share of the pages with the tokens that are unwanted. It must be min_lift times the share of unwanted
+    ones among all labelled pages, and lie above that share even at the lower end of its interval at z standard errors (Wilson).
+    """
 
     min_support: float = 0.001
     min_count: int = 20
-    min_confidence: float = 0.5
+    min_lift: float = 1.2
+    z: float = 1.645
 
 
 def host_path(url: Column) -> tuple[Column, Column]:
@@ -48,38 +52,51 @@ def tokens(host: Column, path: Column, url: Column) -> Column:
 def mine_rules(labelled: DataFrame, mining: Mining | None = None) -> DataFrame:
     """labelled(tokens, bad boolean) -> (antecedent, confidence, support, rarest): rules for unwanted urls.
 
-    FP-growth runs over token sets with one more item for unwanted pages; rules that conclude that item stay, and of those
-    none that a rule of fewer tokens with no less confidence makes needless. Empty without labelled pages.
+    FP-growth finds the token combinations that enough unwanted pages have; how many of all labelled pages have them comes from
+    the inverted index that matches rules too. Of the rules that are sure enough none stays that a rule of fewer tokens with no
+    less confidence makes needless. Empty without labelled or without unwanted pages.
     """
     mining = mining or Mining()
-    items = F.when(F.col("bad"), F.array_append("tokens", F.lit(_BAD))).otherwise(F.col("tokens"))
-    sets = materialize(labelled.where("bad is not null and tokens is not null").select(items.alias("items")), "sets")
-    n = sets.count()
     spark = labelled.sparkSession
-    if not n:
+    sets = labelled.where("bad is not null and tokens is not null").select(F.array_sort("tokens").alias("tokens"), F.col("bad").cast("long").alias("bad"))
+    sets = materialize(sets, "sets")
+    n, n_bad = sets.agg(F.count("*"), F.sum("bad")).first()
+    if not n_bad:
         return spark.createDataFrame([], "antecedent array<string>, confidence double, support double, rarest string")
-    # combinations without the unwanted item are needed as antecedents only: their items are those of unwanted pages
-    model = FPGrowth(itemsCol="items", minSupport=max(mining.min_support, mining.min_count / n), minConfidence=mining.min_confidence).fit(sets)
-    rules = model.associationRules.where(F.col("consequent") == F.array(F.lit(_BAD))).select("antecedent", "confidence", "support")
-    rules = materialize(rules, "rules")
-    single = model.freqItemsets.where(F.size("items") == 1).select(F.col("items")[0].alias("item"), "freq")
-    each = rules.select("antecedent", "confidence", "support", F.explode("antecedent").alias("item")).join(single, "item")
-    rare = each.groupBy("antecedent").agg(F.first("confidence").alias("confidence"), F.first("support").alias("support"), F.min_by("item", F.struct("freq", "item")).alias("rarest"))
-    rare = materialize(rare, "rules")
+    share = n_bad / n
+    least = max(mining.min_support * n, mining.min_count) / n_bad
+    found = FPGrowth(itemsCol="tokens", minSupport=min(1.0, least)).fit(sets.where("bad = 1").select("tokens")).freqItemsets
+    found = materialize(found.where(F.col("freq") >= least * n_bad), "itemsets")
+    single = found.where(F.size("items") == 1).select(F.col("items")[0].alias("item"), F.col("freq").alias("one"))
+    each = found.select(F.array_sort("items").alias("antecedent"), "freq", F.explode("items").alias("item")).join(single, "item")
+    keyed = materialize(each.groupBy("antecedent", "freq").agg(F.min_by("item", F.struct("one", "item")).alias("rarest")), "itemsets")
+    # equal token sets are matched once
+    distinct = sets.groupBy("tokens").agg(F.count("*").alias("pages"))
+    fits = index_match(distinct.select("tokens", "pages"), keyed)
+    total = fits.groupBy("antecedent").agg(F.sum("pages").cast("double").alias("total"))
+    p, z2 = F.col("freq") / F.col("total"), mining.z**2
+    lower = (p + z2 / (2 * F.col("total")) - mining.z * F.sqrt(p * (1 - p) / F.col("total") + z2 / (4 * F.col("total") ** 2))) / (1 + z2 / F.col("total"))
+    rules = keyed.join(total, "antecedent").where((p >= mining.min_lift * share) & (lower > share))
+    rules = materialize(rules.select("antecedent", p.alias("confidence"), (F.col("freq") / n).alias("support"), "rarest"), "rules")
     # shorter rules are found by an item that both have: the shorter one's rarest
-    wide = rare.alias("w").select("antecedent", "confidence", F.explode("antecedent").alias("item"))
-    short = rare.select(F.col("antecedent").alias("less"), F.col("confidence").alias("sure"), F.col("rarest").alias("item"))
+    wide = rules.select("antecedent", "confidence", F.explode("antecedent").alias("item"))
+    short = rules.select(F.col("antecedent").alias("less"), F.col("confidence").alias("sure"), F.col("rarest").alias("item"))
     needless = wide.join(short, "item").where(
         (F.size("less") < F.size("antecedent")) & (F.col("sure") >= F.col("confidence")) & (F.size(F.array_except("less", "antecedent")) == 0)
     )
-    return rare.join(needless.select("antecedent").distinct(), "antecedent", "left_anti")
+    return rules.join(needless.select("antecedent").distinct(), "antecedent", "left_anti")
+
+
+def index_match(rows: DataFrame, rules: DataFrame) -> DataFrame:
+    """rows(tokens, ...) joined with the rules(antecedent, rarest, ...) that they fit, by an inverted index on the rules'
+    rarest tokens."""
+    met = rows.withColumn("rarest", F.explode("tokens")).join(rules, "rarest")
+    return met.where(F.size(F.array_except("antecedent", "tokens")) == 0)
 
 
 def match_rules(urls: DataFrame, rules: DataFrame) -> DataFrame:
-    """urls(url, tokens) -> (url, confidence) of those that a rule fits, by an inverted index on each rule's rarest token."""
-    keyed = urls.select("url", "tokens", F.explode("tokens").alias("rarest"))
-    met = keyed.join(rules.select("rarest", "antecedent", "confidence"), "rarest")
-    fits = met.where(F.size(F.array_except("antecedent", "tokens")) == 0)
+    """urls(url, tokens) -> (url, confidence) of those that a rule fits, with that of the surest rule; equal ones don't matter."""
+    fits = index_match(urls.select("url", "tokens"), rules.select("rarest", "antecedent", "confidence"))
     return fits.groupBy("url").agg(F.max("confidence").alias("confidence"))
 
 
@@ -91,8 +108,8 @@ def judge_urls(
     A fixed rule fits its host and all subdomains if the path starts with the rule's; the longest one decides. Else a mined
     rule blocks; else the url is allowed. A page is labelled by the row of labels with its id; it is unwanted if its quality is
     0 or toxic is 1 (null: not known to be); rows without both are not learnt from. Null urls and those without :// have an
-    empty host and path and no tokens but the query's. A row for each row of pages; other columns are ignored. Verdicts
-    depend on the url alone, so repeated rows agree.
+    empty host and path and no tokens but the query's. A row for each row of pages; other columns are ignored, whatever their
+    names; an empty table gives no rows. Verdicts depend on the url alone, so repeated rows agree.
     """
     host, path = host_path(F.col("url"))
     base = pages.select("page_id", "url", host.alias("host"), path.alias("path"))
