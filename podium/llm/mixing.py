@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from podium.llm.common import WORD, hash60, materialize, n_words, ranked
+from podium.llm.common import WORD, col, hash60, materialize, n_words, ranked
 
 WEIGHTS = (3, 1, 2)
 
@@ -59,12 +59,13 @@ def quotas(units: DataFrame, block: int) -> DataFrame:
 
 
 def mix_sizes(
-    sized: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = 1.5, limit: float = 2.0, block: int = 64, shard_words: int = 100_000, seed: int = 1
+    sized: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = 1.5, limit: float = 2.0, block: int | None = None, shard_words: int = 100_000, seed: int = 1
 ) -> DataFrame:
     """sized(doc_id, source, size, ...) -> its rows with source_size, target, taken and what is taken.
 
     Each source is dealt into shards of about `shard_words` words by a seeded hash; the words of a shard, documents in
-    seeded order, form a ring that is cut into blocks of `block` words. A shard's quota of consecutive blocks, from a
+    seeded order, form a ring that is cut into blocks of `block` words (by default a twentieth of the least target above 0,
+    from 1 to 64, so that small sources come near theirs too). A shard's quota of consecutive blocks, from a
     seeded place on, is taken; a quota beyond the ring's length goes round again (never more than `limit` times).
     taken = whole * size + head + tail: the document `whole` times, then its first `head` words, then `tail` words from
     its word tail_from (from 0). Sizes of 0 are never taken; null sources are one source; repeated rows are told apart
@@ -72,6 +73,8 @@ def mix_sizes(
     """
     sized = materialize(sized, "sizes")
     table = materialize(targets(sized.groupBy("source").agg(F.sum("size").alias("source_size")), weights, share, limit), "targets")
+    least = table.where("target > 0").agg(F.min("target")).first()[0] or 0.0
+    block = block or int(max(1, min(64, least / 20)))
     shards = F.greatest(F.lit(1), F.ceil(F.col("source_size") / F.lit(shard_words)))
     own = table.withColumnRenamed("source", "__s")
     rows = sized.join(own, F.col("source").eqNullSafe(F.col("__s"))).drop("__s")
@@ -108,15 +111,16 @@ def mix_documents(docs: DataFrame, **how) -> DataFrame:
 def take_documents(docs: DataFrame, **how) -> DataFrame:
     """The mix itself, with the columns of docs: a row for each whole copy and for each taken part of a document.
 
-    A part's words are joined by one space; a document of which nothing is taken goes.
+    A part's words are joined by one space; a document of which nothing is taken goes, so null, empty and wordless texts go.
+    A null source is a source; an empty table stays empty. Columns keep their names, whatever these are.
     """
-    row = docs.select("doc_id", "source", n_words(F.col("text")).alias("size"), F.struct(*docs.columns).alias("row"))
+    row = docs.select("doc_id", "source", n_words(F.col("text")).alias("size"), F.struct(*[col(c) for c in docs.columns]).alias("row"))
     taken = mix_sizes(row, **how).where("taken > 0")
-    words = F.regexp_extract_all("row.text", F.lit(WORD), F.lit(0))
+    words = F.regexp_extract_all(F.col("row").getField("text"), F.lit(WORD), F.lit(0))
     part = lambda start, n: F.when(n > 0, F.array_join(F.slice(words, (start + 1).cast("int"), n.cast("int")), " "))
     pieces = F.concat(
-        F.array_repeat(F.col("row.text"), F.col("whole").cast("int")),
+        F.array_repeat(F.col("row").getField("text"), F.col("whole").cast("int")),
         F.array_compact(F.array(part(F.lit(0), F.col("head")), part(F.col("tail_from"), F.col("tail")))),
     )
     out = taken.select("row", F.explode(pieces).alias("__piece"))
-    return out.select(*[F.col("__piece").alias("text") if c == "text" else F.col(f"row.`{c}`").alias(c) for c in docs.columns])
+    return out.select(*[F.col("__piece").alias("text") if c == "text" else F.col("row").getField(c).alias(c) for c in docs.columns])
