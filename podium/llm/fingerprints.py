@@ -7,24 +7,28 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from podium.llm.common import materialize, slices
+from podium.llm.common import slices
 from podium.llm.hashing import mix
 
 _U = np.uint64
 K, SAMPLES, LENGTH = 6, 128, 2
-_PLACE_BITS = 28
+#: k-mers that meet all orders at once.
+_CHUNK = 2_048
+#: An order ranks 32-bit k-mer hashes by their product with one of these odd numbers.
+_ORDERS = (mix(np.arange(1, 4097, dtype=np.uint64) * _U(0x9E3779B97F4A7C15)) >> _U(32)).astype(np.uint32) | np.uint32(1)
+_LAST = np.uint32(0xFFFFFFFF)
 
 
 def order_minhash(text: str, k: int = K, samples: int = SAMPLES, length: int = LENGTH) -> np.ndarray:
     """The order MinHash signature of a text: `samples` 16-bit hashes.
 
-    Every k-mer of code points gets its occurrence number among equal k-mers and a hash of both. A signature entry takes
-    the `length` k-mers that come first in one of `samples` orders, puts them in text order and hashes that tuple. The
-    orders are rotations of one random order: entry i starts at the i-th of `samples` fixed places on the ring of hash
-    values. A text shorter than k is one k-mer; an empty one has a constant signature that only equals itself.
+    Every k-mer of code points gets its occurrence number among equal k-mers and a 64-bit hash of both. Each signature entry has
+    an order of its own: it takes the `length` k-mers that come first in it, puts them in text order and hashes that tuple.
+    k-mers that are equal in an order (32 bits) come in text order. A text shorter than k is one k-mer; an empty one has a
+    constant signature that only equals itself.
     """
     code = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
     if not len(code):
@@ -33,27 +37,40 @@ def order_minhash(text: str, k: int = K, samples: int = SAMPLES, length: int = L
     kmer = np.zeros(n, np.uint64)
     for j in range(min(k, len(code))):
         kmer = kmer * _U(0x9E3779B97F4A7C15) + code[j : j + n] + _U(1)
-    low = _U((1 << _PLACE_BITS) - 1)
-    place = np.arange(n, dtype=np.uint64)
     # occurrence numbers: equal k-mers stand together, in text order
-    order = np.sort((mix(kmer) & ~low) | place)
-    head = order & ~low
-    start = np.concatenate([[True], head[1:] != head[:-1]])
+    kmer = mix(kmer)
+    order = np.argsort(kmer, kind="stable")
+    head = kmer[order]
     index = np.arange(n)
-    number = index - np.maximum.accumulate(np.where(start, index, 0))
-    ring = np.sort((mix(head + number.astype(np.uint64)) & ~low) | (order & low))
-    # the first `length` hashes from each starting place on, around the ring
-    at = np.searchsorted(ring, _STARTS[:samples])
-    take = min(length, n)
-    picked = ring[(at[:, None] + np.arange(take)) % n]
-    picked = np.take_along_axis(picked, np.argsort(picked & low, axis=1), axis=1) & ~low
-    out = np.full(samples, take, np.uint64)
-    for j in range(take):
-        out = mix(out * _U(0xD6E8FEB86659FD93) + picked[:, j])
+    number = index - np.maximum.accumulate(np.where(np.concatenate([[True], head[1:] != head[:-1]]), index, 0))
+    hashes = np.empty(n, np.uint64)
+    hashes[order] = mix(head + number.astype(np.uint64))
+    picked = np.sort(first_places((hashes >> _U(32)).astype(np.uint32), samples, length), axis=1)
+    out = np.full(samples, picked.shape[1], np.uint64)
+    for j in range(picked.shape[1]):
+        out = mix(out * _U(0xD6E8FEB86659FD93) + hashes[picked[:, j]])
     return np.maximum(out >> _U(48), _U(1)).astype(np.uint16)
 
 
-_STARTS = mix(np.arange(1, 4097, dtype=np.uint64) * _U(0x9E3779B97F4A7C15))
+def first_places(values: np.ndarray, samples: int, length: int) -> np.ndarray:
+    """For each order, the places of the `length` values that come first in it (all, if there are fewer)."""
+    every = np.arange(samples)[:, None]
+    take = min(length, len(values))
+    rank, place = np.zeros((samples, 0), np.uint32), np.zeros((samples, 0), np.int64)
+    for a in range(0, len(values), _CHUNK):
+        ranks = values[None, a : a + _CHUNK] * _ORDERS[:samples, None]
+        ranks[ranks == _LAST] -= np.uint32(1)
+        own, at = [rank], [place]
+        for _ in range(min(take, ranks.shape[1])):
+            least = ranks.argmin(1)[:, None]
+            own.append(np.take_along_axis(ranks, least, 1))
+            at.append(least + a)
+            ranks[every, least] = _LAST
+        rank, place = np.concatenate(own, 1), np.concatenate(at, 1)
+        if rank.shape[1] > take:
+            keep = np.argsort(rank, axis=1, kind="stable")[:, :take]
+            rank, place = np.take_along_axis(rank, keep, 1), np.take_along_axis(place, keep, 1)
+    return place
 
 
 def likeness(a: np.ndarray, b: np.ndarray) -> float:
@@ -96,6 +113,17 @@ _SCHEMA = pa.schema(
 )
 
 
+def _above(key: Column, bounds: list[int]) -> Column:
+    """How many of the descending bounds lie above the key: first in steps of about the square root of their number."""
+    if not bounds:
+        return F.lit(0)
+    step = max(1, int(len(bounds) ** 0.5))
+    cuts = [bounds[i : i + step] for i in range(0, len(bounds), step)]
+    many = lambda values: F.size(F.filter(values, lambda b: b > key))
+    whole = many(F.lit([c[-1] for c in cuts]))
+    return whole * step + F.coalesce(many(F.get(F.lit(cuts), whole)), F.lit(0))
+
+
 def fingerprint_documents(docs: DataFrame, parts: int | None = None) -> DataFrame:
     """docs(doc_id long, text) -> (doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next).
 
@@ -110,23 +138,19 @@ def fingerprint_documents(docs: DataFrame, parts: int | None = None) -> DataFram
     spark = docs.sparkSession
     parts = parts or 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    key = F.coalesce(F.col("doc_id").cast("decimal(20,0)"), F.lit("-9223372036854775809").cast("decimal(20,0)"))
-    rows = docs.withColumn("key", key)
-    bounds = rows.agg(F.percentile_approx("key", [i / parts for i in range(1, parts)] or [0.5], 10_000)).first()[0] or []
-    bounds = sorted({int(x) for x in bounds}, reverse=True)  # at most `parts`
-    edges = F.array(*[F.lit(str(x)).cast("decimal(20,0)") for x in bounds]) if bounds else None
-    # part 0 has the largest ids; an id equal to a bound belongs above it
-    part = F.size(F.filter(edges, lambda b: b > F.col("key"))) if bounds else F.lit(0)
-    rows = rows.withColumn("part", part.cast("int"))
-    firsts = sorted((r[0], int(r[1])) for r in rows.groupBy("part").agg(F.max("key")).collect())  # a row for each part
+    bounds = docs.agg(F.percentile_approx("doc_id", [i / parts for i in range(1, parts)] or [0.5], 10_000)).first()[0] or []
+    bounds = sorted(set(bounds), reverse=True)  # at most `parts`
+    # part 0 has the largest ids; an id equal to a bound belongs above it; null ids are in the last part
+    rows = docs.withColumn("part", F.when(F.col("doc_id").isNull(), F.lit(len(bounds))).otherwise(_above(F.col("doc_id"), bounds)).cast("int"))
+    firsts = sorted((r[0], r[1]) for r in rows.groupBy("part").agg(F.max("doc_id")).collect())  # a row for each part
     if not firsts:
         return spark.createDataFrame([], "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
-    heads = {firsts[(i + 1) % len(firsts)][1]: p for i, (p, _) in enumerate(firsts)}
-    extra = F.create_map(*[x for k, p in heads.items() for x in (F.lit(str(k)).cast("decimal(20,0)"), F.lit(p))])
-    to = F.try_element_at(extra, F.col("key"))
-    copies = F.array_compact(F.array(F.struct(F.col("part"), F.lit(False).alias("extra")), F.when(to.isNotNull(), F.struct(to.alias("part"), F.lit(True).alias("extra")))))
-    rows = rows.select("doc_id", "text", "key", F.explode(copies).alias("to")).select("doc_id", "text", "key", "to.*")
-    dealt = rows.repartition(parts, "part").sortWithinPartitions("part", "extra", F.col("key").desc(), "text")
+    # the first id of each part goes to the part before it too: a table of one row for each part
+    heads = spark.createDataFrame([(firsts[(i + 1) % len(firsts)][1], p) for i, (p, _) in enumerate(firsts)], "head long, to int")
+    rows = rows.join(F.broadcast(heads), F.col("doc_id").eqNullSafe(F.col("head")), "left")
+    copies = F.array_compact(F.array(F.struct(F.col("part"), F.lit(False).alias("extra")), F.when(F.col("to").isNotNull(), F.struct(F.col("to").alias("part"), F.lit(True).alias("extra")))))
+    rows = rows.select("doc_id", "text", F.explode(copies).alias("at")).select("doc_id", "text", "at.*")
+    dealt = rows.repartition(parts, "part").sortWithinPartitions("part", "extra", F.col("doc_id").desc_nulls_last(), "text")
     return dealt.select("part", "doc_id", "text", "extra").mapInArrow(
         _compare, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
     )
