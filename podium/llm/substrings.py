@@ -165,6 +165,10 @@ def _remove(width: int):
     return run
 
 
+#: Bytes of text that one task of either shuffle holds on average, at most.
+BUCKET_BYTES = 16_000_000
+
+
 def dedup_substrings(docs: DataFrame, width: int = 13, buckets: int | None = None) -> DataFrame:
     """docs(doc_id long, text) -> (doc_id, n_words, n_removed, removed, kept_text), a row for each row of docs.
 
@@ -172,13 +176,15 @@ def dedup_substrings(docs: DataFrame, width: int = 13, buckets: int | None = Non
     smaller doc_id. `removed` has the maximal [from, to) runs of words that go, `kept_text` the others joined by one
     space. Windows are judged on the input. Null or empty texts and those under `width` words lose nothing. Rows with
     the same doc_id don't remove each other's windows; a null doc_id counts as larger than all others. Other columns
-    are ignored. Windows are compared by a 64-bit hash within a bucket of the hash range; `buckets` (default: twice the
-    shuffle partitions) bounds what one task holds: a range of hashes, then a group of documents. Each slice of the input
-    sends a hash once.
+    are ignored, an empty table gives no rows. Windows are compared by a 64-bit hash: of n different windows about n / 2^64 are
+    taken for another one (5e-7 of 10^13). `buckets` (default: one for BUCKET_BYTES of text, and twice the shuffle partitions at
+    least) bounds what one task holds: a range of hashes, then a group of documents. Each slice of the input sends a hash once.
     """
     spark = docs.sparkSession
-    buckets = buckets or 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    if not buckets:
+        n_bytes = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+        buckets = max(2 * int(spark.conf.get("spark.sql.shuffle.partitions")), -(-n_bytes // BUCKET_BYTES))
     docs = docs.withColumn("grp", F.pmod(F.xxhash64("doc_id"), F.lit(buckets)).cast("int"))
     asked = docs.mapInArrow(_ask(width, buckets), _REQUEST)
     answers = asked.groupBy("bucket").applyInArrow(_answer, _ANSWER)
