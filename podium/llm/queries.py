@@ -66,5 +66,52 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in own}
 
 
+#: Words of documents, one row each, k from 1.
+_WORDS = r"""
+words AS (
+  SELECT doc_id, w, generate_subscripts(w, 1) AS k, unnest(w) AS word
+  FROM (SELECT doc_id, regexp_extract_all({text}, '[^\x20\x09-\x0D]+') AS w FROM documents)
+)"""
+
+OP4 = (
+    r"""
+WITH RECURSIVE"""
+    + _WORDS.format(text="translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")
+    + """,
+shingles AS (
+  SELECT DISTINCT doc_id, array_to_string(w[k : k + 2], ' ') AS s FROM words WHERE k <= greatest(1, len(w) - 2)
+),
+sizes AS (SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id),
+common AS (
+  SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM shingles a JOIN shingles b ON a.s = b.s AND a.doc_id <> b.doc_id GROUP BY ALL
+),
+links AS (
+  SELECT a, b FROM common JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b WHERE 100 * c >= 85 * (x.n + y.n - c)
+),
+reach AS (SELECT doc_id, doc_id AS top FROM documents UNION SELECT l.b, r.top FROM reach r JOIN links l ON l.a = r.doc_id),
+least AS (SELECT doc_id, min(top) AS component_id FROM reach GROUP BY doc_id)
+SELECT doc_id, coalesce(n, 0) AS n_shingles, component_id, doc_id = component_id AS kept FROM least LEFT JOIN sizes USING (doc_id)
+"""
+)
+
+OP8 = (
+    "WITH"
+    + _WORDS.format(text="text")
+    + """,
+windows AS (SELECT doc_id, k, array_to_string(w[k : k + 12], ' ') AS s FROM words WHERE k <= len(w) - 12),
+first AS (SELECT s, min(doc_id) AS d FROM windows GROUP BY s),
+gone AS (SELECT DISTINCT doc_id, unnest(range(k, k + 13)) AS k FROM windows JOIN first USING (s) WHERE d < doc_id),
+judged AS (SELECT words.doc_id, words.k, word, gone.k IS NOT NULL AS g FROM words LEFT JOIN gone ON gone.doc_id = words.doc_id AND gone.k = words.k),
+texts AS (
+  SELECT doc_id, count(*) AS n_words, count(*) FILTER (g) AS n_removed, coalesce(string_agg(word, ' ' ORDER BY k) FILTER (NOT g), '') AS kept
+  FROM judged GROUP BY doc_id
+)
+SELECT doc_id, coalesce(n_words, 0) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM documents LEFT JOIN texts USING (doc_id)
+"""
+)
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """The others have columns that SQL can't express (compression, tokens, models, signatures, seeded rings)."""
+    return {"op4_minhash": OP4, "op8_substrings": OP8}
