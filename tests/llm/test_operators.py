@@ -122,7 +122,9 @@ def test_quality(spark, docs):
         assert (got[i].n_words, got[i].word_chars, got[i].n_repeat_words) == (len(w), sum(map(len, w)), len(again))
         assert got[i].base_failed == (len(w) < 50 or 100 * len(again) > 50 * len(w))
     assert got[0].source is None and not got[1000].kept
-    flat = spark.createDataFrame([(1, "spam eggs " * 400), (2, corpus()[0][1] + " " + " ".join(f"word{i * 7919 % 1003}" for i in range(300)))], "doc_id long, text string").withColumn("a.b", F.lit(1))
+    rng = random.Random(1)
+    plain = " ".join("".join(rng.choices("etaoinshrdlucm", k=rng.randint(2, 8))) for _ in range(300))
+    flat = spark.createDataFrame([(1, "spam eggs " * 400), (2, plain)], "doc_id long, text string").withColumn("a.b", F.lit(1))
     kept = quality.keep_quality(flat)
     assert kept.columns == flat.columns and [r.doc_id for r in kept.collect()] == [2]
     assert quality.score_quality(empty(spark)).count() == 0
@@ -165,7 +167,7 @@ def test_quality_bands(spark):
     letters = "etaoinshrdlucmfwypvbgkjqxz"
     vocabulary = ["".join(rng.choices(letters, [26 - i for i in range(26)], k=rng.randint(2, 9))) for _ in range(3000)]
     prose = [" ".join(rng.choices(vocabulary, k=n)) for n in (60, 200, 500, 1500, 4000)]
-    listed = [" | ".join(rng.choice(vocabulary[:40]) + rng.choice("#$%&") * 3 for _ in range(n)) for n in (200, 500, 1500)]
+    listed = [" | ".join(rng.choice(vocabulary[:80]) + rng.choice("#$%&") * 3 for _ in range(n)) for n in (200, 500, 1500)]
     noise = ["".join(rng.choices("".join(map(chr, range(33, 127))), k=8 * n)) for n in (1000,)]
     noise = [" ".join(x[i : i + 8] for i in range(0, len(x), 8)) for x in noise]
     lines_ = "\n".join(["the same line", *prose[1].split("\n"), "the same line", "a < b | c", "", " ", "the same line"])
@@ -224,6 +226,30 @@ def test_mixing(spark, docs):
     assert mixing.mix_documents(empty(spark)).count() == 0
 
 
+def test_small_sources_come_near_their_targets(spark):
+    rows = [(100 * s + i, f"s{s}", n) for s, n in ((0, 5), (1, 10), (2, 25), (3, 3000)) for i in range(2)]
+    rows += [(900, "s4", 0), (901, None, 1), (None, "s3", 7), (None, "s3", 7)]
+    sized = spark.createDataFrame(rows, "doc_id long, source string, size long")
+    by = defaultdict(lambda: [0.0, 0])
+    for r in mixing.mix_sizes(sized).collect():
+        assert 0 <= r.taken <= 2 * r.size
+        by[r.source][0], by[r.source][1] = r.target, by[r.source][1] + r.taken
+    assert len(by) == 6 and all(abs(taken - target) <= max(1, 0.1 * target) for target, taken in by.values())
+
+
+def test_quotas_by_hand(spark):
+    """Blocks go one by one to the highest quotient, ties by source and shard, and never beyond `most`."""
+    rows = [("a", 0, 300.0, 9), ("a", 1, 300.0, 2), ("b", 0, 100.0, 9), ("c", 0, 55.5, 9), ("c", 1, 0.0, 5), (None, 0, 120.0, 9)]
+    units = spark.createDataFrame(rows, "source string, shard long, votes double, most long")
+    got = {(r.source, r.shard): r.quota for r in mixing.quotas(units, 50).collect()}
+    want = {r[:2]: 0 for r in rows}
+    for _ in range(int(sum(r[2] for r in rows) / 50 + 0.5)):
+        open_ = [r for r in rows if want[r[:2]] < r[3]]
+        best = min(open_, key=lambda r: (-r[2] / (2 * want[r[:2]] + 1), r[0] is None, r[0] or "", r[1]))
+        want[best[:2]] += 1
+    assert got == want
+
+
 def test_fingerprints(spark, docs):
     rows = sorted(((i, t or "") for i, t, *_ in corpus()), reverse=True)
     got = {r.doc_id: r for r in fingerprints.fingerprint_documents(docs).collect()}
@@ -309,6 +335,26 @@ def test_toxicity(spark):
     assert none.count() == len(rows)
 
 
+def test_toxicity_by_hand():
+    """Ratios and n-grams against counting one at a time; a text longer than a piece has the n-grams of the whole."""
+    s = toxicity.Settings(bits=16)
+    texts = ["Abcd", "", "bcdE" * 300_000, "xyz", "abcd"]
+    row, feature = toxicity.present(texts, s)
+    grams = [{t.lower()[i : i + n] for n in s.sizes for i in range(len(t) - n + 1)} for t in (*texts[:2], texts[2][:40], *texts[3:])]
+    found = [set(feature[row == i].tolist()) for i in range(5)]
+    assert [len(x) for x in found] == [len(g) for g in grams] and found[0] == found[4] and not found[1]
+    one = toxicity.present([texts[2][:40]], s)[1]
+    assert found[2] == set(one.tolist())
+    counts, rows = np.array([[1, 0, 40, 0], [30, 0, 38, 1]]), np.array([100, 80])
+    got = toxicity.shrunk_ratios(counts, rows, s)
+    for k in range(4):
+        p, q = (counts[1, k] + 1) / 82, (counts[0, k] + 1) / 102
+        error = (1 / (counts[1, k] + 1) - 1 / 82 + 1 / (counts[0, k] + 1) - 1 / 102) ** 0.5
+        want = max(0, abs(np.log(p / q)) - s.shrink * error) * np.sign(np.log(p / q)) if counts[:, k].any() else 0
+        assert abs(got[k] - want) < 1e-12
+    assert got[0] > 0 and not got[1:].any()
+
+
 def test_urls(spark):
     rows = [(i, f"http://bad{i % 3}.spam.com/buy/{i}" if i % 2 else f"http://site{i % 3}.info/read/{i}") for i in range(400)]
     rows += [(1000, None), (1001, "no scheme"), (1002, "http://A.Example.NET/en/x?y#z"), (1003, "http://net"), (1004, "x://sub.example.com/de/"), (1005, "https://evilnet/"), (1006, "")]
@@ -322,6 +368,60 @@ def test_urls(spark):
     assert urls.judge_urls(pages.limit(0), labels.limit(0)).count() == 0
 
 
+def test_url_rules_by_hand(spark):
+    """Mined rules against all token combinations counted one at a time, and verdicts on pages without a label."""
+    rng = random.Random(9)
+    rows = []
+    for i in range(600):
+        host, path, query = rng.choice(["shop", "blog", "news"]), rng.choice(["win", "read", "buy"]), rng.choice(["id", "ref"])
+        bad = rng.random() < (0.9 if host == "shop" and path == "win" else 0.5 if query == "ref" and path == "buy" else 0.1)
+        rows.append((i, f"http://{host}.example.com/{path}/{i}?{query}=1", bad))
+    labelled = spark.createDataFrame(rows, "page_id long, url string, bad boolean")
+    host, path = urls.host_path(F.col("url"))
+    mining = urls.Mining(min_count=10)
+    rules = urls.mine_rules(labelled.select(urls.tokens(host, path, F.col("url")).alias("tokens"), "bad"), mining).collect()
+    from itertools import combinations
+
+    sets = [({f"h:{x}" for x in u.split("/")[2].split(".")} | {f"p:{u.split('/')[3]}", f"q:{u.split('?')[1][:-2]}"}, b) for _, u, b in rows]
+    items = sorted(set().union(*(x for x, _ in sets)))
+    share, want = sum(b for _, b in sets) / len(sets), {}
+    for n in range(1, len(items) + 1):
+        for c in combinations(items, n):
+            of = [b for x, b in sets if x.issuperset(c)]
+            if sum(of) < 10:
+                continue
+            p, m, z = sum(of) / len(of), len(of), mining.z
+            low = (p + z * z / (2 * m) - z * (p * (1 - p) / m + z * z / (4 * m * m)) ** 0.5) / (1 + z * z / m)
+            if p >= mining.min_lift * share and low > share:
+                want[c] = p
+    want = {c: p for c, p in want.items() if not any(set(d) < set(c) and q >= p for d, q in want.items())}
+    assert want and {tuple(sorted(r.antecedent)): round(r.confidence, 9) for r in rules} == {c: round(p, 9) for c, p in want.items()}
+
+
+def test_html_tree_and_time():
+    """Link density splits first, neighbours decide too; pages the tree wasn't grown from; time in proportion."""
+    import time
+
+    tree = html.trained()
+    used = lambda t: {t[0]} | used(t[2]) | used(t[3]) if len(t) > 1 else set()
+    assert tree[0] == 1 and {0, 1, 2, 4} <= used(tree)
+    lines_ = html.LABELLED.strip().split("\n")
+    right = total = 0
+    for k in range(5):
+        grown = html.grow(html.labelled_rows([x for i, x in enumerate(lines_) if i % 5 != k]))
+        rows = html.labelled_rows([x for i, x in enumerate(lines_) if i % 5 == k])
+        right, total = right + sum(html.is_content(grown, r) == bool(r[-1]) for r in rows), total + len(rows)
+    assert right >= 0.85 * total
+    p = lambda n: f"<p>{'word ' * n}</p>"
+    assert html.main_text("<div>" + p(80) + p(40) + p(30) + p(18) + "</div>").count("\n") == 3
+    assert html.main_text("<a>Home</a> <a>News</a>" + p(60)).startswith("word")
+    for x in ("<a x", '<a ">"', "<div>", "<div hidden>", "</p>", "<a class=", "<!", "<p hidden class='x", "<svg><text>a</text>"):
+        began = time.time()
+        html.main_text(f"<article>{x * (1_000_000 // len(x))}")
+        assert time.time() - began < 8
+    assert html.main_text("<article><p>The area is <math><mi>x</mi></math> by <svg><text>y</text></svg>.</p></article>") == "The area is x by y."
+
+
 def test_html(spark):
     page = (
         "<html><head><title>T</title><script>var a='</p>';</script></head><body><header>Site</header><nav><ul><li><a href=/>Home</a></ul></nav>"
@@ -330,7 +430,7 @@ def test_html(spark):
     )
     assert html.main_text(page) == "Title & more\nFirst paragraph.\nSecond <one>."
     rows = [(1, "u", page), (2, None, None), (3, "u", ""), (4, "u", "<p>" + "word " * 200_000), (5, "u", "<article>< broken <p 'x>y")]
-    got = {r.page_id: r for r in html.extract_pages(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    got = {r.page_id: r for r in html.extract_pages(spark.createDataFrame(rows, "page_id long, url string, html string").selectExpr("*", "'x' text", "'y' n_chars", "1 `a.b`")).collect()}
     assert got[2].text == "" and got[3].n_chars == 0 and got[4].n_chars == 999_999
     assert got[1].n_chars == len(html.main_text(page))
 
