@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from podium.llm.common import col, materialize
 from podium.llm.near import Sets, similar_classes, sketch_words
 
-#: Words of 64 bits of a line's parity sketch.
+#: Words of 64 bits of a line's sketch.
 SKETCH = 8
 
 
@@ -50,6 +50,14 @@ def _order(s: Column, turn: int, mask: int) -> Column:
     return turned.bitwiseXOR(F.lit(mask))
 
 
+def _shingles(lines: DataFrame, size: int) -> DataFrame:
+    """lines(id, line) -> (id, s): the hash of each shingle, repeats too."""
+    wide = lines.select("id", _wide(F.col("line")).alias("wide"))
+    last = F.greatest(F.lit(1), F.length("wide") - (4 * size - 1))
+    each = wide.select("id", "wide", F.explode(F.sequence(F.lit(1), last, F.lit(4))).alias("at"))
+    return each.select("id", F.xxhash64(F.substring(F.col("wide"), F.col("at"), F.lit(4 * size))).alias("s"))
+
+
 def line_buckets(lines: DataFrame, how: Fuzzy) -> DataFrame:
     """lines(id, line) -> (bucket, id): the bands of each distinct line.
 
@@ -58,10 +66,7 @@ def line_buckets(lines: DataFrame, how: Fuzzy) -> DataFrame:
     """
     rng = random.Random(how.seed)
     orders = [(64 * i // how.minima, rng.getrandbits(64) - (1 << 63)) for i in range(how.minima)]
-    wide = lines.where(F.length("line") >= how.shingle).select("id", _wide(F.col("line")).alias("wide"))
-    last = F.greatest(F.lit(1), F.length("wide") - (4 * how.shingle - 1))
-    each = wide.select("id", "wide", F.explode(F.sequence(F.lit(1), last, F.lit(4))).alias("at"))
-    each = each.select("id", F.xxhash64(F.substring(F.col("wide"), F.col("at"), F.lit(4 * how.shingle))).alias("s"))
+    each = _shingles(lines.where(F.length("line") >= how.shingle), how.shingle)
     signed = each.groupBy("id").agg(*[F.min(_order(F.col("s"), *o)).alias(f"m{i}") for i, o in enumerate(orders)])
     bands = F.array(*[F.xxhash64(F.lit(i), *[f"m{(i + j) % how.minima}" for j in (0, 3, 8)]) for i in range(how.minima)])
     return signed.select(F.explode(bands).alias("bucket"), "id")
@@ -104,11 +109,11 @@ def fuzzy_classes(lines: DataFrame, how: Fuzzy) -> DataFrame:
     def elements(ids: DataFrame, kept: DataFrame) -> DataFrame:
         return kept.join(ids, "id", "left_semi").select("id", F.explode(_set(F.col("line"), how.shingle)).alias("s"))
 
-    def sketch(ids: DataFrame, kept: DataFrame) -> DataFrame:
+    def sketch(kept: DataFrame) -> DataFrame:
         words = F.array(*sketch_words(F.col("s"), SKETCH))
-        return elements(ids, kept).groupBy("id").agg(F.count("*").alias("n"), words.alias("words"))
+        return _shingles(kept, how.shingle).groupBy("id").agg(F.count("*").alias("n"), words.alias("words"))
 
-    return similar_classes(line_buckets(lines, how), prepare, verify, Sets(sketch, elements, how.percent, SKETCH))
+    return similar_classes(line_buckets(lines, how), prepare, verify, Sets(sketch, elements, how.percent, SKETCH, exact=False))
 
 
 def dedup_lines(docs: DataFrame, how: Fuzzy | None = None) -> DataFrame:

@@ -93,7 +93,8 @@ def _sign(width: int, bands: int, rows: int):
 
 
 def parity_sketch(values: np.ndarray) -> np.ndarray:
-    """Bit k of word w: the parity of the distinct values that fall there (near.sketch_words tells what for)."""
+    """Bit k of word w: the parity of the distinct values that fall there. As with near.sketch_words, sketches that differ in d
+    bits are of sets that differ in d values at least; parities still tell large sets apart."""
     bits = np.bincount((values & _U(64 * SKETCH - 1)).astype(np.int64), minlength=64 * SKETCH).astype(np.uint8) & 1
     return np.packbits(bits, bitorder="little").view(np.int64)
 
@@ -141,8 +142,8 @@ def _rows(docs: DataFrame, width: int, percent: int, bands: int, rows: int) -> D
         both = pairs.join(y, "b").join(x, "a").withColumn("common", F.size(F.array_intersect("x", "y")).cast("long"))
         return both.where(f"100 * common >= {percent} * (size(x) + size(y) - common)").select("a", "b").distinct()
 
-    def sketch(ids: DataFrame, sets: DataFrame) -> DataFrame:
-        return sets.join(ids, "id", "left_semi").select("id", F.size("shingles").cast("long").alias("n"), "words")
+    def sketch(sets: DataFrame) -> DataFrame:
+        return sets.select("id", F.size("shingles").cast("long").alias("n"), "words")
 
     def elements(ids: DataFrame, sets: DataFrame) -> DataFrame:
         return sets.join(ids, "id", "left_semi").select("id", F.explode("shingles").alias("s"))

@@ -5,10 +5,10 @@ component differs from their bucket's main one ("strangers") are then checked ag
 each of their buckets. Pairs within a component need no check: they are linked already. So a group of n near copies costs
 about n checks.
 
-What is still open is settled exactly. Buckets are split by set size, so that only sets meet whose sizes allow a link. In a
+What is still open is settled exactly. Buckets are split by set size where it is known, so that only sets meet whose sizes allow a link. In a
 part of at most `most` rows strangers meet the others, which bounds the pairs by `most` for each row; the sets of larger parts
-meet by their rarest elements (prefix filter), which loses no link either. Both leave pairs out whose sketches or places in the
-prefixes rule a link out.
+meet by their rarest elements (prefix filter), which loses no link either. Pairs whose sketches or places in the prefixes rule a link
+out are left out at each step.
 """
 
 from __future__ import annotations
@@ -29,16 +29,29 @@ Verify = Callable[[DataFrame, DataFrame], DataFrame]
 
 @dataclass(frozen=True)
 class Sets:
-    """What settles open buckets. sketch(ids, store) -> (id, n, words array<long>): set size and parity sketch.
-    elements(ids, store) -> (id, s): the distinct elements of the sets. percent: of a link. most: rows of a part that are
-    compared with each other."""
+    """What tells pairs that can't be links from those that may be. sketch(store) -> (id, n, words array<long>): a set's size
+    (exact, or at least that large) and its sketch. elements(ids, store) -> (id, s): the distinct elements of sets. percent: of
+    a link. words: of a sketch. most: rows of a part that are compared with each other."""
 
-    sketch: Callable[[DataFrame, DataFrame], DataFrame]
+    sketch: Callable[[DataFrame], DataFrame]
     elements: Callable[[DataFrame, DataFrame], DataFrame]
     percent: int
     words: int
+    exact: bool = True
     most: int = 200
 
+    def fits(self) -> str:
+        """Over x and y: two sets whose sketches differ in d bits differ in d elements at least, and the elements in which
+        similar sets differ are a bounded share of all. So this never loses a link."""
+        differ = " + ".join(f"bit_count(x.words[{w}] ^ y.words[{w}])" for w in range(self.words))
+        sizes = f"least(x.n, y.n) * 100 >= greatest(x.n, y.n) * {self.percent} and " if self.exact else ""
+        return f"{sizes}({differ}) * {100 + self.percent} <= {100 - self.percent} * (x.n + y.n)"
+
+    def likely(self, pairs: DataFrame, known: DataFrame) -> DataFrame:
+        """The pairs (a, b) that may be links."""
+        x, y = known.select(F.col("id").alias("a"), F.struct("n", "words").alias("x")), known.select(F.col("id").alias("b"), F.struct("n", "words").alias("y"))
+        return pairs.join(x, "a").join(y, "b").where(self.fits()).select("a", "b")
+
 
 def with_class(rows: DataFrame, found: DataFrame) -> DataFrame:
     return rows.join(found.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
@@ -52,17 +65,10 @@ def open_buckets(met: DataFrame, found: DataFrame) -> DataFrame:
 
 
 def sketch_words(element: Column, words: int) -> list[Column]:
-    """Aggregates over the distinct elements of a set: bit k of word w is the parity of those that fall there.
-
-    Two sets whose sketches differ in d bits differ in d elements at least, so a bound on d never loses a link.
-    """
+    """Aggregates over the elements of a set, repeats or not: bit k of word w tells whether an element falls there."""
     bit = F.call_function("shiftleft", F.lit(1).cast("long"), element.bitwiseAND(F.lit(63)).cast("int"))
     at = F.shiftrightunsigned(element, 6).bitwiseAND(F.lit(words - 1))
-    return [F.bit_xor(F.when(at == w, bit).otherwise(F.lit(0).cast("long"))) for w in range(words)]
-
-
-def _sizes(percent: int) -> str:
-    return f"least(x.n, y.n) * 100 >= greatest(x.n, y.n) * {percent}"
+    return [F.bit_or(F.when(at == w, bit).otherwise(F.lit(0).cast("long"))) for w in range(words)]
 
 
 def _mains(rows: DataFrame, key: list[str]) -> DataFrame:
@@ -91,28 +97,26 @@ def _by_prefix(ids: DataFrame, elements: DataFrame, percent: int) -> DataFrame:
     rows = materialize(rows, "prefixes")
     each = rows.join(_mains(rows, ["s"]), "s")
     left = f"(least(x.n - x.pos, y.n - y.pos)) * {100 + percent} >= {percent} * (x.n + y.n)"
-    return _strangers_met(each, ["s"], f"{_sizes(percent)} and {left}")
+    sizes = f"least(x.n, y.n) * 100 >= greatest(x.n, y.n) * {percent}"
+    return _strangers_met(each, ["s"], f"{sizes} and {left}")
 
 
-def settle(rows: DataFrame, store: DataFrame, sets: Sets) -> DataFrame:
+def settle(rows: DataFrame, store: DataFrame, known: DataFrame, sets: Sets) -> DataFrame:
     """Rows (bucket, id, component) of open buckets -> the pairs (a, b) across components that may be links, once each."""
-    p = sets.percent
-    known = materialize(sets.sketch(rows.select("id").distinct(), store), "sketches")
-    # sizes of a link differ by one class at most
-    size = F.floor(F.log(F.col("n").cast("double")) / F.lit(math.log(100 / p) * 1.0001)).cast("int")
-    rows = rows.select("bucket", "id", "component").join(known.select("id", "n"), "id")
-    rows = rows.select("bucket", "id", "component", F.explode(F.array(size, size + 1)).alias("size"))
-    rows = materialize(rows, "parts")
+    rows = rows.select("bucket", "id", "component")
+    size = F.lit(0)
+    if sets.exact:  # sizes of a link differ by one class at most
+        rows = rows.join(known.select("id", "n"), "id")
+        size = F.floor(F.log(F.col("n").cast("double")) / F.lit(math.log(100 / sets.percent) * 1.0001)).cast("int")
+        size = F.explode(F.array(size, size + 1))
+    rows = materialize(rows.select("bucket", "id", "component", size.alias("size")), "parts")
     key = ["bucket", "size"]
-    mains = _mains(rows, key)
-    each = rows.join(mains, key)
-    differ = " + ".join(f"bit_count(x.words[{w}] ^ y.words[{w}])" for w in range(sets.words))
-    fits = f"{_sizes(p)} and ({differ}) * {100 + p} <= {100 - p} * (x.n + y.n)"
-    small = _strangers_met(each.where(F.col("m") <= sets.most).join(known, "id"), key, fits)
+    each = rows.join(_mains(rows, key), key)
+    small = _strangers_met(each.where(F.col("m") <= sets.most).join(known, "id"), key, sets.fits())
     large = materialize(each.where(F.col("m") > sets.most).select("id", "component").distinct(), "large")
     if large.isEmpty():
         return small.distinct()
-    return small.unionByName(_by_prefix(large, sets.elements(large.select("id"), store), p)).distinct()
+    return small.unionByName(_by_prefix(large, sets.elements(large.select("id"), store), sets.percent)).distinct()
 
 
 def similar_classes(buckets: DataFrame, prepare: Callable[[DataFrame], DataFrame], verify: Verify, sets: Sets) -> DataFrame:
@@ -125,8 +129,9 @@ def similar_classes(buckets: DataFrame, prepare: Callable[[DataFrame], DataFrame
     hubs = buckets.groupBy("bucket").agg(F.min("id").alias("hub"), F.max("id").alias("last"))
     met = materialize(buckets.join(hubs.where("hub < last").select("bucket", "hub"), "bucket"), "buckets")
     store = prepare(met.select("id").distinct())
+    known = materialize(sets.sketch(store), "sketches")
     star = met.where("id != hub").groupBy("id").agg(F.min("hub").alias("hub"))
-    links = materialize(verify(star.select(F.col("hub").alias("a"), F.col("id").alias("b")), store), "links")
+    links = materialize(verify(sets.likely(star.select(F.col("hub").alias("a"), F.col("id").alias("b")), known), store), "links")
     found = _joined(None, links)
     strangers = open_buckets(met, found).where("component != main")
     seconds = strangers.groupBy("bucket").agg(F.min("id").alias("second"))
@@ -134,14 +139,14 @@ def similar_classes(buckets: DataFrame, prepare: Callable[[DataFrame], DataFrame
     more = met_second.select(F.least("id", "second").alias("a"), F.greatest("id", "second").alias("b")).unionByName(
         met_second.select(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b"))
     )
-    more = materialize(more.where("a != b").distinct(), "pairs")
+    more = materialize(sets.likely(more.where("a != b").distinct(), known), "pairs")
     found = _joined(found, materialize(verify(more, store), "links"))
     rows = materialize(open_buckets(met, found), "open")
     if not rows.isEmpty():
-        last = materialize(settle(rows, store, sets), "pairs")
+        last = materialize(settle(rows, store, known, sets), "pairs")
         found = _joined(found, materialize(verify(last, store), "links"))
         discard(last)
-    discard(met, store, more, rows)
+    discard(met, store, known, more, rows)
     return found
 
 
