@@ -1,39 +1,191 @@
-"""Record linkage and closures: candidates come from equi-joins on blocks, similarity is computed on those only."""
+"""Record linkage and closures: candidates come from equi-joins on blocks or words, similarity is computed on those only."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from podium.functions.text import similarity
+from podium.functions import text
+from podium.sources.storage import written
+
+
+def _letters(c: str) -> Column:
+    """The letters of a name with their occurrence numbers: what two names share of these bounds their similarity."""
+    each = F.split(F.regexp_replace(c, r"(.)", "$1\u0001"), "\u0001")
+    return F.array_distinct(F.transform(each, lambda x, i: F.concat(x, F.size(F.filter(F.slice(each, 1, i + 1), lambda y: y == x)).cast("string"))))
+
+
+def _alike(pairs: DataFrame, least: float) -> DataFrame:
+    """pairs(a, b) -> those whose similarity is at least `least`, with gelijkenis. Lengths, then shared letters rule pairs out
+    before the similarity itself is computed."""
+    n = F.length("a") + F.length("b")
+    short = pairs.where(F.least(F.length("a"), F.length("b")) * 2 >= n * least)
+    near = short.where(F.size(F.array_intersect(_letters("a"), _letters("b"))) * 2 >= n * least)
+    return near.withColumn("gelijkenis", text.similarity("a", "b")).where(F.col("gelijkenis") >= least)
 
 
 def similar_pairs(names: DataFrame, least: float = 0.9, gap: int = 3) -> DataFrame:
-    """names(naam) -> (a, b, gelijkenis) of names that begin alike and are about as long."""
-    n = names.select("naam").distinct().withColumn("blok", F.substring("naam", 1, 2))
-    x, y = n.select("blok", F.col("naam").alias("a")), n.select("blok", F.col("naam").alias("b"))
-    near = x.join(y, "blok").where((F.col("a") < F.col("b")) & (F.abs(F.length("a") - F.length("b")) <= gap))
-    return near.withColumn("gelijkenis", similarity("a", "b")).where(F.col("gelijkenis") >= least).select("a", "b", "gelijkenis")
+    """names(naam) -> (a, b, gelijkenis) of names that begin with the same two characters and are about as long."""
+    n = names.select("naam").distinct().withColumn("lengte", F.length("naam"))
+    # neighbours in length meet in one of gap + 1 keys, so that a block is split
+    x = n.select(F.substring("naam", 1, 2).alias("blok"), F.col("naam").alias("a"), F.explode(F.sequence(F.col("lengte"), F.col("lengte") + gap)).alias("l"))
+    y = n.select(F.substring("naam", 1, 2).alias("blok"), F.col("naam").alias("b"), F.explode(F.sequence(F.col("lengte"), F.col("lengte") + gap)).alias("l"))
+    at = F.col("l") == F.greatest(F.length("a"), F.length("b"))  # each pair once
+    return _alike(x.join(y, ["blok", "l"]).where((F.col("a") < F.col("b")) & at).select("a", "b"), least).select("a", "b", "gelijkenis")
+
+
+def suspicious_pairs(entries: DataFrame, least: float = 0.9, gap: int = 12) -> DataFrame:
+    """(lijst, jaar, a, b, score): keys of a chart-year of which one contains the other in both parts (score 1), or that are
+    about as long and similar. Candidates share a word or their first two characters."""
+    keys = entries.select("lijst", "jaar", "sleutel").distinct()
+    parts = [F.substring_index("sleutel", "|", 1), F.substring_index("sleutel", "|", -1)]
+    block = F.array_distinct(F.concat(F.split(parts[1], " "), F.array(F.concat(F.lit("^"), F.substring("sleutel", 1, 2)))))
+    each = keys.select("lijst", "jaar", "sleutel", parts[0].alias("ka"), parts[1].alias("kt"), F.explode(block).alias("blok"))
+    x, y = (each.select("lijst", "jaar", "blok", *[F.col(c).alias(f"{c}_{n}") for c in ("sleutel", "ka", "kt")]) for n in "ab")
+    pairs = x.join(y, ["lijst", "jaar", "blok"]).where("sleutel_a < sleutel_b").drop("blok").distinct()
+    within = lambda c: F.contains(f"{c}_a", f"{c}_b") | F.contains(f"{c}_b", f"{c}_a")
+    pairs = pairs.withColumn("bevat", within("kt") & within("ka") & (F.col("kt_a") != "") & (F.col("kt_b") != "")).withColumnsRenamed({"sleutel_a": "a", "sleutel_b": "b"})
+    sure = pairs.where("bevat").select("lijst", "jaar", "a", "b", F.lit(1.0).alias("score"))
+    near = _alike(pairs.where(~F.col("bevat") & (F.abs(F.length("a") - F.length("b")) <= gap)), least)
+    return sure.unionByName(near.select("lijst", "jaar", "a", "b", F.round("gelijkenis", 3).alias("score")))
+
+
+def pair_verdicts(entries: DataFrame, pairs: DataFrame, apart: DataFrame | None = None, gap: int = 3) -> DataFrame:
+    """pairs(lijst, jaar, a, b) -> with oordeel: "anders" if both stand in one week, "hernoemd" if their weeks are at most `gap`
+    apart, else "los". apart(sleutel_a, sleutel_b): pairs known to be separate, either way round, are left out."""
+    weeks = entries.groupBy("lijst", "jaar", "sleutel").agg(F.collect_set("week").alias("w"))
+    if apart is not None:
+        known = apart.select(F.least("sleutel_a", "sleutel_b").alias("a"), F.greatest("sleutel_a", "sleutel_b").alias("b"))
+        pairs = pairs.join(known, ["a", "b"], "left_anti")
+    of = lambda n: weeks.select("lijst", "jaar", F.col("sleutel").alias(n), F.col("w").alias(f"w{n}"))
+    both = pairs.select("lijst", "jaar", "a", "b").join(of("a"), ["lijst", "jaar", "a"]).join(of("b"), ["lijst", "jaar", "b"])
+    away = F.greatest(F.array_min("wa") - F.array_max("wb"), F.array_min("wb") - F.array_max("wa"))
+    verdict = F.when(F.arrays_overlap("wa", "wb"), "anders").when(away <= gap, "hernoemd").otherwise("los")
+    return both.select("lijst", "jaar", "a", "b", verdict.alias("oordeel"))
+
+
+def typo_proposals(entries: DataFrame, least: float = 0.9, rare: int = 8) -> DataFrame:
+    """(a, b, gelijkenis, n_a, n_b): artists that look like another one, of whom one has at most `rare` entries and the other
+    at least as many; those that only differ in a leading article are left out."""
+    n = entries.groupBy("artiest").agg(F.count("*").alias("n"))
+    pairs = similar_pairs(n.select(F.col("artiest").alias("naam")), least)
+    of = lambda c: n.select(F.col("artiest").alias(c), F.col("n").alias(f"n_{c}"))
+    found = pairs.join(of("a"), "a").join(of("b"), "b")
+    article = F.regexp_replace(F.lower("a"), "^the ", "") == F.regexp_replace(F.lower("b"), "^the ", "")
+    return found.where((F.least("n_a", "n_b") <= rare) & (F.greatest("n_a", "n_b") >= rare) & ~article).select("a", "b", "gelijkenis", "n_a", "n_b")
 
 
 def fuzzy_search(keys: DataFrame, term: str, least: float = 0.68, top: int = 200) -> DataFrame:
-    """keys(sleutel, artiest, titel) -> the best matches of a term: 1.0 if it is contained, else the similarity to the artist,
-    the title or both. Terms under 3 letters find nothing."""
-    t = term.lower().strip()
-    both = F.concat_ws(" ", F.lower("artiest"), F.lower("titel"))
-    score = F.when(F.contains(both, F.lit(t)), F.lit(1.0)).otherwise(F.greatest(*[similarity(F.lit(t), c) for c in (F.lower("artiest"), F.lower("titel"), both)]))
-    found = keys.select("sleutel", "artiest", "titel").distinct().withColumn("score", F.round(score, 3))
-    return found.where((F.col("score") >= least) & F.lit(len(t) >= 3)).orderBy(F.desc("score"), "sleutel").limit(top)
-
-
-def alias_closure(aliases: DataFrame, hops: int = 10) -> DataFrame:
-    """aliases(van, naar) -> (van, eind): chains followed by doubling; a walk that comes round ends at the smallest name on it."""
-    now = aliases.select("van", F.col("naar").alias("eind"), F.array("van", "naar").alias("pad")).where("van != naar")
-    step = aliases.select(F.col("van").alias("eind"), F.col("naar").alias("verder"))
+    """keys(sleutel, artiest, titel) -> the best matches of a term, both sides normalised: 1.0 if it is contained, else the
+    similarity to the artist, the title or both; or, if every word of the term is like a word (0.82), 0.95 of the weakest one.
+    Terms under 3 letters find nothing."""
+    one = keys.sparkSession.range(1).select(text.normalise(F.lit(term)).alias("t"))
+    t = one.first()[0]
+    if len(t) < 3:
+        return keys.select("sleutel", "artiest", "titel", F.lit(0.0).alias("score")).where("false")
+    found = keys.select("sleutel", "artiest", "titel").distinct().withColumn("ka", text.normalise(F.col("artiest"))).withColumn("kt", text.normalise(F.col("titel")))
+    found = found.withColumn("beide", F.concat_ws(" ", "ka", "kt"))
+    inside = F.contains("beide", F.lit(t))
+    rest = found.where(~inside)
+    whole = rest.withColumn("heel", F.greatest(*[text.similarity(F.lit(t), F.col(c)) for c in ("ka", "kt", "beide")]))
+    # words of the candidates are compared once each
+    words = rest.select(F.explode(F.split("beide", " ")).alias("w")).distinct()
+    asked = [w for w in t.split(" ") if w]
+    near = words.select("w", *[text.similarity(F.lit(q), F.col("w")).alias(f"q{i}") for i, q in enumerate(asked)])
+    each = rest.select("sleutel", "artiest", "titel", F.explode(F.split("beide", " ")).alias("w")).join(near, "w")
+    by_word = each.groupBy("sleutel", "artiest", "titel").agg(*[F.max(f"q{i}").alias(f"q{i}") for i in range(len(asked))])
+    weakest = F.least(*[F.col(f"q{i}") for i in range(len(asked))]) if len(asked) > 1 else F.col("q0")
+    by_word = by_word.select("sleutel", "artiest", "titel", F.when(weakest >= 0.82, weakest * 0.95).otherwise(0.0).alias("woord"))
+    scored = whole.join(by_word, ["sleutel", "artiest", "titel"], "left").select("sleutel", "artiest", "titel", F.greatest("heel", F.coalesce("woord", F.lit(0.0))).alias("score"))
+    out = found.where(inside).select("sleutel", "artiest", "titel", F.lit(1.0).alias("score")).unionByName(scored)
+    return out.withColumn("score", F.round("score", 3)).where(F.col("score") >= least).orderBy(F.desc("score"), "sleutel").limit(top)
+
+
+def alias_closure(aliases: DataFrame) -> DataFrame:
+    """aliases(van, naar), each van once -> (van, eind): chains followed to their end, whatever their length. A walk that comes
+    round ends at the smallest name on it.
+
+    Pointers double each round; the smallest name passed goes along. A chain of n links takes log2(n) rounds.
+    """
+    own = aliases.select("van", F.col("naar").alias("eind")).where("van is not null and naar is not null")
+    ends = own.select(F.col("eind").alias("van")).distinct().join(own.select("van"), "van", "left_anti").select("van", F.col("van").alias("eind"))
+    now = written(own.withColumn("minst", F.least("van", "eind")).unionByName(ends.withColumn("minst", F.col("van"))), "ketens")
+    last = ends.select(F.col("van").alias("eind"))
+    n, reach = now.count(), 1
+    while reach <= n and not now.join(last, "eind", "left_anti").isEmpty():
+        on = now.select(F.col("van").alias("eind"), F.col("eind").alias("verder"), F.col("minst").alias("m"))
+        now = written(now.join(on, "eind").select("van", F.col("verder").alias("eind"), F.least("minst", "m").alias("minst")), "ketens")
+        reach *= 2
+    settled = now.join(last.withColumn("einde", F.lit(True)), "eind", "left")
+    return settled.select("van", F.when(F.col("einde"), F.col("eind")).otherwise(F.col("minst")).alias("eind")).join(own.select("van"), "van", "left_semi")
+
+
+def redirects(moves: DataFrame, keys: DataFrame, hops: int = 10) -> DataFrame:
+    """moves(oud, nieuw), keys(sleutel) -> (sleutel, doel): where a key has moved to after at most `hops` moves; null if it never
+    moved. A walk that comes round stops before it repeats."""
+    step = moves.select(F.col("oud").alias("doel"), F.col("nieuw").alias("verder"))
+    now = keys.select("sleutel", F.col("sleutel").alias("doel"), F.array("sleutel").alias("pad"))
     for _ in range(hops):
-        on = now.join(step, "eind", "left")
-        seen = F.array_contains("pad", F.col("verder"))
-        go = F.col("verder").isNotNull() & ~seen
-        now = on.select("van", F.when(go, F.col("verder")).otherwise(F.col("eind")).alias("eind"), F.when(go, F.array_append("pad", "verder")).otherwise(F.col("pad")).alias("pad"))
-    last = now.join(step, "eind", "left")
-    return last.select("van", F.when(F.col("verder").isNotNull(), F.array_min("pad")).otherwise(F.col("eind")).alias("eind"))
+        on = now.join(step, "doel", "left")
+        go = F.col("verder").isNotNull() & ~F.array_contains("pad", F.col("verder"))
+        now = on.select("sleutel", F.when(go, F.col("verder")).otherwise(F.col("doel")).alias("doel"), F.when(go, F.array_append("pad", "verder")).otherwise(F.col("pad")).alias("pad"))
+    return now.select("sleutel", F.when(F.size("pad") > 1, F.col("doel")).alias("doel"))
+
+
+def greedy_match(theirs: DataFrame, ours: DataFrame, group: list[str], least: float = 0.6) -> DataFrame:
+    """theirs, ours(group..., id long, naam) -> (group..., hun, ons, score): equal word sets first, then in the order of their ids
+    the best Jaccard similarity of those still free, from `least`. Each row is used once.
+
+    Candidates are joined by words in Spark; only the choice within a group, whose order matters, runs as one task each.
+    """
+    words = lambda d, n: d.select(*group, F.col("id").alias(n), text.linking_words(F.col("naam")).alias(f"w{n}"))
+    t, o = words(theirs, "hun"), words(ours, "ons")
+    shared = t.withColumn("w", F.explode("whun")).join(o.withColumn("w", F.explode("wons")), [*group, "w"]).groupBy(*group, "hun", "ons").agg(F.count("*").alias("c"), F.first(F.size("whun") + F.size("wons")).alias("s"))
+    cand = shared.withColumn("score", F.col("c") / (F.col("s") - F.col("c"))).where(F.col("score") >= least)
+
+    def choose(pdf):
+        free, done, out = set(), set(), []
+        for exact in (True, False):
+            rows = pdf[pdf.score >= 1] if exact else pdf[pdf.score < 1]
+            for hun, of in rows.sort_values(["hun", "score", "ons"], ascending=[True, False, True]).groupby("hun", sort=True):
+                if hun in done:
+                    continue
+                pick = next((r for r in of.itertuples() if r.ons not in free), None)
+                if pick is not None:
+                    done.add(hun)
+                    free.add(pick.ons)
+                    out.append(pick.Index)
+        return pdf.loc[out, [*group, "hun", "ons", "score"]]
+
+    kinds = dict(cand.dtypes)
+    return cand.groupBy(*group).applyInPandas(choose, ", ".join([*[f"{g} {kinds[g]}" for g in group], "hun long", "ons long", "score double"]))
+
+
+def award_links(awards: DataFrame, songs: DataFrame, least: float = 0.6) -> DataFrame:
+    """awards(id, jaar, naam), songs(sleutel, jaar, artiest, titel) -> (id, sleutel, score): of the songs of that year and the
+    next the one with the best 0.7 * title + 0.3 * artist containment, the smallest key on ties."""
+    a = awards.select("id", F.explode(F.array("jaar", F.col("jaar") + 1)).alias("jaar"), text.linking_words(F.col("naam")).alias("w"))
+    t = songs.select("sleutel", "jaar", text.linking_words(F.col("titel")).alias("t"), text.core_words(F.col("titel")).alias("k"), text.linking_words(F.col("artiest")).alias("ar")).distinct()
+    index = t.select("sleutel", "jaar", F.explode(F.array_union("t", "ar")).alias("woord"))
+    near = a.withColumn("woord", F.explode("w")).join(index, ["jaar", "woord"]).select("id", "jaar", "w", "sleutel").distinct().join(t, ["sleutel", "jaar"])
+    score = 0.7 * F.greatest(text.contained(F.col("t"), F.col("w")), text.contained(F.col("k"), F.col("w"))) + 0.3 * text.contained(F.col("ar"), F.col("w"))
+    best = near.withColumn("score", F.round(score, 6)).where(F.col("score") >= least)
+    return best.groupBy("id").agg(F.min(F.struct((-F.col("score")).alias("m"), "sleutel")).alias("b")).select("id", "b.sleutel", (-F.col("b.m")).alias("score"))
+
+
+def awards_per_key(awards: DataFrame, year: int) -> DataFrame:
+    """awards(sleutel, jaar, soort, datum) of a year and the year before: the last date of each kind for each key."""
+    rows = awards.where(F.col("jaar").isin(year, year - 1) & F.col("sleutel").isNotNull())
+    return rows.groupBy("sleutel", "soort").agg(F.max("datum").alias("datum"))
+
+
+def reconcile(ours: DataFrame, theirs: DataFrame) -> DataFrame:
+    """ours, theirs(sleutel, punten, weken, hoogste) -> (sleutel, soort): gelijk, klein, groot (weeks differ by more than 2, or
+    points by more than max(2, 5 %)), alleen_zij, alleen_wij."""
+    of = lambda d, n: d.select("sleutel", *[F.col(c).alias(f"{n}_{c}") for c in ("punten", "weken", "hoogste")])
+    both = of(ours, "o").join(of(theirs, "z"), "sleutel", "full")
+    dp, dw = F.abs(F.col("o_punten") - F.col("z_punten")), F.abs(F.col("o_weken") - F.col("z_weken"))
+    same = (dp == 0) & (dw == 0) & (F.col("o_hoogste") == F.col("z_hoogste"))
+    large = (dw > 2) | (dp > F.greatest(F.lit(2.0), F.bround(F.col("z_punten") * 0.05)))
+    kind = F.when(F.col("o_punten").isNull(), "alleen_zij").when(F.col("z_punten").isNull(), "alleen_wij").when(same, "gelijk").when(large, "groot").otherwise("klein")
+    return both.select("sleutel", kind.alias("soort"))

@@ -15,20 +15,20 @@ def edition_length(entries: DataFrame) -> DataFrame:
 
 def best_positions(entries: DataFrame) -> DataFrame:
     """One row per key and edition: of several places the best counts. The last spelling in order stands for it."""
-    return entries.groupBy(*EDITION, "sleutel").agg(F.min("positie").alias("positie"), F.max("titel").alias("titel"), F.max("artiest").alias("artiest"))
+    return entries.groupBy(*EDITION, "sleutel").agg(F.min("positie").alias("positie"), F.max_by("titel", "positie").alias("titel"), F.max_by("artiest", "positie").alias("artiest"))
 
 
 def scored(entries: DataFrame) -> DataFrame:
     """best_positions with lengte and punten = lengte - positie + 1. One shuffle: the length is a window over editions."""
     long = entries.withColumn("lengte", F.max("positie").over(Window.partitionBy(*EDITION)))
-    best = long.groupBy(*EDITION, "sleutel").agg(F.min("positie").alias("positie"), F.max("titel").alias("titel"), F.max("artiest").alias("artiest"), F.max("lengte").alias("lengte"))
+    best = long.groupBy(*EDITION, "sleutel").agg(F.min("positie").alias("positie"), F.max_by("titel", "positie").alias("titel"), F.max_by("artiest", "positie").alias("artiest"), F.max("lengte").alias("lengte"))
     return best.withColumn("punten", F.col("lengte") - F.col("positie") + 1)
 
 
 def year_ranking(entries: DataFrame) -> DataFrame:
     """Points, peak and weeks of each key in each chart and year, with its place in that year's ranking."""
     each = scored(entries).groupBy("lijst", "jaar", "sleutel").agg(
-        F.sum("punten").alias("punten"), F.min("positie").alias("hoogste"), F.count("*").alias("weken"), F.min("week").alias("eerste_week"), F.max("titel").alias("titel"), F.max("artiest").alias("artiest")
+        F.sum("punten").alias("punten"), F.min("positie").alias("hoogste"), F.count("*").alias("weken"), F.min("week").alias("eerste_week"), F.max_by("titel", "week").alias("titel"), F.max_by("artiest", "week").alias("artiest")
     )
     order = Window.partitionBy("lijst", "jaar").orderBy(F.desc("punten"), "hoogste", "eerste_week", "sleutel")
     return each.withColumn("plek", F.row_number().over(order))
@@ -58,7 +58,7 @@ def range_totals(entries: DataFrame, first: int, last: int, overrides: DataFrame
 
 
 def decade_totals(entries: DataFrame) -> DataFrame:
-    """range_totals of each decade in one pass."""
+    """Points, weeks and peak of each decade in one pass (without overrides; range_totals takes those)."""
     return scored(entries).groupBy("lijst", (F.col("jaar") - F.col("jaar") % 10).alias("decennium"), "sleutel").agg(
         F.sum("punten").alias("punten"), F.count("*").alias("weken"), F.min("positie").alias("hoogste")
     )

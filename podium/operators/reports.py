@@ -97,7 +97,7 @@ def edition_history(entries: DataFrame) -> DataFrame:
     rows = rows.join(idx, ["lijst", "jaar", "week"])
     return rows.select(
         "lijst", "jaar", "week", "sleutel", "positie", F.when(F.lag("idx").over(order) == F.col("idx") - 1, F.lag("positie").over(order)).alias("vorige"), F.lag("jaar").over(order).alias("laatst"),
-        F.count("*").over(past).alias("edities"), F.min("positie").over(past).alias("beste"),
+        F.count("*").over(past).alias("edities"), F.min("positie").over(Window.partitionBy("lijst", "sleutel")).alias("beste"),
     )
 
 
@@ -123,6 +123,14 @@ def artist_page(entries: DataFrame, artist: str) -> DataFrame:
     return rows.groupBy("sleutel").agg(F.count("*").alias("noteringen"), F.min("jaar").alias("van"), F.max("jaar").alias("tot"), F.min("positie").alias("hoogste"), F.array_join(F.sort_array(F.collect_set("lijst")), ",").alias("lijsten"))
 
 
+_ASCII = {c: c + 32 for c in range(65, 91)}
+
+
+def ascii_lower(c: Column) -> Column:
+    """A-Z in small letters; É and the like stay."""
+    return F.translate(c, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+
+
 def like_pattern(term: str, exact: bool = False) -> str:
     """A LIKE pattern for a search term: * stands for anything, % _ and backslash for themselves; contains by default."""
     escaped = term.replace("\\", "\\\\").replace("%", "\\%").replace("_", "\\_").replace("*", "%")
@@ -130,14 +138,14 @@ def like_pattern(term: str, exact: bool = False) -> str:
 
 
 def search(entries: DataFrame, term: str, exact: bool = False, top: int = 200) -> DataFrame:
-    """Keys whose artist or title fits, without regard to case, with figures per chart, most entries first.
+    """Keys whose artist or title fits, without regard to the case of A-Z, with figures per chart, most entries first.
 
-    A pipe splits the term: both the artist and the title must fit then.
+    A pipe splits the term: both the artist and the title must fit then. Blanks at the edges of a term count.
     """
-    fits = lambda c, t: F.lower(c).like(like_pattern(t.lower(), exact))
+    fits = lambda c, t: ascii_lower(F.col(c)).like(like_pattern(t.translate(_ASCII), exact))
     if "|" in term:
         a, t = term.split("|", 1)
-        where: Column = fits("artiest", a.strip()) & fits("titel", t.strip())
+        where: Column = fits("artiest", a) & fits("titel", t)
     else:
         where = fits("artiest", term) | fits("titel", term)
     each = entries.where(where).groupBy("sleutel", "lijst").agg(
