@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from podium.operators.points import best_positions, range_totals, scored
 from podium.operators.runs import calendar_index, friday, run_span, sequence
 
-ARTIST = F.substring_index("sleutel", "|", 1)
+
+def _artist() -> Column:
+    return F.substring_index("sleutel", "|", 1)
 
 
 def full_totals(entries: DataFrame, first: int, last: int, overrides: DataFrame | None = None) -> DataFrame:
@@ -58,7 +60,7 @@ def artist_blocks(entries: DataFrame, top: int = 10) -> DataFrame:
     """(lijst, blok, plek, artiestsleutel, waarde): the artists with most songs, songs at one (zeros left out), weeks and points
     in each chart; points settle ties."""
     song = scored(entries).groupBy("lijst", "sleutel").agg(F.sum("punten").alias("p"), F.count("*").alias("w"), F.min("positie").alias("h"))
-    each = song.groupBy("lijst", ARTIST.alias("artiestsleutel")).agg(F.count("*").alias("nummers"), F.count_if(F.col("h") == 1).alias("op_een"), F.sum("w").alias("weken"), F.sum("p").alias("punten"))
+    each = song.groupBy("lijst", _artist().alias("artiestsleutel")).agg(F.count("*").alias("nummers"), F.count_if(F.col("h") == 1).alias("op_een"), F.sum("w").alias("weken"), F.sum("p").alias("punten"))
     blocks = each.select("lijst", "artiestsleutel", F.col("punten").alias("p"), F.explode(F.create_map(*[x for b in ("nummers", "op_een", "weken", "punten") for x in (F.lit(b), F.col(b))])).alias("blok", "waarde"))
     order = Window.partitionBy("lijst", "blok").orderBy(F.desc("waarde"), F.desc("p"), "artiestsleutel")
     return blocks.where("waarde > 0").withColumn("plek", F.row_number().over(order)).where(F.col("plek") <= top).drop("p")
@@ -67,13 +69,13 @@ def artist_blocks(entries: DataFrame, top: int = 10) -> DataFrame:
 def chart_figures(entries: DataFrame) -> DataFrame:
     """Entries, songs, artists, editions and span of each chart."""
     return entries.groupBy("lijst").agg(
-        F.count("*").alias("noteringen"), F.count_distinct("sleutel").alias("nummers"), F.count_distinct(ARTIST).alias("artiesten"), F.count_distinct("jaar", "week").alias("edities"), F.min("jaar").alias("van"), F.max("jaar").alias("tot")
+        F.count("*").alias("noteringen"), F.count_distinct("sleutel").alias("nummers"), F.count_distinct(_artist()).alias("artiesten"), F.count_distinct("jaar", "week").alias("edities"), F.min("jaar").alias("van"), F.max("jaar").alias("tot")
     )
 
 
 def careers(entries: DataFrame, top: int = 10) -> DataFrame:
     """The artists with the longest careers in weekly charts: last charted year less the first."""
-    each = entries.where(F.col("lijst").startswith("wk_")).groupBy(ARTIST.alias("artiestsleutel")).agg(F.min("jaar").alias("van"), F.max("jaar").alias("tot"), F.count_distinct("sleutel").alias("nummers"))
+    each = entries.where(F.col("lijst").startswith("wk_")).groupBy(_artist().alias("artiestsleutel")).agg(F.min("jaar").alias("van"), F.max("jaar").alias("tot"), F.count_distinct("sleutel").alias("nummers"))
     return each.withColumn("jaren", F.col("tot") - F.col("van")).orderBy(F.desc("jaren"), F.desc("nummers"), "artiestsleutel").limit(top)
 
 
@@ -132,7 +134,7 @@ def only_flagged(rows: DataFrame, *flags: DataFrame) -> DataFrame:
 
 def filtered_artists(entries: DataFrame, flagged: DataFrame, at_least: int = 2, share: float = 0.25) -> DataFrame:
     """Artists with at least so many songs, of which at least that share is flagged, with the share."""
-    songs = entries.select("sleutel", ARTIST.alias("artiestsleutel")).distinct()
+    songs = entries.select("sleutel", _artist().alias("artiestsleutel")).distinct()
     each = songs.join(flagged.select("sleutel").distinct().withColumn("f", F.lit(1)), "sleutel", "left").groupBy("artiestsleutel").agg(F.count("*").alias("nummers"), F.round(F.avg(F.coalesce("f", F.lit(0))), 6).alias("deel"))
     return each.where((F.col("nummers") >= at_least) & (F.col("deel") >= share))
 
