@@ -6,9 +6,8 @@ Rules are column expressions. Null stays null, an empty text stays empty; other
 from __future__ import annotations
 
 import difflib
+import re
 import unicodedata
-from functools import reduce
-from operator import or_
 
 import pandas as pd
 from pyspark.sql import Column
@@ -73,8 +72,7 @@ def bare(c: Column) -> Column:
 
 
 def _has_name(c: Column, names: tuple[str, ...]) -> Column:
-    low = bare(c)
-    return reduce(or_, [F.contains(low, F.lit(n.lower())) for n in names])
+    return F.regexp_like(bare(c), F.lit("|".join(re.escape(n.lower()) for n in names)))
 
 
 def guest_from_title(artist: Column, title: Column) -> tuple[Column, Column]:

