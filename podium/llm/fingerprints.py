@@ -59,7 +59,7 @@ def first_places(values: np.ndarray, samples: int, length: int) -> np.ndarray:
     rank, place = np.zeros((samples, 0), np.uint32), np.zeros((samples, 0), np.int64)
     for a in range(0, len(values), _CHUNK):
         ranks = values[None, a : a + _CHUNK] * _ORDERS[:samples, None]
-        ranks[ranks == _LAST] -= np.uint32(1)
+        np.minimum(ranks, _LAST - np.uint32(1), out=ranks)
         own, at = [rank], [place]
         for _ in range(min(take, ranks.shape[1])):
             least = ranks.argmin(1)[:, None]
