@@ -20,7 +20,10 @@ def _alike(pairs: DataFrame, least: float) -> DataFrame:
     before the similarity itself is computed."""
     n = F.length("a") + F.length("b")
     short = pairs.where(F.least(F.length("a"), F.length("b")) * 2 >= n * least)
-    near = short.where(F.size(F.array_intersect(_letters("a"), _letters("b"))) * 2 >= n * least)
+    # letters once for each name
+    names = written(short.select("a").unionByName(short.select(F.col("b").alias("a"))).distinct().withColumn("la", _letters("a")), "letters")
+    met = short.join(names, "a").join(names.select(F.col("a").alias("b"), F.col("la").alias("lb")), "b")
+    near = met.where(F.size(F.array_intersect("la", "lb")) * 2 >= n * least).drop("la", "lb")
     return near.withColumn("gelijkenis", text.similarity("a", "b")).where(F.col("gelijkenis") >= least)
 
 

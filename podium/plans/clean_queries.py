@@ -338,8 +338,8 @@ QUERIES = {
         "select page_id, 'Lijst week ' || page_id % 60 || ', ' || (page_id % 40 + 1985) || ' ' || regexp_extract(html, '<title>([^<]*)</title>', 1) titel, cast(regexp_extract('Lijst week ' || page_id % 60 || ', ' || (page_id % 40 + 1985) || ' ', '((?:19|20)\\d\\d)', 1) as integer) jaar, cast(page_id % 60 as integer) as week from pages",
     ),
     # without an SQL twin: similarity isn't there in SQL
-    "suspicious_pairs": (lambda spark, sf: matching.suspicious_pairs(archive(spark, sf).where("lijst like 'wk@_%' escape '@' and jaar = 1998")), None),
-    "typo_proposals": (lambda spark, sf: matching.typo_proposals(variants(spark, sf)), None),
+    "suspicious_pairs": (lambda spark, sf: matching.suspicious_pairs(archive(spark, sf).where("lijst = 'wk_A' and jaar = 1998 and positie <= 3")), None),
+    "typo_proposals": (lambda spark, sf: matching.typo_proposals(variants(spark, sf).where("positie = 1")), None),
     "greedy_match": (
         lambda spark, sf: matching.greedy_match(
             read_table(spark, sf, "part").where("p_partkey % 2 = 0").select((F.col("p_partkey") % 7).alias("g"), F.col("p_partkey").cast("long").alias("id"), F.col("p_name").alias("naam")),

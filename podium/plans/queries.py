@@ -228,7 +228,7 @@ QUERIES: dict[str, tuple[Query, str | None]] = {
     # without an SQL twin: tests compare them with golden rows
     "normalised_keys": (lambda spark, sf: archive(spark, sf).select("artiest", "titel").distinct().select("artiest", "titel", text.song_key(F.col("artiest"), F.col("titel")).alias("sleutel")), None),
     "fuzzy_search": (_e(matching.fuzzy_search, "brand#12"), None),
-    "similar_titles": (lambda spark, sf: matching.similar_pairs(read_table(spark, sf, "part").select(F.col("p_type").alias("naam")), 0.85), None),
+    "similar_titles": (lambda spark, sf: matching.similar_pairs(read_table(spark, sf, "part").select(F.col("p_name").alias("naam")), 0.7), None),
 }
 
 
