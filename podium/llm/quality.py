@@ -31,7 +31,7 @@ class Bands:
     """
 
     knots: tuple[int, ...] = (300, 500, 750, 1_000, 1_500, 2_500, 4_000, 7_000, 12_000, 20_000, 40_000, 100_000, 1_000_000)
-    whole_low: tuple[float, ...] = (0.53, 0.52, 0.5, 0.482, 0.462, 0.442, 0.428, 0.412, 0.4, 0.392, 0.38, 0.35, 0.3)
+    whole_low: tuple[float, ...] = (0.515, 0.51, 0.5, 0.482, 0.462, 0.442, 0.428, 0.412, 0.4, 0.392, 0.38, 0.35, 0.3)
     whole_high: tuple[float, ...] = (0.88, 0.84, 0.8, 0.76, 0.72, 0.68, 0.64, 0.62, 0.6, 0.58, 0.56, 0.55, 0.55)
     chunk_bytes: int = 2_000
     chunk_low: float = 0.455
