@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from podium.llm import fingerprints, html, lines, minhash, mixing, packing, quality, substrings, toxicity, urls
+from podium.llm import fingerprints, html, lines, minhash, mixing, negatives, packing, quality, substrings, toxicity, urls, whitening
 from podium.llm.common import table
 
 
@@ -55,6 +55,16 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_documents(table(spark, sf_dir, "documents"))
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten_embeddings(table(spark, sf_dir, "embeddings"))
+
+
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings")
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return negatives.mine_hard_negatives(rows.withColumn("label", moved), F.col("vec_id") % 50 == 0)
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -62,7 +72,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (op1_toxicity, op2_packing, op3_url_rules, op4_minhash, op5_html, op6_quality, op7_order_minhash, op8_substrings, op9_fuzzy_lines, op10_mixing, pipeline)
+    own = (op1_toxicity, op2_packing, op3_url_rules, op4_minhash, op5_html, op6_quality, op7_order_minhash, op8_substrings, op9_fuzzy_lines, op10_mixing, op11_whitening, op12_hard_negatives, pipeline)
     return {f.__name__: f for f in own}
 
 
