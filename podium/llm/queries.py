@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from podium.llm import fingerprints, html, lines, minhash, mixing, negatives, packing, quality, substrings, toxicity, urls, whitening
+from podium.llm import fingerprints, html, lines, lm, minhash, mixing, negatives, packing, quality, substrings, toxicity, urls, whitening
 from podium.llm.common import table
 
 
@@ -65,6 +65,12 @@ def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return negatives.mine_hard_negatives(rows.withColumn("label", moved), F.col("vec_id") % 50 == 0)
 
 
+def op13_lattice_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return lm.score_documents(table(spark, sf_dir, "documents"), lm.read_pieces(public_tokenizers.path("piece_bpe_32k.model")))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -72,7 +78,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (op1_toxicity, op2_packing, op3_url_rules, op4_minhash, op5_html, op6_quality, op7_order_minhash, op8_substrings, op9_fuzzy_lines, op10_mixing, op11_whitening, op12_hard_negatives, pipeline)
+    own = (op1_toxicity, op2_packing, op3_url_rules, op4_minhash, op5_html, op6_quality, op7_order_minhash, op8_substrings, op9_fuzzy_lines, op10_mixing, op11_whitening, op12_hard_negatives, op13_lattice_lm, pipeline)
     return {f.__name__: f for f in own}
 
 
