@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import math
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -11,13 +12,13 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, StructField, StructType
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import DoubleType, LongType, StringType, StructField, StructType
 
 from podium.llm.common import discard, materialize, slices, text_buffer
 from podium.llm.hashing import LOWER
 from podium.llm.lattice import Pieces, log_sums
 
-_TOKENS = "row long, train boolean, word string, n long"
 #: Words up to so many bytes are joined as they are, longer ones by their SHA-256, so that a word's key is short.
 _KEY_BYTES = 64
 
@@ -45,29 +46,29 @@ def held_out(doc_id: Column, parts: int = 10) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % parts == 0
 
 
-def _tokens(docs: DataFrame) -> DataFrame:
-    """docs(row, train, text) -> its lower-cased words, each once a slice of text, with the number of times."""
+def _split(b: pa.RecordBatch | pa.Table) -> pa.Table:
+    """A slice of texts -> its lower-cased words, one row each, and the row of the slice that each stands in (at)."""
+    data, ends = text_buffer(b.column("text"))  # copied to begin at 0: split_pattern_regex misreads arrays with an offset
+    text = pa.LargeStringArray.from_buffers(b.num_rows, pa.py_buffer(ends.tobytes()), pa.py_buffer(LOWER[data].tobytes()))
+    words = pc.split_pattern_regex(text, r"[\x20\x09-\x0D]+")
+    each = pa.table({"at": pc.list_parent_indices(words), "word": pc.list_flatten(words).cast(pa.string())})
+    return each.filter(pc.not_equal(each["word"], ""))
 
-    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+def _counts(rows: DataFrame) -> DataFrame:
+    """rows(train, text) -> (word, c, met): counts of words in training rows and in all."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for b in slices(whole, "text"):
-                data, ends = text_buffer(b.column("text"))  # copied to begin at 0: split_pattern_regex misreads arrays with an offset
-                text = pa.LargeStringArray.from_buffers(b.num_rows, pa.py_buffer(ends.tobytes()), pa.py_buffer(LOWER[data].tobytes()))
-                words = pc.split_pattern_regex(text, r"[\x20\x09-\x0D]+")
-                at = pc.list_parent_indices(words)
-                each = pa.table({"at": at, "word": pc.list_flatten(words)})
-                each = each.filter(pc.not_equal(each["word"], "")).group_by(["at", "word"]).aggregate([([], "count_all")])
-                out = pa.table(
-                    {
-                        "row": b.column("row").take(each["at"].combine_chunks()),
-                        "train": b.column("train").take(each["at"].combine_chunks()),
-                        "word": each["word"].cast(pa.string()),
-                        "n": each["count_all"].cast(pa.int64()),
-                    }
-                )
+                each = _split(b)
+                train = b.column("train").take(each["at"].combine_chunks()).cast(pa.int64())
+                own = pa.table({"word": each["word"], "c": train}).group_by("word").aggregate([("c", "sum"), ("c", "count")])
+                out = pa.table({"word": own["word"], "c": own["c_sum"], "met": own["c_count"]})
                 yield from out.to_batches(max_chunksize=100_000)
 
-    return docs.select("row", "train", "text").mapInArrow(split, _TOKENS)
+    own = rows.select("train", "text").mapInArrow(count, "word string, c long, met long")
+    return own.groupBy("word").agg(F.sum("c").alias("c"), F.sum("met").alias("met"))
 
 
 def _key(word: str) -> Column:
@@ -75,6 +76,56 @@ def _key(word: str) -> Column:
     return F.when(F.octet_length(word) <= _KEY_BYTES, F.col(word)).otherwise(F.concat(F.lit("\t"), F.sha2(F.col(word).cast("binary"), 256)))
 
 
+def _keys(words: pa.Array) -> pa.Array:
+    """The same in Arrow."""
+    long = pc.greater(pc.binary_length(words), _KEY_BYTES)
+    if not pc.any(long).as_py():
+        return words
+    return pa.array([("\t" + hashlib.sha256(w.encode()).hexdigest()) if far else w for w, far in zip(words.to_pylist(), long.to_pylist())], pa.string())
+
+
+def _summands(rows: DataFrame, often: pa.Table, end: tuple[float, float], end_seen: bool) -> DataFrame:
+    """rows(row, doc_id, held_out, text) -> for each text one row with the sums over its end and its frequent words, and one for
+    each of its other words, with the key to look it up by. Keys of the former are no word's and differ."""
+    sent = rows.sparkSession.sparkContext.broadcast(often)
+    fields = [StructField("row", LongType()), rows.schema["doc_id"], rows.schema["held_out"], StructField("key", StringType())]
+    fields = [StructField(f.name, f.dataType) for f in fields]
+    schema = StructType([*fields, StructField("n", LongType()), StructField("seen", LongType()), StructField("base", DoubleType()), StructField("own", DoubleType())])
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys, seen, base, own = [sent.value[c].combine_chunks() for c in ("key", "known", "base", "own")]
+        seen, base, own = seen.to_numpy(zero_copy_only=False).astype(float), base.to_numpy(), own.to_numpy()
+        for whole in batches:
+            for b in slices(whole, "text"):
+                each = _split(b)
+                at = each["at"].to_numpy()
+                key = _keys(each["word"].combine_chunks())
+                place = pc.index_in(key, keys).fill_null(-1).to_numpy()
+                hit = place >= 0
+                a, w = at[hit], place[hit]
+                total = lambda values, start: start + np.bincount(a, values[w], b.num_rows)  # noqa: B023, E731
+                row = b.column("row")
+                sums = pa.table(
+                    {
+                        "row": row,
+                        "doc_id": b.column("doc_id"),
+                        "held_out": b.column("held_out"),
+                        "key": pc.binary_join_element_wise("\t", row.cast(pa.string()), ""),
+                        "n": pa.array(1 + np.bincount(a, minlength=b.num_rows)),
+                        "seen": pa.array(total(seen, float(end_seen)).astype(np.int64)),
+                        "base": pa.array(total(base, end[0])),
+                        "own": pa.array(total(own, end[1])),
+                    }
+                )
+                rest = pa.table({"at": at[~hit], "key": key.filter(pa.array(~hit))}).group_by(["at", "key"]).aggregate([([], "count_all")])
+                none = pa.nulls(rest.num_rows)
+                others = {"row": row.take(rest["at"].combine_chunks()), "key": rest["key"], "n": rest["count_all"].cast(pa.int64())}
+                for out in (sums, pa.table({f.name: others.get(f.name, none) for f in schema})):
+                    yield from out.cast(to_arrow_schema(schema)).to_batches(max_chunksize=100_000)
+
+    return rows.select("row", "doc_id", "held_out", "text").mapInArrow(add, schema)
+
+
 @dataclass(frozen=True)
 class Model:
     """Counts of the training tokens (a document's end among them) and the log weights of pieces, the end's last."""
@@ -176,9 +227,7 @@ def score_documents(docs: DataFrame, pieces: list[bytes], parts: int = 10, round
     rows = docs.select(
         F.monotonically_increasing_id().alias("row"), "doc_id", held_out(F.col("doc_id"), parts).alias("held_out"), F.col("text").alias("text")
     ).withColumn("train", ~F.col("held_out"))
-    tokens = _tokens(rows)
-    counted = tokens.groupBy("word").agg(F.sum(F.when(F.col("train"), F.col("n")).otherwise(0)).alias("c"), F.sum("n").alias("met"))
-    counted = materialize(counted, "words")
+    counted = materialize(_counts(rows), "words")
     known = counted.where("c > 0")
     ends = rows.where("train").count()
     sums = known.agg(F.sum("c").alias("c"), F.count("*").alias("v"), F.sum((F.col("c") == 1).cast("int")).alias("one"), F.sum((F.col("c") == 2).cast("int")).alias("two")).first()
@@ -192,29 +241,16 @@ def score_documents(docs: DataFrame, pieces: list[bytes], parts: int = 10, round
     scored = materialize(scored, "scores")
     discard(counted)
     bar = (scored.agg(F.sum("met")).first()[0] or 0) / frequent
-    often = scored.where(F.col("met") >= F.lit(bar)).drop("met")
-    seldom = scored.where(F.col("met") < F.lit(bar)).drop("met")
-
-    def added(found: DataFrame) -> DataFrame:
-        n = F.col("n")
-        return found.select(
-            "row", "n", F.when(F.col("known"), n).otherwise(0).alias("seen"), (n * F.col("base")).alias("base"), (n * F.col("own")).alias("own")
-        )
-
-    keyed = tokens.select("row", _key("word").alias("key"), "n")
-    first = added(keyed.join(F.broadcast(often), "key"))
-    rest = added(keyed.join(F.broadcast(often.select("key")), "key", "left_anti").join(seldom, "key"))
-    end_base, end_own = model.end()
-    closing = rows.select(
-        "row", F.lit(1).cast("long").alias("n"), F.lit(int(ends > 0)).cast("long").alias("seen"), F.lit(end_base).alias("base"), F.lit(end_own).alias("own"), "doc_id", "held_out"
-    )
-    summands = closing.unionByName(first, allowMissingColumns=True).unionByName(rest, allowMissingColumns=True)
-    summed = summands.groupBy("row").agg(
+    often = scored.where(F.col("met") >= F.lit(bar)).select("key", "known", "base", "own").toArrow()
+    seldom = scored.where(F.col("met") < F.lit(bar)).select("key", "known", F.col("base").alias("__base"), F.col("own").alias("__own"))
+    met = _summands(rows, often, model.end(), ends > 0).join(seldom, "key", "left")
+    n, looked_up = F.col("n"), F.col("known").isNotNull()
+    summed = met.groupBy("row").agg(
         F.max("doc_id").alias("doc_id"),
         F.max("held_out").alias("held_out"),
         F.sum("n").alias("n_tokens"),
-        F.sum("seen").alias("n_known"),
-        F.sum("base").alias("base_score"),
-        F.sum("own").alias("score"),
+        F.sum(F.when(looked_up, F.when(F.col("known"), n).otherwise(0)).otherwise(F.col("seen"))).alias("n_known"),
+        F.sum(F.when(looked_up, n * F.col("__base")).otherwise(F.col("base"))).alias("base_score"),
+        F.sum(F.when(looked_up, n * F.col("__own")).otherwise(F.col("own"))).alias("score"),
     )
     return summed.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(model.tokens).cast("long").alias("train_tokens"), "base_score", "score")
