@@ -1,18 +1,17 @@
-"""Text rules for artists and titles: cleaning, canonical keys, credits, word sets, similarity.
+"""Text rules for artists and titles: cleaning, canonical keys, credits, word sets.
 
 Rules are column expressions. Null stays null, an empty text stays empty; other cases are told at each rule.
 """
 
 from __future__ import annotations
 
-import difflib
 import re
 import unicodedata
 
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, StringType
+from pyspark.sql.types import StringType
 
 #: Typographic characters and what they become in keys.
 TYPOGRAPHY = (("‘", "'"), ("’", "'"), ("‚", "'"), ("“", '"'), ("”", '"'), ("„", '"'), ("–", "-"), ("—", "-"), ("−", "-"), (" ", " "), ("​", ""))
@@ -224,12 +223,11 @@ def contained(a: Column, b: Column) -> Column:
     return F.when(F.size(a) == 0, F.lit(0.0)).otherwise(F.size(F.array_intersect(a, b)) / F.size(a))
 
 
-def subset_either_way(a: Column, b: Column) -> Column:
-    return (F.size(F.array_except(a, b)) == 0) | (F.size(F.array_except(b, a)) == 0)
+def rounded(value: Column, digits: int) -> Column:
+    """A value from 0 to 1 rounded by its exact binary value, ties to even."""
+    exact = (value * F.lit(2.0**53)).cast("decimal(20,0)") / F.lit(2**53).cast("decimal(16,0)")
+    return F.bround(exact, digits).cast("double")
 
 
-@F.pandas_udf(DoubleType())
-def similarity(a: pd.Series, b: pd.Series) -> pd.Series:
-    """Twice the matching characters over all characters (longest blocks first), as difflib counts them without its shortcut
-    for frequent letters."""
-    return pd.Series([None if x is None or y is None else difflib.SequenceMatcher(None, x, y, autojunk=False).ratio() for x, y in zip(a, b, strict=True)], dtype="float64")
+def subset_either_way(a: Column, b: Column) -> Column:
+    return (F.size(F.array_except(a, b)) == 0) | (F.size(F.array_except(b, a)) == 0)

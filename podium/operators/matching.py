@@ -6,64 +6,46 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from podium.functions import text
+from podium.functions.ratio import likeness
+from podium.operators.similarity import contained_join, similar_join
 from podium.sources.storage import written
 
 
-def _letters(c: str) -> Column:
-    """The letters of a name with their occurrence numbers: what two names share of these bounds their similarity."""
-    each = F.split(F.regexp_replace(c, r"(.)", "$1\u0001"), "\u0001")
-    return F.array_distinct(F.transform(each, lambda x, i: F.concat(x, F.size(F.filter(F.slice(each, 1, i + 1), lambda y: y == x)).cast("string"))))
-
-
-def _alike(pairs: DataFrame, least: float) -> DataFrame:
-    """pairs(a, b) -> those whose similarity is at least `least`, with gelijkenis. Lengths, then shared letters rule pairs out
-    before the similarity itself is computed."""
-    n = F.length("a") + F.length("b")
-    short = pairs.where(F.least(F.length("a"), F.length("b")) * 2 >= n * least)
-    # letters once for each name
-    names = written(short.select("a").unionByName(short.select(F.col("b").alias("a"))).distinct().withColumn("la", _letters("a")), "letters")
-    met = short.join(names, "a").join(names.select(F.col("a").alias("b"), F.col("la").alias("lb")), "b")
-    near = met.where(F.size(F.array_intersect("la", "lb")) * 2 >= n * least).drop("la", "lb")
-    return near.withColumn("gelijkenis", text.similarity("a", "b")).where(F.col("gelijkenis") >= least)
-
-
 def similar_pairs(names: DataFrame, least: float = 0.9, gap: int = 3) -> DataFrame:
-    """names(naam) -> (a, b, gelijkenis) of names that begin with the same two characters and are about as long."""
-    n = names.select("naam").distinct().withColumn("lengte", F.length("naam"))
-    # neighbours in length meet in one of gap + 1 keys, so that a block is split
-    x = n.select(F.substring("naam", 1, 2).alias("blok"), F.col("naam").alias("a"), F.explode(F.sequence(F.col("lengte"), F.col("lengte") + gap)).alias("l"))
-    y = n.select(F.substring("naam", 1, 2).alias("blok"), F.col("naam").alias("b"), F.explode(F.sequence(F.col("lengte"), F.col("lengte") + gap)).alias("l"))
-    at = F.col("l") == F.greatest(F.length("a"), F.length("b"))  # each pair once
-    return _alike(x.join(y, ["blok", "l"]).where((F.col("a") < F.col("b")) & at).select("a", "b"), least).select("a", "b", "gelijkenis")
+    """names(naam) -> (a, b, gelijkenis) of all names that begin with the same two characters, are about as long and alike."""
+    own = names.select("naam", F.substring("naam", 1, 2).alias("blok"))
+    return similar_join(own, ["blok"], least, gap).select("a", "b", "gelijkenis")
 
 
 def suspicious_pairs(entries: DataFrame, least: float = 0.9, gap: int = 12) -> DataFrame:
-    """(lijst, jaar, a, b, score): keys of a chart-year of which one contains the other in both parts (score 1), or that are
-    about as long and similar. Candidates share a word or their first two characters."""
-    keys = entries.select("lijst", "jaar", "sleutel").distinct()
-    parts = [F.substring_index("sleutel", "|", 1), F.substring_index("sleutel", "|", -1)]
-    block = F.array_distinct(F.concat(F.split(parts[1], " "), F.array(F.concat(F.lit("^"), F.substring("sleutel", 1, 2)))))
-    each = keys.select("lijst", "jaar", "sleutel", parts[0].alias("ka"), parts[1].alias("kt"), F.explode(block).alias("blok"))
-    x, y = (each.select("lijst", "jaar", "blok", *[F.col(c).alias(f"{c}_{n}") for c in ("sleutel", "ka", "kt")]) for n in "ab")
-    pairs = x.join(y, ["lijst", "jaar", "blok"]).where("sleutel_a < sleutel_b").drop("blok").distinct()
-    within = lambda c: F.contains(f"{c}_a", f"{c}_b") | F.contains(f"{c}_b", f"{c}_a")
-    pairs = pairs.withColumn("bevat", within("kt") & within("ka") & (F.col("kt_a") != "") & (F.col("kt_b") != "")).withColumnsRenamed({"sleutel_a": "a", "sleutel_b": "b"})
-    sure = pairs.where("bevat").select("lijst", "jaar", "a", "b", F.lit(1.0).alias("score"))
-    near = _alike(pairs.where(~F.col("bevat") & (F.abs(F.length("a") - F.length("b")) <= gap)), least)
-    return sure.unionByName(near.select("lijst", "jaar", "a", "b", F.round("gelijkenis", 3).alias("score")))
+    """(lijst, jaar, a, b, score): all keys a < b of a chart-year of which titles and artists each lie one within the other, either
+    way round (score 1; an empty title never does), or that differ by at most `gap` in length and are alike.
+
+    Containment is joined on the titles by their rarest letters; likeness by similar_join. Neither loses a pair.
+    """
+    keys = entries.select("lijst", "jaar", "sleutel").where("sleutel is not null").distinct()
+    artist, title = F.substring_index("sleutel", "|", 1), F.when(F.contains("sleutel", F.lit("|")), F.regexp_extract("sleutel", r"(?s)^[^|]*\|(.*)$", 1)).otherwise("")
+    parts = written(keys.select("lijst", "jaar", "sleutel", artist.alias("ka"), title.alias("kt")), "delen")
+    titles = contained_join(parts, ["lijst", "jaar"], "kt")
+    of = lambda n, t: parts.select("lijst", "jaar", F.col("kt").alias(t), F.col("sleutel").alias(n), F.col("ka").alias(f"{n}_a"))
+    met = titles.join(of("x", "klein"), ["lijst", "jaar", "klein"]).join(of("y", "groot"), ["lijst", "jaar", "groot"])
+    within = F.contains("x_a", "y_a") | F.contains("y_a", "x_a")
+    sure = met.where((F.col("x") != F.col("y")) & within).select("lijst", "jaar", F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    near = similar_join(parts.select("lijst", "jaar", F.col("sleutel").alias("naam")), ["lijst", "jaar"], least, gap).join(sure, ["lijst", "jaar", "a", "b"], "left_anti")
+    return sure.withColumn("score", F.lit(1.0)).unionByName(near.select("lijst", "jaar", "a", "b", text.rounded(F.col("gelijkenis"), 3).alias("score")))
 
 
 def pair_verdicts(entries: DataFrame, pairs: DataFrame, apart: DataFrame | None = None, gap: int = 3) -> DataFrame:
-    """pairs(lijst, jaar, a, b) -> with oordeel: "anders" if both stand in one week, "hernoemd" if their weeks are at most `gap`
-    apart, else "los". apart(sleutel_a, sleutel_b): pairs known to be separate, either way round, are left out."""
+    """pairs(lijst, jaar, a, b) -> with oordeel: "anders" if both stand in one week, "hernoemd" if at most `gap` whole weeks
+    lie between the last week of one and the first of the other, else "los". apart(sleutel_a, sleutel_b): pairs known to be separate, either way round, are left out."""
     weeks = entries.groupBy("lijst", "jaar", "sleutel").agg(F.collect_set("week").alias("w"))
     if apart is not None:
         known = apart.select(F.least("sleutel_a", "sleutel_b").alias("a"), F.greatest("sleutel_a", "sleutel_b").alias("b"))
         pairs = pairs.join(known, ["a", "b"], "left_anti")
     of = lambda n: weeks.select("lijst", "jaar", F.col("sleutel").alias(n), F.col("w").alias(f"w{n}"))
     both = pairs.select("lijst", "jaar", "a", "b").join(of("a"), ["lijst", "jaar", "a"]).join(of("b"), ["lijst", "jaar", "b"])
-    away = F.greatest(F.array_min("wa") - F.array_max("wb"), F.array_min("wb") - F.array_max("wa"))
-    verdict = F.when(F.arrays_overlap("wa", "wb"), "anders").when(away <= gap, "hernoemd").otherwise("los")
+    between = F.greatest(F.array_min("wa") - F.array_max("wb"), F.array_min("wb") - F.array_max("wa")) - 1
+    verdict = F.when(F.arrays_overlap("wa", "wb"), "anders").when(between <= gap, "hernoemd").otherwise("los")
     return both.select("lijst", "jaar", "a", "b", verdict.alias("oordeel"))
 
 
@@ -78,30 +60,43 @@ def typo_proposals(entries: DataFrame, least: float = 0.9, rare: int = 8) -> Dat
     return found.where((F.least("n_a", "n_b") <= rare) & (F.greatest("n_a", "n_b") >= rare) & ~article).select("a", "b", "gelijkenis", "n_a", "n_b")
 
 
-def fuzzy_search(keys: DataFrame, term: str, least: float = 0.68, top: int = 200) -> DataFrame:
-    """keys(sleutel, artiest, titel) -> the best matches of a term, both sides normalised: 1.0 if it is contained, else the
-    similarity to the artist, the title or both; or, if every word of the term is like a word (0.82), 0.95 of the weakest one.
-    Terms under 3 letters find nothing."""
-    one = keys.sparkSession.range(1).select(text.normalise(F.lit(term)).alias("t"))
-    t = one.first()[0]
-    if len(t) < 3:
-        return keys.select("sleutel", "artiest", "titel", F.lit(0.0).alias("score")).where("false")
-    found = keys.select("sleutel", "artiest", "titel").distinct().withColumn("ka", text.normalise(F.col("artiest"))).withColumn("kt", text.normalise(F.col("titel")))
-    found = found.withColumn("beide", F.concat_ws(" ", "ka", "kt"))
-    inside = F.contains("beide", F.lit(t))
-    rest = found.where(~inside)
-    whole = rest.withColumn("heel", F.greatest(*[text.similarity(F.lit(t), F.col(c)) for c in ("ka", "kt", "beide")]))
-    # words of the candidates are compared once each
-    words = rest.select(F.explode(F.split("beide", " ")).alias("w")).distinct()
-    asked = [w for w in t.split(" ") if w]
-    near = words.select("w", *[text.similarity(F.lit(q), F.col("w")).alias(f"q{i}") for i, q in enumerate(asked)])
-    each = rest.select("sleutel", "artiest", "titel", F.explode(F.split("beide", " ")).alias("w")).join(near, "w")
-    by_word = each.groupBy("sleutel", "artiest", "titel").agg(*[F.max(f"q{i}").alias(f"q{i}") for i in range(len(asked))])
-    weakest = F.least(*[F.col(f"q{i}") for i in range(len(asked))]) if len(asked) > 1 else F.col("q0")
-    by_word = by_word.select("sleutel", "artiest", "titel", F.when(weakest >= 0.82, weakest * 0.95).otherwise(0.0).alias("woord"))
-    scored = whole.join(by_word, ["sleutel", "artiest", "titel"], "left").select("sleutel", "artiest", "titel", F.greatest("heel", F.coalesce("woord", F.lit(0.0))).alias("score"))
-    out = found.where(inside).select("sleutel", "artiest", "titel", F.lit(1.0).alias("score")).unionByName(scored)
-    return out.withColumn("score", F.round("score", 3)).where(F.col("score") >= least).orderBy(F.desc("score"), "sleutel").limit(top)
+def fuzzy_search(keys: DataFrame, term: str, least: float = 0.68, top: int = 200, field: str = "beide", word: float = 0.82) -> DataFrame:
+    """keys(sleutel, artiest, titel) -> the `top` best matches of a term, all normalised; ties by key. field: artiest, titel or beide.
+
+    1.0 if a field (beide: artist, title or both together) has the term; else the best likeness of a field to it, from `least`.
+    A term of several words also matches word by word, for 0.95 of the weakest: each is 1 if equal to a word of the field, or, from
+    4 letters on, part of one; else its best likeness to a word, from `word`. Terms under 3 letters find nothing; keys with
+    several spellings are matched in each.
+    """
+    asked_for = keys.sparkSession.range(1).select(text.normalise(F.lit(term)).alias("t")).first()[0]
+    out = keys.select("sleutel", "artiest", "titel").distinct()
+    if len(asked_for) < 3:
+        return out.where("false").withColumn("score", F.lit(0.0))
+    found = out.withColumn("ka", text.normalise(F.coalesce("artiest", F.lit("")))).withColumn("kt", text.normalise(F.coalesce("titel", F.lit(""))))
+    names = {"artiest": ["ka"], "titel": ["kt"]}.get(field, ["ka", "kt", "samen"])
+    found = written(found.withColumn("samen", F.concat_ws(" ", "ka", "kt")), "kandidaten")
+    term_ = F.lit(asked_for)
+    # each text once, and only those whose length allows the likeness
+    texts = found.select(F.explode(F.array(*names)).alias("x")).distinct().where("x <> ''")
+    inside = F.contains("x", term_)
+    short = F.least(F.length("x"), F.length(term_)) * 2 + F.lit(1e-9) >= (F.length("x") + F.length(term_)) * F.lit(least)
+    near = texts.where(~inside & short).withColumn("r", likeness(F.col("x"), term_, least)).where(F.col("r") >= least)
+    scored = texts.where(inside).select("x", F.lit(1.0).alias("r")).unionByName(near)
+    met = found.select("sleutel", "artiest", "titel", F.explode(F.array(*names)).alias("x")).join(scored, "x").select("sleutel", "artiest", "titel", "r")
+    asked = list(dict.fromkeys(w for w in asked_for.split(" ") if w))
+    if len(asked_for.split()) > 1:
+        own = {"artiest": "ka", "titel": "kt"}.get(field, "samen")
+        each = found.select("sleutel", "artiest", "titel", F.explode(F.array_distinct(F.split(own, " "))).alias("w")).where("w <> ''")
+        marks = each.select("w").distinct().withColumn("q", F.explode(F.array(*map(F.lit, asked))))
+        whole = (F.col("w") == F.col("q")) | ((F.length("q") >= 4) & F.contains("w", F.col("q")))
+        fits = F.least(F.length("w"), F.length("q")) * 2 + F.lit(1e-9) >= (F.length("w") + F.length("q")) * F.lit(word)
+        alike = marks.where(~whole & fits).withColumn("r", likeness(F.col("w"), F.col("q"), word)).where(F.col("r") >= word)
+        marks = marks.where(whole).withColumn("r", F.lit(1.0)).unionByName(alike)
+        best = each.join(marks, "w").groupBy("sleutel", "artiest", "titel", "q").agg(F.max("r").alias("r"))
+        weakest = best.groupBy("sleutel", "artiest", "titel").agg(F.count("*").alias("n"), F.min("r").alias("r")).where(F.col("n") == len(asked))
+        met = met.unionByName(weakest.select("sleutel", "artiest", "titel", (F.col("r") * 0.95).alias("r")))
+    score = met.groupBy("sleutel", "artiest", "titel").agg(text.rounded(F.max("r"), 3).alias("score"))
+    return score.orderBy(F.desc("score"), "sleutel", "artiest", "titel").limit(top)
 
 
 def alias_closure(aliases: DataFrame) -> DataFrame:
@@ -135,35 +130,6 @@ def redirects(moves: DataFrame, keys: DataFrame, hops: int = 10) -> DataFrame:
     return now.select("sleutel", F.when(F.size("pad") > 1, F.col("doel")).alias("doel"))
 
 
-def greedy_match(theirs: DataFrame, ours: DataFrame, group: list[str], least: float = 0.6) -> DataFrame:
-    """theirs, ours(group..., id long, naam) -> (group..., hun, ons, score): equal word sets first, then in the order of their ids
-    the best Jaccard similarity of those still free, from `least`. Each row is used once.
-
-    Candidates are joined by words in Spark; only the choice within a group, whose order matters, runs as one task each.
-    """
-    words = lambda d, n: d.select(*group, F.col("id").alias(n), text.linking_words(F.col("naam")).alias(f"w{n}"))
-    t, o = words(theirs, "hun"), words(ours, "ons")
-    shared = t.withColumn("w", F.explode("whun")).join(o.withColumn("w", F.explode("wons")), [*group, "w"]).groupBy(*group, "hun", "ons").agg(F.count("*").alias("c"), F.first(F.size("whun") + F.size("wons")).alias("s"))
-    cand = shared.withColumn("score", F.col("c") / (F.col("s") - F.col("c"))).where(F.col("score") >= least)
-
-    def choose(pdf):
-        free, done, out = set(), set(), []
-        for exact in (True, False):
-            rows = pdf[pdf.score >= 1] if exact else pdf[pdf.score < 1]
-            for hun, of in rows.sort_values(["hun", "score", "ons"], ascending=[True, False, True]).groupby("hun", sort=True):
-                if hun in done:
-                    continue
-                pick = next((r for r in of.itertuples() if r.ons not in free), None)
-                if pick is not None:
-                    done.add(hun)
-                    free.add(pick.ons)
-                    out.append(pick.Index)
-        return pdf.loc[out, [*group, "hun", "ons", "score"]]
-
-    kinds = dict(cand.dtypes)
-    return cand.groupBy(*group).applyInPandas(choose, ", ".join([*[f"{g} {kinds[g]}" for g in group], "hun long", "ons long", "score double"]))
-
-
 def award_links(awards: DataFrame, songs: DataFrame, least: float = 0.6) -> DataFrame:
     """awards(id, jaar, naam), songs(sleutel, jaar, artiest, titel) -> (id, sleutel, score): of the songs of that year and the
     next the one with the best 0.7 * title + 0.3 * artist containment, the smallest key on ties."""

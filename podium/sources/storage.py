@@ -26,4 +26,18 @@ def written(df: DataFrame, name: str) -> DataFrame:
     """df as Parquet in the shared folder: lineage is cut, and executors may be lost."""
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._written = path
+    return out
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Deletes a folder, whatever file system it lies in."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes what `written` wrote for these, once nothing is read from them any more."""
+    for df in tables:
+        remove(df.sparkSession, df._written)

@@ -1,7 +1,7 @@
 """Golden cases of the chart operators on literal rows."""
 
 from podium.functions import text
-from podium.operators import cleaning, matching, points, rankings, reports, runs
+from podium.operators import cleaning, matching, points, rankings, reconciling, reports, runs
 from podium.sources.entries import ENTRY_SCHEMA, read_entries, replace_weeks, write_entries
 from pyspark.sql import functions as F
 
@@ -110,7 +110,7 @@ def test_linkage(spark):
     assert matching.pair_verdicts(e, pairs, apart).count() == 1
     theirs = spark.createDataFrame([(1, 10, "Waterloo Abba"), (1, 11, "Dancing Queen Abba"), (1, 12, "Waterloo Sunset")], "g int, id long, naam string")
     ours = spark.createDataFrame([(1, 1, "Abba Waterloo"), (1, 2, "Abba Dancing Queen Live"), (1, 3, "Kinks Waterloo Sunset")], "g int, id long, naam string")
-    assert {(r.hun, r.ons) for r in matching.greedy_match(theirs, ours, ["g"]).collect()} == {(10, 1), (11, 2), (12, 3)}
+    assert {(r.hun, r.ons) for r in reconciling.link_by_words(theirs, ours, ["g"]).collect()} == {(10, 1), (11, 2), (12, 3)}
 
 
 def test_sides_versions_and_clean_up(spark):
