@@ -26,10 +26,16 @@ def _segments(n: Column, edits: Column, spare: int) -> Column:
     )
 
 
-def similar_join(names: DataFrame, group: list[str], least: float, gap: int, spare: int = 2) -> DataFrame:
+def similar_join(names: DataFrame, group: list[str], least: float, gap: int) -> DataFrame:
     """names(group..., naam) -> (group..., a, b, gelijkenis): all pairs a < b of a group that differ by at most `gap` in length
     and whose likeness (a first) is at least `least`, above 2/3. Repeated and null names count once and never; the empty name
-    has no partner.
+    has no partner."""
+    pairs = near_pairs(names, group, least, gap)
+    return pairs.withColumn("gelijkenis", likeness(F.col("a"), F.col("b"), least)).where(F.col("gelijkenis") >= least)
+
+
+def near_pairs(names: DataFrame, group: list[str], least: float, gap: int, spare: int = 2) -> DataFrame:
+    """Candidates of similar_join: (group..., a, b), a < b, among them all pairs whose likeness is at least `least` either way round.
 
     No pair is lost. Matching characters stand in the same order in both, so a pair shares all but e characters. Of e + 1 + spare
     segments of the shorter name at least spare + 1 are left whole, each within e places of where it was; so one of its e + 1
@@ -56,7 +62,7 @@ def similar_join(names: DataFrame, group: list[str], least: float, gap: int, spa
     asked = asked.where((at >= 1) & (at + F.col("s.lang") - 1 <= m)).select(*group, "lang_", "n", "s.nr", F.substring("lang_", at, F.col("s.lang")).alias("stuk")).distinct()
     met = asked.join(index, place).where((F.col("kort") != F.col("lang_")) & ((F.col("n") < F.length("lang_")) | (F.col("kort") < F.col("lang_"))))
     pairs = met.select(*group, F.least("kort", "lang_").alias("a"), F.greatest("kort", "lang_").alias("b")).distinct()
-    return pairs.withColumn("gelijkenis", likeness(F.col("a"), F.col("b"), least)).where(F.col("gelijkenis") >= least)
+    return pairs
 
 
 def contained_join(names: DataFrame, group: list[str], by: str, width: int = 3) -> DataFrame:
