@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from podium.operators.ordering import ranked
 from podium.operators.points import best_positions, range_totals, scored
 from podium.operators.runs import calendar_index, friday, run_span, sequence
 
@@ -41,9 +42,8 @@ def year_page(entries: DataFrame, chart: str, year: int) -> DataFrame:
         F.max("week").alias("laatste_week"), F.max_by("titel", "week").alias("titel"), F.max_by("artiest", "week").alias("artiest"),
     )
     top = each.agg(F.max("op_een").alias("mo"), F.max("weken").alias("mw"))  # one row
-    order = Window.partitionBy(F.lit(1)).orderBy(F.desc("punten"), "hoogste", "eerste_week", F.lower("titel"), "sleutel")
-    ranked = each.crossJoin(F.broadcast(top)).withColumn("plek", F.row_number().over(order))  # one chart-year: some hundred rows
-    return ranked.withColumn("valt_op", F.concat_ws(",", F.when(F.col("plek") == 1, "leider"), F.when((F.col("op_een") == F.col("mo")) & (F.col("mo") > 0), "op_een"), F.when(F.col("weken") == F.col("mw"), "langst"))).drop("mo", "mw")
+    order = [F.desc("punten"), F.col("hoogste"), F.col("eerste_week"), F.lower("titel"), F.col("sleutel")]
+    return ranked(each.crossJoin(F.broadcast(top)), order).withColumn("valt_op", F.concat_ws(",", F.when(F.col("plek") == 1, "leider"), F.when((F.col("op_een") == F.col("mo")) & (F.col("mo") > 0), "op_een"), F.when(F.col("weken") == F.col("mw"), "langst"))).drop("mo", "mw")
 
 
 def song_pages(entries: DataFrame) -> DataFrame:
@@ -199,7 +199,7 @@ def matrix_order(entries: DataFrame, chart: str, year: int) -> DataFrame:
     """The songs of a chart-year in the order of a matrix: peak, first week, title."""
     rows = best_positions(entries.where((F.col("lijst") == chart) & (F.col("jaar") == year)))
     each = rows.groupBy("sleutel").agg(F.min("positie").alias("hoogste"), F.min("week").alias("eerste_week"), F.max_by("titel", "week").alias("titel"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("week", "positie"))), lambda x: F.concat_ws(":", x["week"].cast("string"), x["positie"].cast("string"))), " ").alias("weken"))
-    return each.withColumn("plek", F.row_number().over(Window.partitionBy(F.lit(1)).orderBy("hoogste", "eerste_week", F.lower("titel"), "sleutel")))
+    return ranked(each, [F.col("hoogste"), F.col("eerste_week"), F.lower("titel"), F.col("sleutel")])
 
 
 def surprise(entries: DataFrame, seed: int) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from podium.operators.ordering import ranked
+
 
 def edition_label() -> Column:
     """"2021", or "2021w52" where a chart has several editions in a year."""
@@ -20,9 +22,7 @@ def write_matrix(entries: DataFrame, path: str, chart: str) -> None:
     names = [r[0] for r in labels.select("editie").distinct().orderBy("editie").collect()]  # a chart's editions: at most some hundred
     wide = rows.join(labels, ["lijst", "jaar", "week"]).groupBy("sleutel").pivot("editie", names).agg(F.min("positie"))
     of = rows.groupBy("sleutel").agg(F.max_by("artiest", F.struct("jaar", "week", "positie")).alias("Artiest"), F.max_by("titel", F.struct("jaar", "week", "positie")).alias("Titel"), F.min("positie").alias("b"), F.count("*").alias("n"))
-    # one chart's songs: a row number over all of them is one sort of some thousand rows
-    order = Window.partitionBy(F.lit(1)).orderBy("b", F.desc("n"), "sleutel")
-    out = of.join(wide.fillna(0), "sleutel").withColumn("TotaalPositie", F.row_number().over(order))
+    out = ranked(of.join(wide.fillna(0), "sleutel"), [F.col("b"), F.desc("n"), F.col("sleutel")], "TotaalPositie")
     out.select("TotaalPositie", "Artiest", "Titel", *[F.col(f"`{n}`") for n in names]).orderBy("TotaalPositie").write.mode("overwrite").option("sep", ";").option("header", True).csv(path)
 
 
