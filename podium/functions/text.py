@@ -176,8 +176,9 @@ def _word_list(c: Column) -> Column:
 
 
 def core_words(c: Column) -> Column:
-    """linking_words of a title without parentheses and without what follows a dash; of the whole if nothing is left."""
-    core = linking_words(F.substring_index(F.regexp_replace(c, r"\([^)]*\)", " "), " - ", 1))
+    """linking_words of a title without what stands in round or square brackets and without what follows a dash; of the whole if
+    nothing is left."""
+    core = linking_words(F.substring_index(F.regexp_replace(c, r"\([^)]*\)|\[[^\]]*\]", " "), " - ", 1))
     return F.when(F.size(core) > 0, core).otherwise(linking_words(c))
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from podium.operators.ordering import ranked
 from podium.operators.points import best_positions, range_totals, scored
-from podium.operators.runs import calendar_index, friday, run_span, sequence
+from podium.operators.runs import calendar_index, friday, run_edges, run_span, sequence
 
 
 def _artist() -> Column:
@@ -24,8 +24,8 @@ def full_totals(entries: DataFrame, first: int, last: int, overrides: DataFrame
         F.min(F.struct("jaar", "week")).alias("a"), F.max(F.struct("jaar", "week")).alias("z"),
     )
     out = range_totals(entries, first, last, overrides).join(more, ["lijst", "sleutel"])
-    edge = lambda year, flag: run_span(entries, year).select("lijst", "sleutel", flag)
-    out = out.join(edge(first, "begon_eerder"), ["lijst", "sleutel"], "left").join(edge(last, "loopt_door"), ["lijst", "sleutel"], "left")
+    edges = run_edges(entries, [first, last]).select("lijst", "sleutel", F.col("vroeger_0").alias("begon_eerder"), F.col("later_1").alias("loopt_door"))
+    out = out.join(edges, ["lijst", "sleutel"], "left")
     return out.select(
         "lijst", "sleutel", "titel", "artiest", "punten", "weken", "hoogste", "beste_jaar", "jaren", "jaartallen",
         friday(F.col("a.jaar"), F.col("a.week")).alias("eerste_dag"), friday(F.col("z.jaar"), F.col("z.week")).alias("laatste_dag"),

@@ -43,17 +43,32 @@ def runs(entries: DataFrame) -> DataFrame:
     ).drop("island")
 
 
+def run_edges(entries: DataFrame, years: list[int]) -> DataFrame:
+    """For each song and each of the years (n: its place in the list, from 0): begin_n, the begin of the run that holds its first
+    edition of the year, and eind_n, the end of the run that holds its last one, as indexes; vroeger_n and later_n: whether these
+    lie outside the year. Null for a year without the song.
+
+    One pass: editions are numbered in a song's own partition, shared places share a number, and what is asked of a run and of
+    its song are aggregates there.
+    """
+    cal = calendar_index(entries)
+    edges = [f(F.when(F.col("jaar") == y, F.col("idx"))).over(Window.partitionBy("lijst")).alias(f"{n}{k}") for k, y in enumerate(years) for n, f in (("ya", F.min), ("yz", F.max))]
+    seq = entries.select("lijst", "jaar", "week", "sleutel").join(cal.select("*", *edges), ["lijst", "jaar", "week"])
+    seq = seq.withColumn("island", F.col("idx") - F.dense_rank().over(_by_idx()))
+    of = lambda k: F.when(F.col("jaar") == years[k], F.col("idx"))
+    each = range(len(years))
+    run = seq.groupBy(*_SONG, "island").agg(
+        F.min("idx").alias("b"), F.max("idx").alias("e"), *[F.min(of(k)).alias(f"a{k}") for k in each], *[F.max(of(k)).alias(f"z{k}") for k in each], *[F.first(f"{n}{k}").alias(f"{n}{k}") for k in each for n in ("ya", "yz")]
+    )
+    song = run.groupBy(*_SONG).agg(*[x for k in each for x in (F.min_by("b", f"a{k}").alias(f"begin_{k}"), F.max_by("e", f"z{k}").alias(f"eind_{k}"), F.first(f"ya{k}").alias(f"ya{k}"), F.first(f"yz{k}").alias(f"yz{k}"))])
+    return song.select(*_SONG, *[x for k in each for x in (f"begin_{k}", f"eind_{k}", (F.col(f"begin_{k}") < F.col(f"ya{k}")).alias(f"vroeger_{k}"), (F.col(f"eind_{k}") > F.col(f"yz{k}")).alias(f"later_{k}"))])
+
+
 def run_span(entries: DataFrame, year: int) -> DataFrame:
     """For songs charted in a year: the begin of the run that holds their first edition of the year and the end of the run that
     holds the last one, as indexes, and whether these lie outside the year."""
-    r, cal = runs(entries), calendar_index(entries)
-    own = sequence(entries).where(F.col("jaar") == year).groupBy(*_SONG).agg(F.min("idx").alias("a"), F.max("idx").alias("z"))
-    edge = cal.where(F.col("jaar") == year).groupBy("lijst").agg(F.min("idx").alias("ya"), F.max("idx").alias("yz"))
-    x = own.join(r.select(*_SONG, "begin_idx", "eind_idx"), list(_SONG)).groupBy(*_SONG, "a", "z").agg(
-        F.max(F.when(F.col("a").between(F.col("begin_idx"), F.col("eind_idx")), F.col("begin_idx"))).alias("begin_idx"),
-        F.max(F.when(F.col("z").between(F.col("begin_idx"), F.col("eind_idx")), F.col("eind_idx"))).alias("eind_idx"),
-    )
-    return x.join(edge, "lijst").select(*_SONG, "begin_idx", "eind_idx", (F.col("begin_idx") < F.col("ya")).alias("begon_eerder"), (F.col("eind_idx") > F.col("yz")).alias("loopt_door"))
+    own = run_edges(entries, [year]).where("begin_0 is not null")
+    return own.select(*_SONG, F.col("begin_0").alias("begin_idx"), F.col("eind_0").alias("eind_idx"), F.col("vroeger_0").alias("begon_eerder"), F.col("later_0").alias("loopt_door"))
 
 
 def highest_entries(entries: DataFrame) -> DataFrame:
