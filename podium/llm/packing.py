@@ -23,8 +23,8 @@ _ODD_BYTE = np.zeros(256, bool)
 _ODD_BYTE[[9, 11, 12, 13, 28, 29, 30, 31]] = True
 _ODD_PAIRS = ("  ", "\n\n", " \n", "\n ", "<|")
 _WIDE_SPACES = "\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
-#: A cached piece and its ids take about 300 bytes.
-_CACHE_PIECES = 100_000
+#: A cached piece and its ids take about 300 bytes; a worker keeps them for its next task.
+_CACHE_PIECES = 200_000
 
 
 def _byte_letters() -> dict[int, int]:
@@ -159,7 +159,6 @@ def _pieces(tokenizer: str, most: int, end_id: int):
                             column.append(x)
                 arrays = [part.column("doc_id").take(pa.array(rows[0], pa.int64())), *[pa.array(x, pa.int64()) for x in rows[1:]]]
                 yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
-        encode.clear()  # the worker lives on
 
     return run
 
