@@ -220,9 +220,9 @@ def score_documents(docs: DataFrame, pieces: list[bytes], parts: int = 10, round
     counted and scored each. Very long texts are split in slices of words, very long words summed alone, at a few bytes of
     memory for each of theirs. Without training rows the existing order of pieces alone decides. An empty table stays empty.
 
-    Each distinct word is summed once, however often it occurs. Words with at least a `frequent`-th part of all tokens (at most
-    so many, each by a key of at most 65 bytes) are sent to all tasks; the others meet their scores in a join whose largest key
-    holds less than that part.
+    Each distinct word is summed once, however often it occurs. The `frequent` most frequent words (each by a key of at most 65
+    bytes) are sent to all tasks; the others meet their scores in a join, of which no key has more than a `frequent`-th part of
+    all tokens.
     """
     rows = docs.select(
         F.monotonically_increasing_id().alias("row"), "doc_id", held_out(F.col("doc_id"), parts).alias("held_out"), F.col("text").alias("text")
@@ -240,10 +240,9 @@ def score_documents(docs: DataFrame, pieces: list[bytes], parts: int = 10, round
     )
     scored = materialize(scored, "scores")
     discard(counted)
-    bar = (scored.agg(F.sum("met")).first()[0] or 0) / frequent
-    often = scored.where(F.col("met") >= F.lit(bar)).select("key", "known", "base", "own").toArrow()
-    seldom = scored.where(F.col("met") < F.lit(bar)).select("key", "known", F.col("base").alias("__base"), F.col("own").alias("__own"))
-    met = _summands(rows, often, model.end(), ends > 0).join(seldom, "key", "left")
+    often = scored.orderBy(F.desc("met"), "key").limit(frequent).select("key", "known", "base", "own").toArrow()
+    table = scored.select("key", "known", F.col("base").alias("__base"), F.col("own").alias("__own"))
+    met = _summands(rows, often, model.end(), ends > 0).join(table, "key", "left")
     n, looked_up = F.col("n"), F.col("known").isNotNull()
     summed = met.groupBy("row").agg(
         F.max("doc_id").alias("doc_id"),
