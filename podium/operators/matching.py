@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from podium.functions import text
 from podium.functions.ratio import likeness
-from podium.operators.similarity import contained_join, similar_join
+from podium.operators.similarity import contained_join, near_pairs, similar_join
 from podium.sources.storage import written
 
 
@@ -130,15 +130,27 @@ def redirects(moves: DataFrame, keys: DataFrame, hops: int = 10) -> DataFrame:
     return now.select("sleutel", F.when(F.size("pad") > 1, F.col("doel")).alias("doel"))
 
 
-def award_links(awards: DataFrame, songs: DataFrame, least: float = 0.6) -> DataFrame:
+def award_links(awards: DataFrame, songs: DataFrame, least: float = 0.6, whole: float = 0.85) -> DataFrame:
     """awards(id, jaar, naam), songs(sleutel, jaar, artiest, titel) -> (id, sleutel, score): of the songs of that year and the
-    next the one with the best 0.7 * title + 0.3 * artist containment, the smallest key on ties."""
+    next the one with the best score, the smallest key on ties. The score is 0.7 * title + 0.3 * artist containment; for a song
+    under `least` by words it is the likeness of all words in order, put together, from `whole` on, so that names written apart
+    or as one still meet."""
     a = awards.select("id", F.explode(F.array("jaar", F.col("jaar") + 1)).alias("jaar"), text.linking_words(F.col("naam")).alias("w"))
     t = songs.select("sleutel", "jaar", text.linking_words(F.col("titel")).alias("t"), text.core_words(F.col("titel")).alias("k"), text.linking_words(F.col("artiest")).alias("ar")).distinct()
     index = t.select("sleutel", "jaar", F.explode(F.array_union("t", "ar")).alias("woord"))
     near = a.withColumn("woord", F.explode("w")).join(index, ["jaar", "woord"]).select("id", "jaar", "w", "sleutel").distinct().join(t, ["sleutel", "jaar"])
     score = 0.7 * F.greatest(text.contained(F.col("t"), F.col("w")), text.contained(F.col("k"), F.col("w"))) + 0.3 * text.contained(F.col("ar"), F.col("w"))
     best = near.withColumn("score", F.round(score, 6)).where(F.col("score") >= least)
+    flat = lambda *c: text.sorted_words(F.concat_ws(" ", *c))
+    asked = awards.select("id", F.explode(F.array("jaar", F.col("jaar") + 1)).alias("jaar"), flat("naam").alias("p")).where("p <> ''")
+    had = songs.select("sleutel", "jaar", flat("titel", "artiest").alias("q")).where("q <> ''").distinct()
+    names = asked.select("jaar", F.col("p").alias("naam")).unionByName(had.select("jaar", F.col("q").alias("naam")))
+    pairs = near_pairs(names, ["jaar"], whole, 1_000_000)
+    either = pairs.select("jaar", F.col("a").alias("p"), F.col("b").alias("q")).unionByName(pairs.select("jaar", F.col("b").alias("p"), F.col("a").alias("q")))
+    either = either.unionByName(asked.select("jaar", "p", F.col("p").alias("q")).distinct())
+    met = asked.join(either, ["jaar", "p"]).join(had, ["jaar", "q"]).select("id", "sleutel", "p", "q").join(best.select("id", "sleutel"), ["id", "sleutel"], "left_anti")
+    alike = met.withColumn("score", likeness(F.col("q"), F.col("p"), whole)).where(F.col("score") >= whole)
+    best = best.select("id", "sleutel", "score").unionByName(alike.select("id", "sleutel", F.round("score", 6).alias("score")))
     return best.groupBy("id").agg(F.min(F.struct((-F.col("score")).alias("m"), "sleutel")).alias("b")).select("id", "b.sleutel", (-F.col("b.m")).alias("score"))
 
 

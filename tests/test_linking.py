@@ -180,3 +180,10 @@ def test_reconciliation(spark):
             o = years[r.g][1]
             assert r.doel == f"{r.g}-{min(r.ons, key=lambda k: (-o[k][3], -o[k][2], k))}"
     assert reconciling.reconcile_years(theirs.limit(0), ours.limit(0), ["g"]).count() == 0
+
+
+def test_awards_by_words_or_as_a_whole(spark):
+    songs = [("mimimi|x", 2020, "Serebro", "Mimimi"), ("vanvelzen|when", 2020, "VanVelzen", "When Summer Ends"), ("abba|w", 2021, "Abba", "Waterloo [Live]")]
+    awards = [(1, 2020, "Mi Mi Mi - Serebro"), (2, 2020, "When Summer Ends - Van Velzen"), (3, 2020, "Waterloo - Abba"), (4, 2022, "Waterloo - Abba"), (5, 2020, "Zoiets - Niemand")]
+    got = matching.award_links(spark.createDataFrame(awards, "id long, jaar int, naam string"), spark.createDataFrame(songs, "sleutel string, jaar int, artiest string, titel string")).collect()
+    assert {r.id: (r.sleutel, r.score) for r in got} == {1: ("mimimi|x", 1.0), 2: ("vanvelzen|when", 0.7), 3: ("abba|w", 1.0)}
