@@ -202,7 +202,7 @@ def _awards(spark: SparkSession, sf: str) -> DataFrame:
 def _award_links(spark: SparkSession, sf: str) -> DataFrame:
     e = archive(spark, sf).where("lijst = 'jr_F'")
     songs = e.select("sleutel", "jaar", "artiest", "titel").distinct()
-    awards = e.where("positie <= 40").select((F.col("jaar") * 100 + F.col("positie")).alias("id"), "jaar", F.concat_ws(" - ", F.substring_index("titel", " ", 4), "artiest").alias("naam"))
+    awards = e.select((F.col("jaar") * 1000 + F.col("positie")).alias("id"), "jaar", F.concat_ws(" - ", F.substring_index("titel", " ", 4), "artiest").alias("naam"))
     return matching.award_links(awards, songs)
 
 
@@ -337,7 +337,7 @@ QUERIES = {
     "award_links": (
         _award_links,
         _sql(
-            ", s as (select distinct sleutel, jaar, artiest, titel from e where lijst = 'jr_F'), aw as (select jaar * 100 + positie id, jaar, array_to_string(string_split(titel, ' ')[1:4], ' ') || ' - ' || artiest naam from e where lijst = 'jr_F' and positie <= 40), "
+            ", s as (select distinct sleutel, jaar, artiest, titel from e where lijst = 'jr_F'), aw as (select jaar * 1000 + positie id, jaar, array_to_string(string_split(titel, ' ')[1:4], ' ') || ' - ' || artiest naam from e where lijst = 'jr_F'), "
             f"lw as (select sleutel, jaar, list_distinct(list_filter(string_split({_norm('titel', False)}, ' '), lambda w: w <> '')) t, list_distinct(list_filter(string_split({_norm('artiest', False)}, ' '), lambda w: w <> '')) ar from s), la as (select id, jaar, list_distinct(list_filter(string_split({_norm('naam', False)}, ' '), lambda w: w <> '')) w from aw), "
             "c as (select id, sleutel, round(0.7 * len(list_intersect(t, w)) / len(t) + 0.3 * len(list_intersect(ar, w)) / len(ar), 6) score from la join lw on lw.jaar in (la.jaar, la.jaar + 1)) select id, arg_min(sleutel, (-score, sleutel)) sleutel, max(score) score from c where score >= 0.6 group by id"
         ),
