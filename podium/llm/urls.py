@@ -49,30 +49,54 @@ def tokens(host: Column, path: Column, url: Column) -> Column:
     return F.array_distinct(parts)
 
 
+def _merged(sets: DataFrame, least: float, n: int) -> DataFrame:
+    """sets(tokens, pages, bad) of distinct tokens -> (item, alternatives): the tokens that `least` unwanted pages have, those of
+    exactly the same labelled pages as one item. Tokens of all n pages tell nothing and are no item.
+
+    Pages are compared by their number and two sums of 64-bit hashes of their token sets."""
+    key = [F.xxhash64(F.lit(seed), "tokens").cast("decimal(38,0)") for seed in (1, 2)]
+    each = sets.select(F.explode("tokens").alias("token"), "pages", "bad", *[k.alias(f"k{i}") for i, k in enumerate(key)])
+    same = [F.sum(x).alias(x) for x in ("k0", "k1", "pages", "bad")]
+    of = each.groupBy("token").agg(*same).where(F.col("bad") >= least)
+    items = of.groupBy("k0", "k1", "pages", "bad").agg(F.array_sort(F.collect_list("token")).alias("alternatives"))
+    return items.where(F.col("pages") < n).select(F.col("alternatives")[0].alias("item"), "alternatives")
+
+
 def mine_rules(labelled: DataFrame, mining: Mining | None = None) -> DataFrame:
-    """labelled(tokens, bad boolean) -> (antecedent, confidence, support, rarest): rules for unwanted urls.
+    """labelled(tokens, bad boolean) -> (antecedent, confidence, support, rarest, fits): rules for unwanted urls.
+
+    Tokens of exactly the same labelled pages are one item, named by the first of them, so urls that repeat as a whole don't
+    give each of their token combinations. fits holds for each item of the antecedent its tokens, rarest those of its rarest item:
+    a url fits with one of each. These are the same rules as without items, written once.
 
-    FP-growth finds the token combinations that enough unwanted pages have; how many of all labelled pages have them comes from
-    the inverted index that matches rules too. Of the rules that are sure enough none stays that a rule of fewer tokens with no
+    FP-growth finds the combinations that enough unwanted pages have; how many of all labelled pages have them comes from the
+    inverted index that matches rules too. Of the rules that are sure enough none stays that a rule of fewer items with no
     less confidence makes needless. Empty without labelled or without unwanted pages.
     """
     mining = mining or Mining()
     spark = labelled.sparkSession
-    sets = labelled.where("bad is not null and tokens is not null").select(F.array_sort("tokens").alias("tokens"), F.col("bad").cast("long").alias("bad"))
-    sets = materialize(sets, "sets")
-    n, n_bad = sets.agg(F.count("*"), F.sum("bad")).first()
+    known = labelled.where("bad is not null and tokens is not null").select(F.array_sort("tokens").alias("tokens"), F.col("bad").cast("long").alias("bad"))
+    sets = materialize(known.groupBy("tokens").agg(F.count("*").alias("pages"), F.sum("bad").alias("bad")), "sets")
+    n, n_bad = sets.agg(F.sum("pages"), F.sum("bad")).first()
     if not n_bad:
-        return spark.createDataFrame([], "antecedent array<string>, confidence double, support double, rarest string")
+        return spark.createDataFrame([], "antecedent array<string>, confidence double, support double, rarest array<string>, fits array<array<string>>")
     share = n_bad / n
-    least = max(mining.min_support * n, mining.min_count) / n_bad
-    found = FPGrowth(itemsCol="tokens", minSupport=min(1.0, least)).fit(sets.where("bad = 1").select("tokens")).freqItemsets
-    found = materialize(found.where(F.col("freq") >= least * n_bad), "itemsets")
+    least = max(mining.min_support * n, mining.min_count)
+    items = materialize(_merged(sets, least, n), "items")
+    of = items.select("item", F.explode("alternatives").alias("token"))
+    each = sets.withColumn("key", F.col("tokens")).select("key", "pages", "bad", F.explode("tokens").alias("token")).join(of, "token")
+    sets = each.groupBy("key", "pages", "bad").agg(F.array_sort(F.collect_set("item")).alias("tokens"))
+    sets = materialize(sets.groupBy("tokens").agg(F.sum("pages").alias("pages"), F.sum("bad").alias("bad")), "sets")
+    # equal sets come from one row, by thousands
+    rows = sets.where("bad > 0").select("tokens", "bad", F.explode(F.sequence(F.lit(0).cast("long"), F.col("bad") - 1, F.lit(1000).cast("long"))).alias("at"))
+    rows = rows.select("tokens", F.explode(F.sequence(F.lit(1).cast("long"), F.least(F.lit(1000).cast("long"), F.col("bad") - F.col("at"))))).select("tokens")
+    n_rows = sets.agg(F.coalesce(F.sum("bad"), F.lit(0))).first()[0]  # unwanted pages that have an item
+    found = FPGrowth(itemsCol="tokens", minSupport=min(1.0, least / max(1, n_rows))).fit(rows).freqItemsets
+    found = materialize(found.where(F.col("freq") >= least), "itemsets")
     single = found.where(F.size("items") == 1).select(F.col("items")[0].alias("item"), F.col("freq").alias("one"))
     each = found.select(F.array_sort("items").alias("antecedent"), "freq", F.explode("items").alias("item")).join(single, "item")
     keyed = materialize(each.groupBy("antecedent", "freq").agg(F.min_by("item", F.struct("one", "item")).alias("rarest")), "itemsets")
-    # equal token sets are matched once
-    distinct = sets.groupBy("tokens").agg(F.count("*").alias("pages"))
-    fits = index_match(distinct.select("tokens", "pages"), keyed)
+    fits = index_match(sets.select("tokens", "pages"), keyed)
     total = fits.groupBy("antecedent").agg(F.sum("pages").cast("double").alias("total"))
     p, z2 = F.col("freq") / F.col("total"), mining.z**2
     lower = (p + z2 / (2 * F.col("total")) - mining.z * F.sqrt(p * (1 - p) / F.col("total") + z2 / (4 * F.col("total") ** 2))) / (1 + z2 / F.col("total"))
@@ -84,7 +108,10 @@ def mine_rules(labelled: DataFrame, mining: Mining | None = None) -> DataFrame:
     needless = wide.join(short, "item").where(
         (F.size("less") < F.size("antecedent")) & (F.col("sure") >= F.col("confidence")) & (F.size(F.array_except("less", "antecedent")) == 0)
     )
-    return rules.join(needless.select("antecedent").distinct(), "antecedent", "left_anti")
+    rules = rules.join(needless.select("antecedent").distinct(), "antecedent", "left_anti")
+    each = rules.select("*", F.explode("antecedent").alias("item")).join(items, "item")
+    rare = F.max(F.when(F.col("item") == F.col("rarest"), F.col("alternatives"))).alias("rarest")
+    return each.groupBy("antecedent", "confidence", "support").agg(rare, F.collect_list("alternatives").alias("fits"))
 
 
 def index_match(rows: DataFrame, rules: DataFrame) -> DataFrame:
@@ -96,7 +123,9 @@ def index_match(rows: DataFrame, rules: DataFrame) -> DataFrame:
 
 def match_rules(urls: DataFrame, rules: DataFrame) -> DataFrame:
     """urls(url, tokens) -> (url, confidence) of those that a rule fits, with that of the surest rule; equal ones don't matter."""
-    fits = index_match(urls.select("url", "tokens"), rules.select("rarest", "antecedent", "confidence"))
+    posts = rules.select(F.explode("rarest").alias("token"), "fits", "confidence")
+    met = urls.select("url", "tokens", F.explode("tokens").alias("token")).join(posts, "token")
+    fits = met.where(F.forall("fits", lambda x: F.arrays_overlap(x, F.col("tokens"))))
     return fits.groupBy("url").agg(F.max("confidence").alias("confidence"))
 
 

@@ -398,6 +398,22 @@ def test_url_rules_by_hand(spark):
     assert want and {tuple(sorted(r.antecedent)): round(r.confidence, 9) for r in rules} == {c: round(p, 9) for c, p in want.items()}
 
 
+def test_url_rules_of_repeated_urls(spark):
+    """Urls of many tokens that repeat as a whole, which have 2**25 combinations; one of their tokens tells as much as all."""
+    import time
+
+    words = "/".join(f"w{chr(97 + j)}x" for j in range(25))
+    rows = [(i, f"http://a.spam.com/{words}?q=1") for i in range(30)] + [(100 + i, f"http://site{i % 7}.info/read/{i}") for i in range(300)]
+    rows += [(900, "http://other.org/xx/wdx/zz"), (901, "http://other.org/xx/zz"), (902, "http://b.spam.com/")]
+    pages = spark.createDataFrame(rows, "page_id long, url string")
+    labels = spark.createDataFrame([(i, int(i >= 30), 0) for i, _ in rows if i < 900], "doc_id long, quality int, toxic int")
+    began = time.time()
+    got = {r.page_id: (r.verdict, r.confidence) for r in urls.judge_urls(pages, labels).collect()}
+    assert time.time() - began < 60
+    assert all((got[i][0] == "block") == (i < 30 or i in (900, 902)) for i in got)
+    assert got[900] == got[0] == ("block", 1.0)
+
+
 def test_html_tree_and_time():
     """Link density splits first, neighbours decide too; pages the tree wasn't grown from; time in proportion."""
     import time
