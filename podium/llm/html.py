@@ -78,23 +78,39 @@ _VOID = frozenset("area base br col embed hr img input link meta param source tr
 _NESTED = frozenset("address article aside blockquote body center details dialog dir div dl fieldset figure footer form header hgroup main menu nav ol section table ul".split())
 _NOISE = frozenset("nav footer aside form menu dialog".split())
 _NAMED = frozenset(("class", "id", "role", "aria-label"))
-_HINT = re.compile(
-    r"(?<![a-z])(?:ads?|advert\w*|banners?|sponsor\w*|promo\w*|nav|navbar|navigation|menu\w*|breadcrumbs?|sidebar\w*|footer|masthead|cookies?|"
+#: Names of what is no main text, and words that may stand beside one of them in a name: sidebar-left, ad_box, siteFooter.
+_HINTS = re.compile(
+    r"(?:ads?|advert\w*|banners?|sponsor\w*|promo\w*|nav|navbar|navigation|menu\w*|breadcrumbs?|sidebar\w*|footer|masthead|cookies?|"
     r"consent|notices?|alert|popup|modal|newsletter|subscribe|share|sharing|social|related|recommend\w*|comments?|replies|disqus|widget\w*|toolbar|"
-    r"pagination|pager|login|signup|search|contentinfo|complementary)(?![a-z])",
-    re.I,
+    r"pagination|pager|login|signup|search|contentinfo|complementary)"
 )
+_BESIDE = re.compile(
+    r"(?:left|right|top|bottom|main|site|page|global|primary|secondary|inner|outer|box|bar|area|block|section|container|wrapper|wrap|panel|region|"
+    r"list|items?|links?|unit|slot|form|buttons?|icons?|thread|user|reader|post|article|\d+)?"
+)
+_COMMENTS = re.compile(r"comments?|replies|disqus")
+_PART = re.compile(r"(?<=[a-z])(?=[A-Z])|[-_]+")
 _ATTRIBUTE = re.compile(r"([^\s=/>\"']+)(?:\s*+=\s*+(?:\"([^\"]*)\"|'([^']*)'|([^\s>]*)))?")
 _NO_DISPLAY = re.compile(r"display\s*:\s*none", re.I)
 
 
-def _meaning(attributes: str) -> tuple[bool, bool]:
-    """Whether attributes hide the element, and whether they name it as something else than main text."""
-    hidden = named = False
+def _hint(name: str) -> int:
+    """Whether a whole name is a hint (2: of comments): one part at least, with nothing but words of place and form beside it."""
+    parts = [x.lower() for x in _PART.split(name)]
+    hints = [bool(_HINTS.fullmatch(x)) for x in parts]
+    if not any(hints) or not all(h or _BESIDE.fullmatch(x) for h, x in zip(hints, parts, strict=True)):
+        return 0
+    return 2 if any(map(_COMMENTS.fullmatch, parts)) else 1
+
+
+def _meaning(attributes: str) -> tuple[bool, int]:
+    """Whether attributes hide the element, and whether they name it as something else than main text (2: as comments)."""
+    hidden, named = False, 0
     for m in _ATTRIBUTE.finditer(attributes):
         name, value = m[1].lower(), m[2] or m[3] or m[4] or ""
         hidden |= name == "hidden" or (name == "aria-hidden" and value.strip().lower().startswith("true")) or (name == "style" and bool(_NO_DISPLAY.search(value)))
-        named |= name in _NAMED and bool(_HINT.search(value))
+        if name in _NAMED:
+            named = max(named, *map(_hint, value.split()), 0)
     return hidden, named
 
 
@@ -130,9 +146,17 @@ def blocks(page: str) -> list[tuple[str, int, int, bool, bool]]:
 
     A block is what stands between two block-level tags; white space in it is one space. Contents of scripts, styles and
     form fields are no text. A container that is never closed ends with the one around it.
+
+    A container with the name of something else than main text is noise, unless it is or holds an article or main element, or
+    the page has none elsewhere and the container holds half of the words outside links and outside what is noise by its tag: such
+    names tell how a page looks. Comments are noise unless they hold all of these words; articles in them are comments too.
     """
     out: list[tuple[str, int, int, bool, bool]] = []
-    stack: list[tuple[str, bool, bool]] = []  # containers: name, noise, main
+    under: list[int] = []  # of each block: the innermost named container around it, or -1
+    outer: list[int] = []  # of each named container: the named one around it, or -1
+    holds: list[bool] = []  # of each named container: whether an article or main element lies in it
+    kinds: list[int] = []  # of each named container: 2 if it names itself comments
+    stack: list[tuple[str, bool, bool, int]] = []  # containers: name, noise, main, the innermost named one
     hidden: list[str] = []
     inside: Counter[str] = Counter()  # names in stack
     covered: Counter[str] = Counter()  # names in hidden
@@ -147,8 +171,9 @@ def blocks(page: str) -> list[tuple[str, int, int, bool, bool]]:
             if whole:
                 linked = len(html.unescape(" ".join(x for x, in_link in text if in_link)).split()) if any(x for _, x in text) else 0
                 words = whole.count(" ") + 1
-                noise, main = (stack[-1][1], stack[-1][2]) if stack else (False, False)
+                noise, main, name_of = stack[-1][1:] if stack else (False, False, -1)
                 out.append((whole, words, min(words, linked), noise, main))
+                under.append(name_of)
             text.clear()
 
     tokens = _tokens(page)
@@ -158,7 +183,7 @@ def blocks(page: str) -> list[tuple[str, int, int, bool, bool]]:
         if not hidden and start > at:
             text.append((page[at:start], link > 0))
         at = end
-        gone, named = _meaning(attributes) if attributes and not closing else (False, False)
+        gone, named = _meaning(attributes) if attributes and not closing else (False, 0)
         if not name:
             pass
         elif closing:
@@ -198,9 +223,20 @@ def blocks(page: str) -> list[tuple[str, int, int, bool, bool]]:
             flush()
             link = 0
             if name in _NESTED and not attributes.endswith("/"):
-                noise, main = (stack[-1][1], stack[-1][2]) if stack else (False, False)
-                own = name in _NOISE or (named and name not in ("body", "main")) or (name == "header" and not main)
-                stack.append((name, noise or own, main or name in ("article", "main")))
+                noise, main, name_of = stack[-1][1:] if stack else (False, False, -1)
+                own = name in _NOISE or (name == "header" and not main)
+                # an article may be a reader's comment
+                article = name in ("article", "main") and named < 2 and (name_of < 0 or kinds[name_of] < 2)
+                while article and not noise and name_of >= 0 and not holds[name_of] and kinds[name_of] < 2:  # each is marked once
+                    holds[name_of] = True
+                    name_of = outer[name_of]
+                name_of = stack[-1][3] if stack else -1
+                if named and name not in ("body", "main") and not article:
+                    outer.append(name_of)
+                    holds.append(False)
+                    kinds.append(named)
+                    name_of = len(outer) - 1
+                stack.append((name, noise or own, main or article, name_of))
                 inside[name] += 1
         try:
             token = tokens.send(at)
@@ -209,7 +245,21 @@ def blocks(page: str) -> list[tuple[str, int, int, bool, bool]]:
     if not hidden and at < len(page):
         text.append((page[at:], link > 0))
     flush()
-    return out
+    plain = [words - linked if not noise else 0 for _, words, linked, noise, _ in out]
+    weight, total = [0] * len(outer), sum(plain)
+    for k, w in zip(under, plain, strict=True):
+        if k >= 0:
+            weight[k] += w
+    for k in range(len(outer) - 1, -1, -1):  # containers come after those around them
+        if outer[k] >= 0:
+            weight[outer[k]] += weight[k]
+    # a container that holds no article has none of its blocks in one, or lies in one itself
+    article = any(b[4] and not b[3] for b in out)
+    gone: list[bool] = []
+    for k, around in enumerate(outer):
+        own = weight[k] < max(total, 1) if kinds[k] == 2 else not holds[k] and (article or 2 * weight[k] < max(total, 1))
+        gone.append(own or (around >= 0 and gone[around]))
+    return [(*b[:3], b[3] or (k >= 0 and gone[k]), b[4]) for b, k in zip(out, under, strict=True)]
 
 
 def features(found: list[tuple[int, int, bool]]) -> list[tuple[float, ...]]:
@@ -266,16 +316,31 @@ def main_text(page: str | None, tree: tuple | None = None) -> str:
     found = blocks(page or "")
     tree = tree or trained()
     of = features([(words, linked, main) for _, words, linked, _, main in found])
-    return "\n".join(b[0] for b, f in zip(found, of, strict=True) if not b[3] and is_content(tree, f))
+    kept = [not b[3] and is_content(tree, f) for b, f in zip(found, of, strict=True)]
+    # blocks without links between two of the content belong to it, however short
+    last, open_ = -1, []
+    for i, (b, k) in enumerate(zip(found, kept, strict=True)):
+        if k:
+            for j in open_ if last >= 0 else ():
+                kept[j] = True
+            last, open_ = i, []
+        elif b[3]:
+            continue
+        elif b[2]:
+            last, open_ = -1, []
+        else:
+            open_.append(i)
+    return "\n".join(b[0] for b, k in zip(found, kept, strict=True) if k)
 
 
 def extract_pages(pages: DataFrame) -> DataFrame:
     """pages(page_id, url, html) -> (page_id, url, text, n_chars), a row for each row of pages; null html is empty.
 
     n_chars counts code points. Pages are read whole, one at a time, whatever their length, in a time that grows with it;
-    other columns are ignored, whatever their names, and repeated rows give equal results. An empty table gives no rows. What
-    menus, adverts, forms, comments and the like name themselves is no main text; the tree decides on all other blocks by their
-    word count and link density, those of their neighbours, and whether they lie in an article.
+    other columns are ignored, whatever their names, and repeated rows give equal results. An empty table gives no rows. The tree
+    decides on blocks by their word count and link density, those of their neighbours, and whether they lie in an article;
+    what lies in a menu, form and the like by its tag, or in a small container with such a name (see blocks), is no main text,
+    and blocks without links between two of the main text are.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -451,6 +451,23 @@ def test_html(spark):
     assert got[1].n_chars == len(html.main_text(page))
 
 
+def test_html_names():
+    """A name tells by whole parts and on small containers only: no article goes by one, comments go however many they are."""
+    p = lambda *ns: "".join(f"<p>{' '.join(f'w{n}x{i}' for i in range(n))}</p>" for n in ns)
+    words = lambda page: [len(x.split()) for x in html.main_text(page).split("\n")]
+    for x in ('div class="layout has-sidebar"', 'div class="post comments-open"', 'section class="social-sciences"', 'div class="sidebar"', 'div id="search"'):
+        end = x.split()[0]
+        assert words(f"<body><{x}><article>{p(60, 70)}</article></{end}></body>") == [60, 70]
+        assert words(f"<body><{x}>{p(60, 70)}</{end}></body>") == [60, 70]
+    assert words(f'<article class="post no-ads">{p(60, 70)}</article>') == [60, 70]
+    for x in ("ad", "ad_box", "sidebar-left", "siteFooter", "widget box", "comments", "comment-list"):
+        assert words(f'<body><div class="{x}">{p(40)}</div><div>{p(60, 70)}</div></body>') == [60, 70]
+        assert words(f'<body><article>{p(60, 70)}</article><div class="{x}">{p(200)}</div></body>') == [60, 70]
+    thread = f"<section id=comments><article class=comment>{p(200)}</article><article>{p(300)}</article></section>"
+    assert words(f"<body><div>{p(60, 70)}</div>{thread}</body>") == words(f"<body><article>{p(60, 70)}{thread}</article></body>") == [60, 70]
+    assert words(f"<body><a href=x>Home</a>{p(80, 1, 1, 2, 70)}</body>") == [80, 1, 1, 2, 70]
+
+
 def test_html_hidden_attribute():
     words = "an article text of enough words to stand as the content of this page " * 2
     for attribute in ('title="The hidden cost of tea"', 'class="flex hidden md:block"', "data-note='display:none'"):
