@@ -61,12 +61,13 @@ def _shingles(lines: DataFrame, size: int) -> DataFrame:
 def line_buckets(lines: DataFrame, how: Fuzzy) -> DataFrame:
     """lines(id, line) -> (bucket, id): the bands of each distinct line.
 
-    A band is three minima, any two bands share one at most. A line shorter than a shingle is similar to equal lines only, and
+    Repeated lines go before they are cut into shingles; what is left lies by id, as the minima need it, so texts are dealt
+    in place of minima. A band is three minima, any two bands share one at most. A line shorter than a shingle is similar to equal lines only, and
     those have one id already.
     """
     rng = random.Random(how.seed)
     orders = [(64 * i // how.minima, rng.getrandbits(64) - (1 << 63)) for i in range(how.minima)]
-    each = _shingles(lines.where(F.length("line") >= how.shingle), how.shingle)
+    each = _shingles(lines.where(F.length("line") >= how.shingle).dropDuplicates(["id"]), how.shingle)
     signed = each.groupBy("id").agg(*[F.min(_order(F.col("s"), *o)).alias(f"m{i}") for i, o in enumerate(orders)])
     bands = F.array(*[F.xxhash64(F.lit(i), *[f"m{(i + j) % how.minima}" for j in (0, 3, 8)]) for i in range(how.minima)])
     return signed.select(F.explode(bands).alias("bucket"), "id")
