@@ -8,6 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DataType
 
 from podium.llm.common import WORD, col, materialize, slices, text_buffer
 from podium.llm.hashing import LOWER, mix, window_hashes, word_hashes
@@ -175,12 +176,19 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, bands: i
     return _rows(docs, width, percent, bands, rows).drop("t")
 
 
+def _ordered(kind: DataType) -> bool:
+    """Whether Spark can order values of this type."""
+    return not any(x in kind.simpleString() for x in ("map<", "variant", "interval"))
+
+
 def drop_near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
-    """The rows of docs that near_duplicates keeps, with all their columns."""
+    """The rows of docs that near_duplicates keeps, with all their columns. Of rows with equal doc_id and text the one whose other
+    columns come first stays; columns without an order, such as maps, don't matter for that."""
     kept = _rows(docs, width, percent, BANDS, BAND_ROWS).where("kept and n_shingles > 0").select(F.col("doc_id").alias("d"), "t")
     with_word = F.coalesce(F.col("text").rlike(WORD), F.lit(False))
     keyed = _keyed(docs.where(with_word))
     # kept rows have distinct (d, t); of rows that are equal in these one stays
     of = keyed.join(kept.withColumnRenamed("t", "kt"), (keyed.t == F.col("kt")) & keyed.doc_id.cast("long").eqNullSafe(F.col("d")), "left_semi")
-    one = of.groupBy("t", "doc_id").agg(F.min(F.struct(*[col(c) for c in docs.columns])).alias("row")).select("row.*")
+    order = F.struct(F.lit(0), *[col(f.name) for f in docs.schema if f.name != "text" and _ordered(f.dataType)])
+    one = of.groupBy("t", "doc_id").agg(F.min_by(F.struct(*[col(c) for c in docs.columns]), order).alias("row")).select("row.*")
     return one.unionByName(docs.where(~with_word))

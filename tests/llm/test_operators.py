@@ -266,6 +266,16 @@ def test_fingerprints(spark, docs):
     assert fingerprints.fingerprint_documents(docs.where("doc_id = 3")).first().near_next == 1.0
 
 
+def test_drop_near_duplicates_unordered_columns(spark):
+    """Maps and variants may lie beside the text; repeated rows give one."""
+    text = " ".join(f"word{i}" for i in range(30))
+    df = spark.createDataFrame([(1, text), (1, text), (2, text + " more"), (3, "own words here"), (4, None)], "doc_id long, text string")
+    df = df.selectExpr("*", "map('a', doc_id) m", "array(map(1, 2)) `n.m`", "parse_json('{\"a\": 1}') v", "1 t")
+    got = minhash.drop_near_duplicates(df)
+    assert got.columns == df.columns
+    assert sorted((r.doc_id, r.m["a"]) for r in got.select("doc_id", "m").collect()) == [(1, 1), (3, 3), (4, 4)]
+
+
 def test_fuzzy_lines(spark):
     rng = random.Random(3)
     line = " ".join(rng.choice(["alpha", "beta", "gamma", "delta", "omega"]) + str(rng.randrange(90)) for _ in range(30))
