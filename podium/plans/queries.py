@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from podium.functions import text
 from podium.operators import matching, points, reports, runs
-from podium.plans import chart_queries, clean_queries, edit_queries, ingest_queries, library_queries, page_queries, text_queries
+from podium.plans import bridge_queries, chart_queries, clean_queries, edit_queries, ingest_queries, library_queries, page_queries, text_queries
 from podium.sources.entries import ENTRIES_SQL, archive, chart_entries, read_table
 from podium.streaming import events as ev
 
@@ -229,6 +229,7 @@ QUERIES: dict[str, tuple[Query, str | None]] = {
     **ingest_queries.QUERIES,
     **page_queries.QUERIES,
     **edit_queries.QUERIES,
+    **bridge_queries.QUERIES,
     # without an SQL twin: tests compare them with golden rows
     "normalised_keys": (lambda spark, sf: archive(spark, sf).select("artiest", "titel").distinct().select("artiest", "titel", text.song_key(F.col("artiest"), F.col("titel")).alias("sleutel")), None),
     "fuzzy_search": (_e(matching.fuzzy_search, "brand#12"), None),
