@@ -232,3 +232,17 @@ def rounded(value: Column, digits: int) -> Column:
 
 def subset_either_way(a: Column, b: Column) -> Column:
     return (F.size(F.array_except(a, b)) == 0) | (F.size(F.array_except(b, a)) == 0)
+
+
+def split_line(line: Column) -> Column:
+    """"artists - titles" of a shared place as an array of (artiest, titel), trimmed: cut at the first " - " that leaves as many
+    parts between " / " on both sides, two at least. Null where there is none, and for null."""
+    parts = F.split(line, " - ")
+
+    def cut(i: Column) -> Column:
+        side = lambda at, n: F.transform(F.split(F.array_join(F.slice(parts, at, n), " - "), " / "), lambda x: F.trim(x))
+        return F.struct(side(F.lit(1), i).alias("artiest"), side(i + 1, F.size(parts)).alias("titel"))
+
+    fits = lambda c: (F.size(c["artiest"]) == F.size(c["titel"])) & (F.size(c["titel"]) > 1)
+    cuts = F.filter(F.transform(F.sequence(F.lit(1), F.size(parts) - 1), cut), fits)
+    return F.when(F.size(parts) > 1, F.get(F.transform(cuts, lambda c: F.arrays_zip(c["artiest"].alias("artiest"), c["titel"].alias("titel"))), F.lit(0)))

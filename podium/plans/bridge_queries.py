@@ -1,10 +1,12 @@
-"""Queries of the spelling bridge: an outside source made from the archive, whose artists and titles are written otherwise there."""
+"""Queries of the spelling bridge, over an outside source made from the archive whose artists and titles are written otherwise there,
+and of lines of a source that hold several songs."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from podium.functions import text
 from podium.operators import bridge
 from podium.plans.edit_queries import _key
 from podium.sources.entries import ENTRIES_SQL, archive
@@ -37,6 +39,24 @@ def _rows(spark: SparkSession, sf: str) -> DataFrame:
     return out.groupBy("artiest", "titel").agg(F.count("*").alias("regels"), F.min("jaar").alias("eerste"))
 
 
+def _shared(spark: SparkSession, sf: str) -> DataFrame:
+    """Each three places of an edition as one line of a source, some titles with a part after a dash, back as songs."""
+    e = archive(spark, sf).withColumn("titel", F.expr(_DASHED))
+    of = e.groupBy("lijst", "jaar", "week", F.expr("(positie - 1) div 3").alias("rij")).agg(F.array_sort(F.collect_list(F.struct("positie", "sleutel", "artiest", "titel"))).alias("r"))
+    line = F.concat(F.array_join("r.artiest", " / "), F.lit(" - "), F.array_join("r.titel", " / "))
+    each = of.select("lijst", "jaar", "week", "rij", F.posexplode_outer(text.split_line(line)).alias("deel", "p"))
+    return each.select("lijst", "jaar", "week", F.col("rij").cast("int").alias("rij"), "deel", "p.artiest", "p.titel")
+
+
+_DASHED = "case when positie % 2 = 0 then titel || ' - Live' else titel end"
+_SHARED_SQL = (
+    f"with recursive {ENTRIES_SQL.strip()}, r as (select lijst, jaar, week, cast((positie - 1) // 3 as integer) rij, string_agg(artiest, ' / ' order by positie, sleutel, artiest) || ' - ' || string_agg({_DASHED}, ' / ' order by positie, sleutel, artiest) vol from e group by all), "
+    "c as (select lijst, jaar, week, rij, unnest(range(1, len(string_split(vol, ' - ')))) i, string_split(vol, ' - ') d from r), "
+    "s as (select lijst, jaar, week, rij, i, string_split(array_to_string(d[1:i], ' - '), ' / ') a, string_split(array_to_string(d[i + 1:], ' - '), ' / ') t from c), "
+    "b as (select lijst, jaar, week, rij, arg_min(a, i) a, arg_min(t, i) t from s where len(a) = len(t) and len(a) > 1 group by all), "
+    "x as (select lijst, jaar, week, rij, unnest(range(0, len(a))) k, a, t from b) "
+    "select lijst, jaar, week, rij, cast(k as integer) deel, trim(a[k + 1]) artiest, trim(t[k + 1]) titel from x right join r using (lijst, jaar, week, rij)"
+)
 _LOOSE = "regexp_replace(lower(strip_accents({})), '[^a-z0-9]', '', 'g')"
 _ARTISTS_SQL = (
     f"with recursive {ENTRIES_SQL.strip()}, s as (select {_SOURCE} artiest, {_TITLE} titel, jaar from e), a as (select {_ARCHIVE} artiest, titel from e), "
@@ -53,6 +73,7 @@ _TITLES_SQL = (
     f"z as (select artiest, {_LOOSE.format('titel')} los, min(titel) wordt from a group by all), t as (select artiest, titel, wordt from o join z using (artiest, los)) "
 )
 QUERIES = {
+    "shared_lines": (_shared, _SHARED_SQL),
     "bridge_artists": (_artists, _ARTISTS_SQL + "select artiest, naam, trap from b"),
     "bridge_titles": (_titles, _TITLES_SQL + "select artiest, titel, wordt from t"),
     "bridged_source": (

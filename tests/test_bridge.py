@@ -1,5 +1,8 @@
 """The spelling bridge: levels in order, ties, maps by hand, titles that stay songs of their own."""
 
+from pyspark.sql import functions as F
+
+from podium.functions import text
 from podium.operators import bridge
 
 ARCHIVE = [
@@ -41,3 +44,14 @@ def test_titles_and_rows(spark):
         ("The Lamps", "Night Bus", 1), ("The Lamps", "Night Bus", 1), ("The Lamps", "Night Bus (Live)", 2), ("The Be Gees", "Word Up", 3), ("De Kade", "Water", 4),
         ("Foo", "Aqua", 5), ("Het Orkest", "Mars", 6), (None, "x", 7), ("De Kade", None, 8),
     ]
+
+
+def test_lines_of_shared_places(spark):
+    want = {
+        "Ann / Bo - Hill / Dale": [("Ann", "Hill"), ("Bo", "Dale")],
+        "Ann / Bo - Hill - Live / Dale": [("Ann", "Hill - Live"), ("Bo", "Dale")],
+        "Jan - Piet / Bo - Hill / Dale ": [("Jan - Piet", "Hill"), ("Bo", "Dale")],
+        "Ann - Hill": None, "Ann / Bo - Hill": None, "Ann": None, "": None, None: None, "A / B / C - x / y / z": [("A", "x"), ("B", "y"), ("C", "z")],
+    }
+    df = spark.createDataFrame([(k,) for k in want], "regel string").withColumn("p", text.split_line(F.col("regel")))
+    assert {r.regel: r.p and [tuple(x) for x in r.p] for r in df.collect()} == want
