@@ -131,3 +131,17 @@ def test_partitioned_overwrite(spark, tmp_path):
     write_entries(entries(spark, [("t", 2020, 1, 1, "a|b"), ("t", 2021, 1, 1, "a|b")]), path)
     write_entries(entries(spark, [("t", 2021, 1, 1, "c|d"), ("t", 2021, 1, 2, "e|f")]), path)
     assert sorted((r.jaar, r.sleutel) for r in read_entries(spark, path).collect()) == [(2020, "a|b"), (2021, "c|d"), (2021, "e|f")]
+
+
+def test_lines_are_dealt_out_by_their_number(spark):
+    from podium.sources.entries import chart_entries
+
+    sf = "/root/testdata/sf0.001"
+    entries = chart_entries(spark, sf)
+    few = chart_entries(spark, sf, rows=500)
+    n = -(-spark.read.parquet(f"{sf}/lineitem.parquet").count() // 500)
+    plan = few._jdf.queryExecution().executedPlan().toString()
+    # both charts sum their lines in as many tasks as there are lines for, and nothing is dealt out again before the sums are cut
+    assert n > spark.sparkContext.defaultParallelism and plan.count("REPARTITION_BY_NUM") == 2
+    assert all(f", {n})" in line for line in plan.splitlines() if "REPARTITION_BY_NUM" in line)
+    assert sorted(map(tuple, few.collect())) == sorted(map(tuple, entries.collect()))
