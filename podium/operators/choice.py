@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections import defaultdict
+
+import pandas as pd
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from podium.operators.ordering import ranked
 from podium.sources.storage import discard, written
 
 
@@ -57,3 +61,67 @@ def choose_in_turn(options: DataFrame, group: list[str], order: str = "rang", we
     for c in chosen:
         out = out.unionByName(c)
     return (out if "wacht" in options.columns else out.drop("wacht")), (gone if weak is not None else None)
+
+
+def take_in_turn(turns: DataFrame, wishes: DataFrame, stock: DataFrame, group: list[str], block: int = 500_000) -> DataFrame:
+    """turns(group..., hun, wie), wishes(group..., wie, soort, score), stock(group..., ons, soort) -> (group..., hun, ons, score).
+
+    Within a group, those of `hun` take turns by id. Each takes the smallest id left of the kinds that its own kind (wie) wishes for
+    most; without any left it takes none.
+
+    Kinds stand for all their rows, so what is carried grows with rows and with pairs of kinds, not with pairs of rows. Who takes
+    what depends on all turns before, and where many want the same few rows, hardly two turns of a group can be settled side by
+    side. So a group's turns go in blocks of about `block` wishes, one block after the other and groups side by side: a task
+    holds one block, the wishes of its kinds, and of each kind wished for the next rows, as many as the block can take at most.
+    """
+    several = wishes.groupBy(*group, "wie").agg(F.count("*").alias("n"))
+    placed = ranked(turns.join(several, [*group, "wie"]), [*group, "hun"], "beurt")
+    # wishes before a turn, summed by ranges of turns first, so that no task sorts a whole group
+    reach = placed.withColumn("vak", F.floor(F.col("beurt") / 10_000))
+    vak = reach.groupBy(*group, "vak").agg(F.sum("n").alias("som")).withColumn("voor", F.sum("som").over(Window.partitionBy(*group).orderBy("vak")) - F.col("som")).drop("som")
+    own = F.sum("n").over(Window.partitionBy(*group, "vak").orderBy("hun").rowsBetween(Window.unboundedPreceding, 0)) - F.col("n")
+    queue = written(reach.withColumn("eigen", own).join(vak, [*group, "vak"]).select(*group, "hun", "wie", F.floor((F.col("voor") + F.col("eigen")) / F.lit(block)).alias("blok")), "beurten")
+    stock = written(stock.withColumn("nr", F.row_number().over(Window.partitionBy(*group, "soort").orderBy("ons"))), "voorraad")
+    wishes = written(wishes, "wensen")
+    schema = ", ".join([*[f"`{f.name}` {f.dataType.simpleString()}" for f in turns.select(*group).schema], "hun long, ons long, soort long, score double"])
+    blocks = [r[0] for r in queue.select("blok").distinct().orderBy("blok").collect()]
+    none = queue.where("false").select(*group, "hun").withColumns({"ons": F.lit(None).cast("long"), "soort": F.lit(None).cast("long"), "score": F.lit(None).cast("double")})
+    chosen, used = [none], none.groupBy(*group, "soort").agg(F.count("*").alias("op"))
+    for b in blocks:
+        now = queue.where(F.col("blok") == b)
+        asks = now.groupBy(*group, "wie").agg(F.count("*").alias("vragers")).join(wishes, [*group, "wie"])
+        most = asks.groupBy(*group, "soort").agg(F.sum("vragers").alias("hoogstens")).join(used, [*group, "soort"], "left").withColumn("op", F.coalesce("op", F.lit(0)))
+        ready = stock.join(most, [*group, "soort"]).where((F.col("nr") > F.col("op")) & (F.col("nr") <= F.col("op") + F.col("hoogstens")))
+        row = lambda d, a, c, x: d.select(*group, F.col(a).alias("__a"), F.col(c).alias("__b"), x.cast("double").alias("__x"))
+        rows = row(asks, "wie", "soort", F.col("score")).unionByName(row(now, "hun", "wie", F.lit(-1))).unionByName(row(ready, "ons", "soort", F.lit(-2)))
+        taken = written(rows.groupBy(*group).applyInPandas(lambda key, x: _block(key, x, group), schema), "gekozen")
+        chosen.append(taken)
+        used = written(used.unionByName(taken.groupBy(*group, "soort").agg(F.count("*").alias("op"))).groupBy(*group, "soort").agg(F.sum("op").alias("op")), "op")
+    out = chosen[0]
+    for c in chosen[1:]:
+        out = out.unionByName(c)
+    return out.select(*group, "hun", "ons", "score")
+
+
+def _block(key: tuple, rows: pd.DataFrame, group: list[str]) -> pd.DataFrame:
+    """One block's turns: rows (__a, __b, __x) are wishes (wie, soort, score), turns (hun, wie, -1) and stock (ons, soort, -2)."""
+    a, b, x = (rows[c].to_numpy() for c in ("__a", "__b", "__x"))
+    levels: dict = defaultdict(lambda: defaultdict(list))  # of each kind, what it wishes for, by score
+    for wie, soort, score in zip(a[x >= 0].tolist(), b[x >= 0].tolist(), x[x >= 0].tolist()):
+        levels[wie][score].append(soort)
+    wants = {wie: sorted(kinds.items(), reverse=True) for wie, kinds in levels.items()}
+    left: dict = defaultdict(list)  # of each kind wished for, the ids, the smallest last
+    for ons, soort in sorted(zip(a[x == -2].tolist(), b[x == -2].tolist()), reverse=True):
+        left[soort].append(ons)
+    out = []
+    for hun, wie in sorted(zip(a[x == -1].tolist(), b[x == -1].tolist())):
+        for score, kinds in wants[wie]:
+            kinds[:] = [k for k in kinds if left.get(k)]
+            if kinds:
+                first = min(kinds, key=lambda k: left[k][-1])
+                out.append((hun, left[first].pop(), first, score))
+                break
+    found = pd.DataFrame(out, columns=["hun", "ons", "soort", "score"])
+    for name, value in zip(reversed(group), reversed(key)):
+        found.insert(0, name, value)
+    return found

@@ -145,3 +145,33 @@ def test_lines_are_dealt_out_by_their_number(spark):
     assert n > spark.sparkContext.defaultParallelism and plan.count("REPARTITION_BY_NUM") == 2
     assert all(f", {n})" in line for line in plan.splitlines() if "REPARTITION_BY_NUM" in line)
     assert sorted(map(tuple, few.collect())) == sorted(map(tuple, entries.collect()))
+
+
+def test_links_of_many_copies_take_few_jobs(spark):
+    """Names that all want the same rows: turns as a plain loop has them, in blocks of any size, not a round of jobs a turn."""
+    names = ["aa bb", "aa cc", "bb cc", "aa dd ee"]
+    theirs = [(k % 2, 100 + k, names[k % 3]) for k in range(80)]
+    ours = [(k % 2, k, names[3] if k % 5 else names[k % 3]) for k in range(70)]
+    want = set()
+    for g in (0, 1):
+        free = {i: set(n.split()) for h, i, n in ours if h == g}
+        left = []
+        for _, i, n in sorted(r for r in theirs if r[0] == g):
+            same = [j for j in sorted(free) if free[j] == set(n.split())]
+            if same:
+                want.add((g, i, same[0]))
+                del free[same[0]]
+            else:
+                left.append((i, set(n.split())))
+        for i, w in left:
+            found = [(-len(w & x) / len(w | x), j) for j, x in free.items() if len(w & x) / len(w | x) >= 0.25]
+            if found:
+                want.add((g, i, min(found)[1]))
+                del free[min(found)[1]]
+    of = lambda rows: spark.createDataFrame(rows, "g int, id long, naam string")
+    spark.sparkContext.setJobGroup("links", "links")
+    got = {(r.g, r.hun, r.ons) for r in reconciling.link_by_words(of(theirs), of(ours), ["g"], 0.25).collect()}
+    jobs = len(spark.sparkContext.statusTracker().getJobIdsForGroup("links"))
+    spark.sparkContext.setJobGroup("", "")
+    assert got == want and len(want) > 50 and jobs < 150
+    assert {(r.g, r.hun, r.ons) for r in reconciling.link_by_words(of(theirs), of(ours), ["g"], 0.25, block=15).collect()} == want
