@@ -23,7 +23,7 @@ _ODD_BYTE = np.zeros(256, bool)
 _ODD_BYTE[[9, 11, 12, 13, 28, 29, 30, 31]] = True
 _ODD_PAIRS = ("  ", "\n\n", " \n", "\n ", "<|")
 _WIDE_SPACES = "\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
-#: A cached piece and its ids take about 300 bytes; a worker keeps them for its next task.
+#: A cached piece and its ids take about 300 bytes; a worker keeps so many, unless told otherwise, for its next task.
 _CACHE_PIECES = 200_000
 
 
@@ -44,9 +44,10 @@ class Encoder:
 
     _CUT = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, cached: int = _CACHE_PIECES):
         from tokenizers import Tokenizer
 
+        self._cached = cached
         self._tokenizer = Tokenizer.from_file(path)
         self._letters = _byte_letters()
         with open(path, encoding="utf-8") as f:
@@ -114,7 +115,7 @@ class Encoder:
 
     def __call__(self, texts: list[str]) -> list[np.ndarray]:
         odd = {i for i, x in enumerate(texts) if not self._known or any(p in x for p in _ODD_PAIRS) or _odd_space(x)}
-        if len(self._place) > _CACHE_PIECES:
+        if len(self._place) > self._cached:
             self.clear()
         plain = iter(self._plain([x for i, x in enumerate(texts) if i not in odd]))
         whole = iter(self._encode([texts[i] for i in sorted(odd)]))
@@ -139,13 +140,13 @@ def _odd_space(text: str) -> bool:
 
 
 @lru_cache(4)
-def encoder(path: str) -> Encoder:
-    return Encoder(path)
+def encoder(path: str, cached: int) -> Encoder:
+    return Encoder(path, cached)
 
 
-def _pieces(tokenizer: str, most: int, end_id: int):
+def _pieces(tokenizer: str, most: int, end_id: int, cached: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(tokenizer)
+        encode = encoder(tokenizer, cached)
         for batch in batches:
             for part in slices(batch, "text", 1_000_000):
                 texts = [x or "" for x in part.column("text").to_pylist()]
@@ -226,18 +227,19 @@ def _place(table: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]):
     return run
 
 
-def pack_documents(docs: DataFrame, tokenizer: str, most: int = 1024, end_id: int = 0) -> DataFrame:
+def pack_documents(docs: DataFrame, tokenizer: str, most: int = 1024, end_id: int = 0, cached: int = _CACHE_PIECES) -> DataFrame:
     """docs(doc_id, text) -> (doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset), a row for each piece.
 
     A document's ids are those of the tokenizer file (without special tokens), then end_id; null text is empty. They are
     cut into pieces of `most` and a rest. The histogram of piece lengths (at most `most` numbers) gives the packing
     patterns; pieces of a length are ranked - within hash slots, then by the slots' counts - and the rank names the
     sequence and the offset. Sequences are numbered from 0 and filled without gaps from offset 0. Repeated rows and equal
-    or null doc_ids are packed each for itself; other columns are ignored. An empty table gives no pieces.
+    or null doc_ids are packed each for itself; other columns are ignored. An empty table gives no pieces. A worker keeps
+    the ids of about `cached` pieces of text from task to task: time for memory, the result is the same.
     """
     slots = 4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     cut = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    cut = cut.mapInArrow(_pieces(tokenizer, most, end_id), "doc_id long, start long, length long, ids_crc32 long, doc_tokens long")
+    cut = cut.mapInArrow(_pieces(tokenizer, most, end_id, cached), "doc_id long, start long, length long, ids_crc32 long, doc_tokens long")
     cut = materialize(cut.withColumn("slot", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), F.lit(slots))), "pieces")
     counts = materialize(cut.groupBy("length", "slot").agg(F.count("*").alias("n")), "counts")
     histogram = {r[0]: r[1] for r in counts.groupBy("length").agg(F.sum("n")).collect()}  # at most `most` rows

@@ -484,3 +484,12 @@ def test_html_hidden_attribute():
         assert html.main_text(f"<article><p {attribute}>{words}</p></article>") == words.strip()
     for attribute in ("hidden", 'class=x hidden=""', 'style="color:red; display: none"', "aria-hidden=true"):
         assert html.main_text(f"<article><p {attribute}>{words}</p></article>") == ""
+
+
+def test_encoder_keeps_as_many_pieces_as_told():
+    path = pytest.importorskip("public_tokenizers").path("byte_bpe_50k.json")
+    few, many = packing.Encoder(path, 100), packing.Encoder(path, 1_000)
+    texts = [" ".join(f"w{k}x" for k in range(500)), "w1x and others", "w2x"]
+    for text in texts:
+        assert few([text])[0].tolist() == many([text])[0].tolist() == many._encode([text])[0]
+    assert len(few._place) < 10 and len(many._place) > 500
