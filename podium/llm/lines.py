@@ -14,8 +14,8 @@ from pyspark.sql import functions as F
 from podium.llm.common import col, materialize
 from podium.llm.near import Sets, similar_classes, sketch_words
 
-#: Words of 64 bits of a line's sketch.
-SKETCH = 8
+#: Words of 64 bits of a line's sketch. Fewer are full at some hundred characters and then tell no lines apart.
+SKETCH = 32
 
 
 @dataclass(frozen=True)
@@ -73,6 +73,17 @@ def line_buckets(lines: DataFrame, how: Fuzzy) -> DataFrame:
     return signed.select(F.explode(bands).alias("bucket"), "id")
 
 
+def line_sketches(lines: DataFrame, how: Fuzzy) -> DataFrame:
+    """lines(id, line), distinct -> (id, n, words): as near.Sets has it; n counts repeats too. A shingle sets a bit of one word, so four words are
+    made for each row and lie side by side after that."""
+    s = F.col("s")
+    four = F.shiftrightunsigned(s, 8).bitwiseAND(F.lit(SKETCH // 4 - 1)).cast("int")
+    each = _shingles(lines.repartition("id"), how.shingle).select("id", "s", four.alias("four"))
+    rows = each.groupBy("id", "four").agg(F.count("*").alias("k"), *[w.alias(f"w{i}") for i, w in enumerate(sketch_words(s, 4))])
+    words = [F.coalesce(F.max(F.when(F.col("four") == w // 4, F.col(f"w{w % 4}"))), F.lit(0).cast("long")) for w in range(SKETCH)]
+    return rows.groupBy("id").agg(F.sum("k").alias("n"), F.array(*words).alias("words"))
+
+
 def _bound(value: Column, f) -> Column:
     """f of a value that is computed once: a column inside a lambda would be computed again for each element."""
     return F.element_at(F.transform(F.array(value), f), 1)
@@ -111,8 +122,7 @@ def fuzzy_classes(lines: DataFrame, how: Fuzzy) -> DataFrame:
         return kept.join(ids, "id", "left_semi").select("id", F.explode(_set(F.col("line"), how.shingle)).alias("s"))
 
     def sketch(kept: DataFrame) -> DataFrame:
-        words = F.array(*sketch_words(F.col("s"), SKETCH))
-        return _shingles(kept, how.shingle).groupBy("id").agg(F.count("*").alias("n"), words.alias("words"))
+        return line_sketches(kept, how)
 
     return similar_classes(line_buckets(lines, how), prepare, verify, Sets(sketch, elements, how.percent, SKETCH, exact=False))
 

@@ -17,7 +17,7 @@ import math
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from podium.llm.common import discard, materialize
@@ -40,10 +40,10 @@ class Sets:
     exact: bool = True
     most: int = 200
 
-    def fits(self) -> str:
+    def fits(self, words: int | None = None) -> str:
         """Over x and y: two sets whose sketches differ in d bits differ in d elements at least, and the elements in which
-        similar sets differ are a bounded share of all. So this never loses a link."""
-        differ = " + ".join(f"bit_count(x.words[{w}] ^ y.words[{w}])" for w in range(self.words))
+        similar sets differ are a bounded share of all. So this never loses a link, whether it takes all words or the first ones."""
+        differ = " + ".join(f"bit_count(x.words[{w}] ^ y.words[{w}])" for w in range(words or self.words))
         sizes = f"least(x.n, y.n) * 100 >= greatest(x.n, y.n) * {self.percent} and " if self.exact else ""
         return f"{sizes}({differ}) * {100 + self.percent} <= {100 - self.percent} * (x.n + y.n)"
 
@@ -57,6 +57,15 @@ def with_class(rows: DataFrame, found: DataFrame) -> DataFrame:
     return rows.join(found.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
 
 
+def shared_buckets(buckets: DataFrame) -> DataFrame:
+    """buckets(bucket, id) -> (bucket, id, hub) of the buckets with several ids; hub is the smallest. One pass over the sorted
+    rows: a join with the hubs could make all buckets twice."""
+    order = Window.partitionBy("bucket").orderBy("id")
+    hub, after = F.first("id").over(order.rowsBetween(Window.unboundedPreceding, 0)), F.lead("id").over(order)
+    each = buckets.select("bucket", "id", hub.alias("hub"), after.alias("after"))
+    return each.where("id != hub or after != hub").select("bucket", "id", "hub")
+
+
 def open_buckets(met: DataFrame, found: DataFrame) -> DataFrame:
     """Rows of buckets that have several components, with component and the bucket's main one (that of its hub)."""
     rows = with_class(met, found)
@@ -112,10 +121,14 @@ def settle(rows: DataFrame, store: DataFrame, known: DataFrame, sets: Sets) -> D
     rows = materialize(rows.select("bucket", "id", "component", size.alias("size")), "parts")
     key = ["bucket", "size"]
     each = rows.join(_mains(rows, key), key)
-    small = _strangers_met(each.where(F.col("m") <= sets.most).join(known, "id"), key, sets.fits())
+    # the same rows meet in many buckets: there by a few words of their sketches, which is little code, then once by all words
+    few = min(sets.words, 8)
+    rough = known.select("id", "n", F.slice("words", 1, few).alias("words"))
+    small = _strangers_met(each.where(F.col("m") <= sets.most).join(rough, "id"), key, sets.fits(few))
+    small = sets.likely(small.distinct(), known)
     large = materialize(each.where(F.col("m") > sets.most).select("id", "component").distinct(), "large")
     if large.isEmpty():
-        return small.distinct()
+        return small
     return small.unionByName(_by_prefix(large, sets.elements(large.select("id"), store), sets.percent)).distinct()
 
 
@@ -125,9 +138,7 @@ def similar_classes(buckets: DataFrame, prepare: Callable[[DataFrame], DataFrame
     Only ids with a link are returned. An id may be in many buckets; one in a bucket of its own is never compared. prepare
     gets the ids (id) that share a bucket with another and makes what verify needs of them, once.
     """
-    buckets = buckets.select("bucket", "id").repartition("bucket")  # dealt once, for both sides of the join
-    hubs = buckets.groupBy("bucket").agg(F.min("id").alias("hub"), F.max("id").alias("last"))
-    met = materialize(buckets.join(hubs.where("hub < last").select("bucket", "hub"), "bucket"), "buckets")
+    met = materialize(shared_buckets(buckets), "buckets")
     store = prepare(met.select("id").distinct())
     known = materialize(sets.sketch(store), "sketches")
     star = met.where("id != hub").groupBy("id").agg(F.min("hub").alias("hub"))

@@ -327,6 +327,41 @@ def test_fuzzy_lines_recall(spark):
     assert met.select("pair").distinct().count() == 3000
 
 
+def test_fuzzy_lines_buckets_once(spark, monkeypatch):
+    """Lines are cut into shingles once for all buckets; shared buckets as by a plain loop."""
+    rng = random.Random(6)
+    rows = [(rng.randrange(12), rng.randrange(-9, 9)) for _ in range(60)] + [(99, 5), (99, 5), (98, 1)]
+    members = {}
+    for k, i in rows:
+        members.setdefault(k, set()).add(i)
+    want = {(k, i, min(m)) for k, m in members.items() if len(m) > 1 for i in m}
+    got = near.shared_buckets(spark.createDataFrame(rows, "bucket long, id long"))
+    assert {tuple(r) for r in got.select("bucket", "id", "hub").collect()} == want
+    plans, real = [], near.materialize
+    monkeypatch.setattr(near, "materialize", lambda df, name: (name == "buckets" and plans.append(df._jdf.queryExecution().executedPlan().toString()), real(df, name))[1])
+    docs = spark.createDataFrame([(i, f"a line of some forty letters, number {i}") for i in range(20)], "doc_id long, text string")
+    assert lines.dedup_lines(docs).agg(F.sum("n_removed")).first()[0] > 0
+    assert len(plans) == 1 and plans[0].count("Generate explode(sequence(") == 1
+
+
+def test_fuzzy_lines_sketches(spark):
+    """Bits by hand; sketches of lines of 900 characters that share a third of their text tell them apart."""
+    rng = random.Random(7)
+    word = lambda n: "".join(rng.choice("abcdefghijklmnopqrstuvwxyzäß😀") for _ in range(n))
+    shared = word(300)
+    rows = [(1, shared + word(600)), (2, shared + word(600)), (3, "ab" * 200), (4, word(9))]
+    df = spark.createDataFrame(rows, "id long, line string")
+    got = {r.id: (r.n, list(r.words)) for r in lines.line_sketches(df, lines.Fuzzy()).collect()}
+    for r in lines._shingles(df, 7).groupBy("id").agg(F.collect_list("s").alias("s")).collect():
+        words = [0] * lines.SKETCH
+        for s in r.s:
+            words[(s >> 6) % lines.SKETCH] |= 1 << (s % 64)
+        assert got[r.id] == (len(r.s), [w - (1 << 64) if w >> 63 else w for w in words])
+    sets = near.Sets(None, None, 80, lines.SKETCH, exact=False)
+    pairs = spark.createDataFrame([(1, 2), (1, 1), (3, 3)], "a long, b long")
+    assert {tuple(r) for r in sets.likely(pairs, lines.line_sketches(df, lines.Fuzzy())).collect()} == {(1, 1), (3, 3)}
+
+
 def test_toxicity(spark):
     rng = random.Random(4)
     plain = [f"word{i}" for i in range(300)]
