@@ -149,7 +149,7 @@ def _rows(docs: DataFrame, width: int, percent: int, bands: int, rows: int) -> D
     def elements(ids: DataFrame, sets: DataFrame) -> DataFrame:
         return sets.join(ids, "id", "left_semi").select("id", F.explode("shingles").alias("s"))
 
-    found = similar_classes(buckets, prepare, verify, Sets(sketch, elements, percent, SKETCH))
+    found = similar_classes(buckets, prepare, verify, Sets(sketch, elements, percent, SKETCH, parity=True))
     # each linked set with the first row of its component
     linked = leads.join(found.withColumnRenamed("node", "id"), "id").select("key1", "key2", "component", "first")
     linked = linked.join(linked.groupBy("component").agg(F.min("first").alias("top")), "component").select("key1", "key2", "top")

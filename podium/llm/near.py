@@ -31,7 +31,7 @@ Verify = Callable[[DataFrame, DataFrame], DataFrame]
 class Sets:
     """What tells pairs that can't be links from those that may be. sketch(store) -> (id, n, words array<long>): a set's size
     (exact, or at least that large) and its sketch. elements(ids, store) -> (id, s): the distinct elements of sets. percent: of
-    a link. words: of a sketch. most: rows of a part that are compared with each other."""
+    a link. words: of a sketch. most: rows of a part that are compared with each other. parity: whether a sketch's bits are parities."""
 
     sketch: Callable[[DataFrame], DataFrame]
     elements: Callable[[DataFrame, DataFrame], DataFrame]
@@ -39,14 +39,21 @@ class Sets:
     words: int
     exact: bool = True
     most: int = 200
+    parity: bool = False
 
     def fits(self, words: int | None = None) -> str:
         """Over x and y: two sets whose sketches differ in d bits differ in d elements at least, and the elements in which
-        similar sets differ are a bounded share of all. So this never loses a link, whether it takes all words or the first ones."""
+        similar sets differ are a bounded share of all. So this never loses a link, whether it takes all words or folded ones."""
         differ = " + ".join(f"bit_count(x.words[{w}] ^ y.words[{w}])" for w in range(words or self.words))
         sizes = f"least(x.n, y.n) * 100 >= greatest(x.n, y.n) * {self.percent} and " if self.exact else ""
         return f"{sizes}({differ}) * {100 + self.percent} <= {100 - self.percent} * (x.n + y.n)"
 
+    def folded(self, known: DataFrame, words: int) -> DataFrame:
+        """known with short sketches that all elements still have a part in: words laid over each other are a sketch of fewer slots."""
+        fold = " ^ " if self.parity else " | "
+        short = [F.expr(fold.join(f"words[{w}]" for w in range(i, self.words, words))) for i in range(words)]
+        return known.select("id", "n", F.array(*short).alias("words"))
+
     def likely(self, pairs: DataFrame, known: DataFrame) -> DataFrame:
         """The pairs (a, b) that may be links."""
         x, y = known.select(F.col("id").alias("a"), F.struct("n", "words").alias("x")), known.select(F.col("id").alias("b"), F.struct("n", "words").alias("y"))
@@ -95,19 +102,19 @@ def _strangers_met(each: DataFrame, key: list[str], fits: str) -> DataFrame:
     return met.select(F.expr("least(x.id, y.id)").alias("a"), F.expr("greatest(x.id, y.id)").alias("b"))
 
 
-def _by_prefix(ids: DataFrame, elements: DataFrame, percent: int) -> DataFrame:
-    """ids(id, component), elements(id, s) -> pairs that may be links: two sets that are similar share one of the first
-    n - ceil(percent * n / 100) + 1 of their elements in any common order. Rare elements come first in it."""
+def _by_prefix(ids: DataFrame, elements: DataFrame, percent: int, rough: DataFrame, fits: str) -> DataFrame:
+    """ids(id, component), elements(id, s), rough(id, words) -> pairs that may be links: two sets that are similar share one of
+    the first n - ceil(percent * n / 100) + 1 of their elements in any common order. Rare elements come first in it."""
     counts = elements.groupBy("s").agg(F.count("*").alias("f"))
     order = elements.join(counts, "s").groupBy("id").agg(F.sort_array(F.collect_list(F.struct("f", "s"))).alias("o"))
     order = order.withColumn("n", F.size("o").cast("long"))
     first = order.select("id", "n", F.posexplode(F.slice("o", F.lit(1), (F.col("n") - F.ceil(F.col("n") * percent / 100.0) + 1).cast("int"))).alias("pos", "e"))
     rows = first.where("e.f > 1").select("id", "n", "pos", "e.s").join(ids, "id")
     rows = materialize(rows, "prefixes")
-    each = rows.join(_mains(rows, ["s"]), "s")
+    each = rows.join(_mains(rows, ["s"]), "s").join(rough, "id")
     left = f"(least(x.n - x.pos, y.n - y.pos)) * {100 + percent} >= {percent} * (x.n + y.n)"
     sizes = f"least(x.n, y.n) * 100 >= greatest(x.n, y.n) * {percent}"
-    return _strangers_met(each, ["s"], f"{sizes} and {left}")
+    return _strangers_met(each, ["s"], f"{sizes} and {left} and {fits}")
 
 
 def settle(rows: DataFrame, store: DataFrame, known: DataFrame, sets: Sets) -> DataFrame:
@@ -121,15 +128,15 @@ def settle(rows: DataFrame, store: DataFrame, known: DataFrame, sets: Sets) -> D
     rows = materialize(rows.select("bucket", "id", "component", size.alias("size")), "parts")
     key = ["bucket", "size"]
     each = rows.join(_mains(rows, key), key)
-    # the same rows meet in many buckets: there by a few words of their sketches, which is little code, then once by all words
+    # the same rows meet in many buckets: there by short sketches, which are little code, then once by all words
     few = min(sets.words, 8)
-    rough = known.select("id", "n", F.slice("words", 1, few).alias("words"))
-    small = _strangers_met(each.where(F.col("m") <= sets.most).join(rough, "id"), key, sets.fits(few))
-    small = sets.likely(small.distinct(), known)
+    rough = sets.folded(known, few)
+    pairs = _strangers_met(each.where(F.col("m") <= sets.most).join(rough, "id"), key, sets.fits(few))
     large = materialize(each.where(F.col("m") > sets.most).select("id", "component").distinct(), "large")
-    if large.isEmpty():
-        return small
-    return small.unionByName(_by_prefix(large, sets.elements(large.select("id"), store), sets.percent)).distinct()
+    if not large.isEmpty():
+        elements = sets.elements(large.select("id"), store)
+        pairs = pairs.unionByName(_by_prefix(large, elements, sets.percent, rough.select("id", "words"), sets.fits(few)))
+    return sets.likely(pairs.distinct(), known)
 
 
 def similar_classes(buckets: DataFrame, prepare: Callable[[DataFrame], DataFrame], verify: Verify, sets: Sets) -> DataFrame:

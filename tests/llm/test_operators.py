@@ -113,6 +113,31 @@ def test_settle(spark, most, exact):
     assert {(r.a, r.b) for r in sets_.likely(spark.createDataFrame(sorted(pairs | links), "a long, b long"), known).collect()} >= links
 
 
+@pytest.mark.parametrize(("most", "parity"), [(200, True), (3, True), (200, False), (3, False)])
+def test_settle_near_group(spark, monkeypatch, most, parity):
+    """A group whose members share most elements without being links: they don't meet, real links among them do."""
+    rng = np.random.default_rng(5)
+    passage = rng.integers(-(2**62), 2**62, 40).tolist()
+    sets = {i: {*passage, *rng.integers(-(2**62), 2**62, 7).tolist()} for i in range(60)}
+    sets |= {100 + i: {*sorted(sets[i])[1:], 7} for i in range(0, 60, 10)}
+    store = spark.createDataFrame([(i, sorted(s)) for i, s in sets.items()], "id long, s array<long>")
+    rows = spark.createDataFrame([(k, i, i) for i in sets for k in (0, 1)], "bucket long, id long, component long")
+
+    def words(s):
+        at = Counter((e >> 6) % 32 * 64 + e % 64 for e in s)
+        bits = sum(1 << k for k, n in at.items() if n % 2 or not parity)
+        return [w - (1 << 64) if w >> 63 else w for w in (bits >> 64 * i & (1 << 64) - 1 for i in range(32))]
+
+    known = spark.createDataFrame([(i, len(s), words(s)) for i, s in sets.items()], "id long, n long, words array<long>")
+    elements = lambda ids, store: store.join(ids, "id", "left_semi").select("id", F.explode("s").alias("s"))
+    met, real = [], near._strangers_met
+    monkeypatch.setattr(near, "_strangers_met", lambda *a: (met.append(real(*a)), met[-1])[1])
+    pairs = {(r.a, r.b) for r in near.settle(rows, store, known, near.Sets(None, elements, 80, 32, True, most, **({"parity": True} if parity else {}))).collect()}
+    links = {(a, b) for a in sets for b in sets if a < b and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])}
+    assert len(links) == 6 and links <= pairs and len(pairs) < 60
+    assert sum(m.count() for m in met) < 600  # all pairs of a bucket: 2145
+
+
 def test_quality(spark, docs):
     got = {r.doc_id: r for r in quality.score_quality(docs).collect()}
     for i, t, *_ in corpus():
