@@ -147,6 +147,20 @@ def test_lines_are_dealt_out_by_their_number(spark):
     assert sorted(map(tuple, few.collect())) == sorted(map(tuple, entries.collect()))
 
 
+def test_editions_go_to_few_tasks(spark):
+    """Each task sends all places of an edition that it has lines of: many small editions stay in few tasks, one large edition is spread."""
+    from podium.sources.entries import _dealt
+
+    def tasks_of(editions, lines):
+        sold = spark.range(lines).select(F.col("id").alias("l_partkey"), (F.col("id") % editions).alias("week"))
+        dealt = _dealt(sold, ["week"], 40, 500).select("week", F.spark_partition_id().alias("task"))
+        of = dealt.groupBy("week").agg(F.countDistinct("task").alias("n")).agg(F.max("n")).first()[0]
+        return of, dealt.groupBy("task").count().agg(F.max("count")).first()[0]
+
+    many, one = tasks_of(400, 20_000), tasks_of(1, 20_000)
+    assert many[0] == 1 and many[1] < 1500 and one[0] > 35 and one[1] < 1500
+
+
 def test_links_of_many_copies_take_few_jobs(spark):
     """Names that all want the same rows: turns as a plain loop has them, in blocks of any size, not a round of jobs a turn."""
     names = ["aa bb", "aa cc", "bb cc", "aa dd ee"]
