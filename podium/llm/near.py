@@ -1,9 +1,11 @@
 """From banded buckets to verified classes, without all pairs of a bucket.
 
-A bucket's smallest member is its hub. Star edges hub - member are checked first and joined into components. Members whose
+In buckets of a few rows all meet all, which settles them at once; a row meets few others there, however many such buckets there are.
+
+A larger bucket's smallest member is its hub. Star edges hub - member are checked with those pairs and joined into components. Members whose
 component differs from their bucket's main one ("strangers") are then checked against the smallest stranger and the hub of
-each of their buckets. Pairs within a component need no check: they are linked already. So a group of n near copies costs
-about n checks.
+each of their larger buckets. Pairs within a component need no check: they are linked already. So a group of n near copies costs
+about n checks. Where no larger bucket has strangers, as on small tables, nothing follows.
 
 What is still open is settled exactly. Buckets are split by set size where it is known, so that only sets meet whose sizes allow a link. In a
 part of at most `most` rows strangers meet the others, which bounds the pairs by `most` for each row; the sets of larger parts
@@ -23,6 +25,11 @@ from pyspark.sql import functions as F
 from podium.llm.common import discard, materialize
 from podium.llm.components import components
 
+#: Rows of a bucket in which all meet all.
+FEW = 16
+#: Words of a short sketch: little code where the same rows meet in many buckets.
+SHORT = 8
+
 #: (pairs(a, b), what prepare made) -> those of them that are similar, (a, b)
 Verify = Callable[[DataFrame, DataFrame], DataFrame]
 
@@ -65,12 +72,23 @@ def with_class(rows: DataFrame, found: DataFrame) -> DataFrame:
 
 
 def shared_buckets(buckets: DataFrame) -> DataFrame:
-    """buckets(bucket, id) -> (bucket, id, hub) of the buckets with several ids; hub is the smallest. One pass over the sorted
-    rows: a join with the hubs could make all buckets twice."""
+    """buckets(bucket, id) -> (bucket, id, hub, m) of the buckets with several ids; hub is the smallest, m counts the rows. One pass
+    over the sorted rows: a join with the hubs could make all buckets twice."""
     order = Window.partitionBy("bucket").orderBy("id")
     hub, after = F.first("id").over(order.rowsBetween(Window.unboundedPreceding, 0)), F.lead("id").over(order)
-    each = buckets.select("bucket", "id", hub.alias("hub"), after.alias("after"))
-    return each.where("id != hub or after != hub").select("bucket", "id", "hub")
+    many = F.count("*").over(order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    each = buckets.select("bucket", "id", hub.alias("hub"), after.alias("after"), many.alias("m"))
+    return each.where("id != hub or after != hub").select("bucket", "id", "hub", "m")
+
+
+def first_pairs(met: DataFrame, known: DataFrame, sets: Sets) -> DataFrame:
+    """Rows (bucket, id, hub, m) of shared buckets -> pairs (a, b), a < b, that may be links, repeats too: all of buckets of a few rows, a star of each
+    larger one, in which an id meets the smallest of its hubs."""
+    few = min(sets.words, SHORT)
+    each = met.where(F.col("m") <= FEW).select("bucket", "id").join(sets.folded(known, few), "id")
+    pairs = each.alias("x").join(each.alias("y"), F.expr(f"x.bucket = y.bucket and x.id < y.id and {sets.fits(few)}"))
+    star = met.where((F.col("m") > FEW) & (F.col("id") != F.col("hub"))).groupBy("id").agg(F.min("hub").alias("hub"))
+    return pairs.select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).unionByName(star.select(F.col("hub").alias("a"), F.col("id").alias("b")))
 
 
 def open_buckets(met: DataFrame, found: DataFrame) -> DataFrame:
@@ -128,8 +146,8 @@ def settle(rows: DataFrame, store: DataFrame, known: DataFrame, sets: Sets) -> D
     rows = materialize(rows.select("bucket", "id", "component", size.alias("size")), "parts")
     key = ["bucket", "size"]
     each = rows.join(_mains(rows, key), key)
-    # the same rows meet in many buckets: there by short sketches, which are little code, then once by all words
-    few = min(sets.words, 8)
+    # the same rows meet in many buckets: there by short sketches, then once by all words
+    few = min(sets.words, SHORT)
     rough = sets.folded(known, few)
     pairs = _strangers_met(each.where(F.col("m") <= sets.most).join(rough, "id"), key, sets.fits(few))
     large = materialize(each.where(F.col("m") > sets.most).select("id", "component").distinct(), "large")
@@ -148,23 +166,21 @@ def similar_classes(buckets: DataFrame, prepare: Callable[[DataFrame], DataFrame
     met = materialize(shared_buckets(buckets), "buckets")
     store = prepare(met.select("id").distinct())
     known = materialize(sets.sketch(store), "sketches")
-    star = met.where("id != hub").groupBy("id").agg(F.min("hub").alias("hub"))
-    links = materialize(verify(sets.likely(star.select(F.col("hub").alias("a"), F.col("id").alias("b")), known), store), "links")
+    links = materialize(verify(sets.likely(first_pairs(met, known, sets).distinct(), known), store), "links")
     found = _joined(None, links)
-    strangers = open_buckets(met, found).where("component != main")
-    seconds = strangers.groupBy("bucket").agg(F.min("id").alias("second"))
-    met_second = strangers.join(seconds, "bucket")
-    more = met_second.select(F.least("id", "second").alias("a"), F.greatest("id", "second").alias("b")).unionByName(
-        met_second.select(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b"))
-    )
-    more = materialize(sets.likely(more.where("a != b").distinct(), known), "pairs")
-    found = _joined(found, materialize(verify(more, store), "links"))
-    rows = materialize(open_buckets(met, found), "open")
+    rows = materialize(open_buckets(met.where(F.col("m") > FEW), found), "open")
     if not rows.isEmpty():
-        last = materialize(settle(rows, store, known, sets), "pairs")
+        strangers = rows.where("component != main").select("bucket", "id", "hub")
+        seconds = strangers.groupBy("bucket").agg(F.min("id").alias("second"))
+        met_second = strangers.join(seconds, "bucket")
+        more = met_second.select(F.least("id", "second").alias("a"), F.greatest("id", "second").alias("b")).unionByName(
+            met_second.select(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b"))
+        )
+        found = _joined(found, materialize(verify(sets.likely(more.where("a != b").distinct(), known), store), "links"))
+        last = materialize(settle(open_buckets(rows.select("bucket", "id", "hub"), found), store, known, sets), "pairs")
         found = _joined(found, materialize(verify(last, store), "links"))
         discard(last)
-    discard(met, store, known, more, rows)
+    discard(met, store, known, rows)
     return found
 
 

@@ -369,6 +369,33 @@ def test_fuzzy_lines_buckets_once(spark, monkeypatch):
     assert len(plans) == 1 and plans[0].count("Generate explode(sequence(") == 1
 
 
+def test_similar_classes_rounds(spark, monkeypatch):
+    """Small buckets are settled in one round, whatever strangers they hold; a group larger than these in the rounds that follow."""
+    rng = np.random.default_rng(9)
+    base = rng.integers(-(2**62), 2**62, (3, 60)).tolist()
+    own = lambda k: rng.integers(-(2**62), 2**62, k).tolist()
+    small = {i: {*base[i % 2][: 58 - i % 3], *own(2)} for i in range(8)} | {8: {*own(60)}}
+    large = small | {i: {*base[2], *own(2)} for i in range(100, 140)}  # hub 8 isn't like any of them
+    links_of = lambda sets: {(a, b) for a in sets for b in sets if a < b and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])}
+    real, names = near.materialize, []
+    monkeypatch.setattr(near, "materialize", lambda df, name: (names.append(name), real(df, name))[1])
+    for sets, members, rounds in ((small, [range(9)], 1), (large, [range(9), [8, *range(100, 140)]], 2)):
+        links = links_of(sets)
+        of = {i: i for i in sets}
+        for _ in sets:
+            of = {i: min([of[i], *[of[a + b - i] for a, b in links if i in (a, b)]]) for i in sets}
+        store = spark.createDataFrame([(i, sorted(s)) for i, s in sets.items()], "id long, s array<long>")
+        elements = lambda ids, store: store.join(ids, "id", "left_semi").select("id", F.explode("s").alias("s"))
+        sketch = lambda store: store.select("id", F.explode("s").alias("s")).groupBy("id").agg(F.count("*").alias("n"), F.array(*near.sketch_words(F.col("s"), 32)).alias("words"))
+        verified = spark.createDataFrame(sorted(links), "a long, b long")
+        verify = lambda pairs, store, v=verified: pairs.join(v, ["a", "b"])
+        buckets = spark.createDataFrame([(k, i) for k, m in enumerate(members) for i in m], "bucket long, id long")
+        names.clear()
+        found = near.similar_classes(buckets, lambda ids, store=store: real(store.join(ids, "id", "left_semi"), "store"), verify, near.Sets(sketch, elements, 80, 32))
+        assert {r.node: r.component for r in found.collect()} == {i: c for i, c in of.items() if any(i in x for x in links)}
+        assert names.count("classes") == rounds and ("parts" in names) == (rounds > 1)
+
+
 def test_fuzzy_lines_sketches(spark):
     """Bits by hand; sketches of lines of 900 characters that share a third of their text tell them apart."""
     rng = random.Random(7)
