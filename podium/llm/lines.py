@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 from podium.llm.common import col, materialize
 from podium.llm.near import Sets, similar_classes, sketch_words
 
+#: Shingles of a row while minima are taken: a row is looked up by its line's id once for all of them.
+AT_ONCE = 8
 #: Words of 64 bits of a line's sketch. Fewer are full at some hundred characters and then tell no lines apart.
 SKETCH = 32
 
@@ -58,6 +60,15 @@ def _shingles(lines: DataFrame, size: int) -> DataFrame:
     return each.select("id", F.xxhash64(F.substring(F.col("wide"), F.col("at"), F.lit(4 * size))).alias("s"))
 
 
+def _shingle_rows(lines: DataFrame, size: int) -> DataFrame:
+    """lines(id, line) -> (id, s0, s1, ...): the hashes of consecutive shingles; the last one fills up its row."""
+    wide = lines.select("id", _wide(F.col("line")).alias("wide"))
+    last = F.greatest(F.lit(1), F.length("wide") - (4 * size - 1))
+    each = wide.select("id", "wide", last.alias("last"), F.explode(F.sequence(F.lit(1), last, F.lit(4 * AT_ONCE))).alias("at"))
+    at = [F.least(F.col("at") + 4 * j, F.col("last")) for j in range(AT_ONCE)]
+    return each.select("id", *[F.xxhash64(F.substring(F.col("wide"), a, F.lit(4 * size))).alias(f"s{j}") for j, a in enumerate(at)])
+
+
 def line_buckets(lines: DataFrame, how: Fuzzy) -> DataFrame:
     """lines(id, line) -> (bucket, id): the bands of each distinct line.
 
@@ -67,8 +78,9 @@ def line_buckets(lines: DataFrame, how: Fuzzy) -> DataFrame:
     """
     rng = random.Random(how.seed)
     orders = [(64 * i // how.minima, rng.getrandbits(64) - (1 << 63)) for i in range(how.minima)]
-    each = _shingles(lines.where(F.length("line") >= how.shingle).dropDuplicates(["id"]), how.shingle)
-    signed = each.groupBy("id").agg(*[F.min(_order(F.col("s"), *o)).alias(f"m{i}") for i, o in enumerate(orders)])
+    each = _shingle_rows(lines.where(F.length("line") >= how.shingle).dropDuplicates(["id"]), how.shingle)
+    least = [F.least(*[_order(F.col(f"s{j}"), *o) for j in range(AT_ONCE)]) for o in orders]
+    signed = each.groupBy("id").agg(*[F.min(x).alias(f"m{i}") for i, x in enumerate(least)])
     bands = F.array(*[F.xxhash64(F.lit(i), *[f"m{(i + j) % how.minima}" for j in (0, 3, 8)]) for i in range(how.minima)])
     return signed.select(F.explode(bands).alias("bucket"), "id")
 

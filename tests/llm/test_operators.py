@@ -396,6 +396,16 @@ def test_similar_classes_rounds(spark, monkeypatch):
         assert names.count("classes") == rounds and ("parts" in names) == (rounds > 1)
 
 
+def test_fuzzy_lines_at_once(spark):
+    """Rows of several shingles hold those of the line and no others; looked up by id, they are an eighth of the shingles."""
+    rows = [(n, "".join(chr(97 + (i * i + n) % 26) for i in range(n)) + "é😀"[: n % 3]) for n in range(7, 60)]
+    df = spark.createDataFrame(rows, "id long, line string")
+    got = lines._shingle_rows(df, 7)
+    each = got.select("id", F.explode(F.array(*[f"s{j}" for j in range(lines.AT_ONCE)])).alias("s"))
+    assert {tuple(r) for r in each.distinct().collect()} == {tuple(r) for r in lines._shingles(df, 7).distinct().collect()}
+    assert got.count() == sum(-(-(len(t) - 6) // 8) for _, t in rows)
+
+
 def test_fuzzy_lines_sketches(spark):
     """Bits by hand; sketches of lines of 900 characters that share a third of their text tell them apart."""
     rng = random.Random(7)
