@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from podium.llm.common import col, materialize
-from podium.llm.near import Sets, similar_classes, sketch_words
+from podium.llm.near import Sets, Signed, similar_classes, sketch_words
 
 #: Shingles of a row while minima are taken: a row is looked up by its line's id once for all of them.
 AT_ONCE = 8
@@ -23,19 +23,22 @@ SKETCH = 32
 @dataclass(frozen=True)
 class Fuzzy:
     """shingle: characters of a shingle. percent: least 100 * intersection / union. minima: of a signature, and as many bands
-    of three of them. Two lines at 80 % share no band with a probability of about 1e-4 (simulated), whatever their length.
+    of four of them. Two lines at 80 % share no band with a probability of about 3e-5 (simulated), whatever their length. Lines that
+    have a phrase or two in common rarely share four minima; with bands of three such pairs grew with the square of the lines.
 
     Minima are over all shingles of every line that isn't blank, so lines with equal sets share all bands.
     """
 
     shingle: int = 7
     percent: int = 80
-    minima: int = 20
+    minima: int = 36
     seed: int = 11
 
     def __post_init__(self):
-        if self.minima < 17:
+        if self.minima < 13:
             raise ValueError("bands of fewer minima share more than one of them")
+        if -(-self.minima // 2) % 5 == 0:
+            raise ValueError("some orders would be turned alike")
 
 
 def _trimmed(line: Column) -> Column:
@@ -47,8 +50,8 @@ def _wide(line: Column) -> Column:
 
 
 def _order(s: Column, turn: int, mask: int) -> Column:
-    """One of the orders of a 64-bit hash: its bits rotated, then some of them flipped."""
-    turned = F.shiftleft(s, turn).bitwiseOR(F.shiftrightunsigned(s, 64 - turn)) if turn else s
+    """One of the orders of a 32-bit hash: its bits rotated, then some of them flipped."""
+    turned = F.shiftleft(s, turn).bitwiseOR(F.shiftrightunsigned(s, 32 - turn)) if turn else s
     return turned.bitwiseXOR(F.lit(mask))
 
 
@@ -69,20 +72,27 @@ def _shingle_rows(lines: DataFrame, size: int) -> DataFrame:
     return each.select("id", *[F.xxhash64(F.substring(F.col("wide"), a, F.lit(4 * size))).alias(f"s{j}") for j, a in enumerate(at)])
 
 
-def line_buckets(lines: DataFrame, how: Fuzzy) -> DataFrame:
-    """lines(id, line) -> (bucket, id): the bands of each distinct line.
+def line_signatures(lines: DataFrame, how: Fuzzy) -> Signed:
+    """lines(id, line) -> the minima of each distinct line, and the bands made of them.
 
-    Repeated lines go before they are cut into shingles; what is left lies by id, as the minima need it, so texts are dealt
-    in place of minima. A band is three minima, any two bands share one at most. A line shorter than a shingle is similar to equal lines only, and
-    those have one id already.
+    Minima are taken where lines lie, and those of repeated lines put together by id, so minima are dealt in place of texts. They are
+    of the halves of 64-bit hashes in turn: chance makes two of four bytes equal in one of 2**32. A band is four minima, any two
+    bands share one at most. A line shorter than a shingle is similar to equal lines only, and those have one id already.
     """
-    rng = random.Random(how.seed)
-    orders = [(64 * i // how.minima, rng.getrandbits(64) - (1 << 63)) for i in range(how.minima)]
-    each = _shingle_rows(lines.where(F.length("line") >= how.shingle).dropDuplicates(["id"]), how.shingle)
-    least = [F.least(*[_order(F.col(f"s{j}"), *o) for j in range(AT_ONCE)]) for o in orders]
+    rng, turns = random.Random(how.seed), -(-how.minima // 2)
+    # five turns on each time: the orders of a band lie far apart, or few shingles would come first in several of them together
+    orders = [(i % 2, 32 * (5 * (i // 2) % turns) // turns, rng.getrandbits(32) - (1 << 31)) for i in range(how.minima)]
+    each = _shingle_rows(lines.where(F.length("line") >= how.shingle), how.shingle)
+    half = (lambda s: F.shiftright(s, 32), lambda s: F.shiftright(F.shiftleft(s, 32), 32))
+    each = each.select("id", *[h(F.col(f"s{j}")).cast("int").alias(f"h{k}_{j}") for k, h in enumerate(half) for j in range(AT_ONCE)])
+    least = [F.least(*[_order(F.col(f"h{k}_{j}"), turn, mask) for j in range(AT_ONCE)]) for k, turn, mask in orders]
     signed = each.groupBy("id").agg(*[F.min(x).alias(f"m{i}") for i, x in enumerate(least)])
-    bands = F.array(*[F.xxhash64(F.lit(i), *[f"m{(i + j) % how.minima}" for j in (0, 3, 8)]) for i in range(how.minima)])
-    return signed.select(F.explode(bands).alias("bucket"), "id")
+    return Signed(signed, [F.xxhash64(F.lit(i), *[f"m{(i + j) % how.minima}" for j in (0, 1, 4, 6)]) for i in range(how.minima)])
+
+
+def line_buckets(lines: DataFrame, how: Fuzzy) -> DataFrame:
+    """lines(id, line) -> (bucket, id): the bands of each distinct line."""
+    return line_signatures(lines, how).dealt()
 
 
 def line_sketches(lines: DataFrame, how: Fuzzy) -> DataFrame:
@@ -136,7 +146,7 @@ def fuzzy_classes(lines: DataFrame, how: Fuzzy) -> DataFrame:
     def sketch(kept: DataFrame) -> DataFrame:
         return line_sketches(kept, how)
 
-    return similar_classes(line_buckets(lines, how), prepare, verify, Sets(sketch, elements, how.percent, SKETCH, exact=False))
+    return similar_classes(line_signatures(lines, how), prepare, verify, Sets(sketch, elements, how.percent, SKETCH, exact=False))
 
 
 def dedup_lines(docs: DataFrame, how: Fuzzy | None = None) -> DataFrame:

@@ -18,6 +18,7 @@ from __future__ import annotations
 import math
 from collections.abc import Callable
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -29,6 +30,8 @@ from podium.llm.components import components
 FEW = 16
 #: Words of a short sketch: little code where the same rows meet in many buckets.
 SHORT = 8
+#: Buckets of an id that are dealt out at a time, where they are made of written rows.
+BANDS = 9
 
 #: (pairs(a, b), what prepare made) -> those of them that are similar, (a, b)
 Verify = Callable[[DataFrame, DataFrame], DataFrame]
@@ -67,6 +70,18 @@ class Sets:
         return pairs.join(x, "a").join(y, "b").where(self.fits()).select("a", "b")
 
 
+@dataclass(frozen=True)
+class Signed:
+    """rows(id, ...): one for each id, what its buckets are made of. buckets: they, as columns of those."""
+
+    rows: DataFrame
+    buckets: list[Column]
+
+    def dealt(self) -> DataFrame:
+        """(bucket, id), all of them."""
+        return self.rows.select(F.explode(F.array(*self.buckets)).alias("bucket"), "id")
+
+
 def with_class(rows: DataFrame, found: DataFrame) -> DataFrame:
     return rows.join(found.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
 
@@ -81,6 +96,16 @@ def shared_buckets(buckets: DataFrame) -> DataFrame:
     return each.where("id != hub or after != hub").select("bucket", "id", "hub", "m")
 
 
+def shared_in_turns(signed: Signed) -> list[DataFrame]:
+    """The shared buckets, written. Rows are written first and their buckets dealt out a few at a time, so that all of them never lie on
+    the disk at once: they take far more room than what they are made of, and than those of them that are shared."""
+    rows = materialize(signed.rows, "buckets")
+    turns = [Signed(rows, signed.buckets[i : i + BANDS]) for i in range(0, len(signed.buckets), BANDS)]
+    met = [materialize(shared_buckets(turn.dealt()), "shared") for turn in turns]
+    discard(rows)
+    return met
+
+
 def first_pairs(met: DataFrame, known: DataFrame, sets: Sets) -> DataFrame:
     """Rows (bucket, id, hub, m) of shared buckets -> pairs (a, b), a < b, that may be links, repeats too: all of buckets of a few rows, a star of each
     larger one, in which an id meets the smallest of its hubs."""
@@ -157,13 +182,14 @@ def settle(rows: DataFrame, store: DataFrame, known: DataFrame, sets: Sets) -> D
     return sets.likely(pairs.distinct(), known)
 
 
-def similar_classes(buckets: DataFrame, prepare: Callable[[DataFrame], DataFrame], verify: Verify, sets: Sets) -> DataFrame:
-    """buckets(bucket long, id long) -> (node, component): the classes of ids under verified links.
+def similar_classes(buckets: DataFrame | Signed, prepare: Callable[[DataFrame], DataFrame], verify: Verify, sets: Sets) -> DataFrame:
+    """buckets(bucket long, id long), or what they are made of -> (node, component): the classes of ids under verified links.
 
     Only ids with a link are returned. An id may be in many buckets; one in a bucket of its own is never compared. prepare
     gets the ids (id) that share a bucket with another and makes what verify needs of them, once.
     """
-    met = materialize(shared_buckets(buckets), "buckets")
+    shared = shared_in_turns(buckets) if isinstance(buckets, Signed) else [materialize(shared_buckets(buckets), "buckets")]
+    met = reduce(DataFrame.unionByName, shared)
     store = prepare(met.select("id").distinct())
     known = materialize(sets.sketch(store), "sketches")
     links = materialize(verify(sets.likely(first_pairs(met, known, sets).distinct(), known), store), "links")
@@ -180,7 +206,7 @@ def similar_classes(buckets: DataFrame, prepare: Callable[[DataFrame], DataFrame
         last = materialize(settle(open_buckets(rows.select("bucket", "id", "hub"), found), store, known, sets), "pairs")
         found = _joined(found, materialize(verify(last, store), "links"))
         discard(last)
-    discard(met, store, known, rows)
+    discard(*shared, store, known, rows)
     return found
 
 

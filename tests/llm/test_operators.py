@@ -369,6 +369,30 @@ def test_fuzzy_lines_buckets_once(spark, monkeypatch):
     assert len(plans) == 1 and plans[0].count("Generate explode(sequence(") == 1
 
 
+def test_fuzzy_lines_phrases_in_common(spark):
+    """Few lines that have only a phrase or two in common share a bucket: such pairs grow with the square of the lines."""
+    rng = random.Random(4)
+    phrases = ["".join(rng.choices("abcdefghijklmnopqrstuvwxyz ", k=20)) for _ in range(400)]
+    rows = [(i, " ".join(rng.sample(phrases, 12))) for i in range(3000)]
+    met = near.shared_buckets(lines.line_buckets(spark.createDataFrame(rows, "id long, line string"), lines.Fuzzy()))
+    assert met.select("id").distinct().count() < 1000
+
+
+def test_fuzzy_lines_dealt_in_turns(spark, monkeypatch):
+    """Neither texts nor all buckets are dealt out at once; the shared ones are those of one pass."""
+    plans, real = [], near.materialize
+    monkeypatch.setattr(near, "materialize", lambda df, name: (plans.append((name, df._jdf.queryExecution().executedPlan().toString())), real(df, name))[1])
+    rng = random.Random(4)
+    own = ["".join(rng.choices("abcdefghijklmnopqrstuvwxyz ", k=120)) for _ in range(30)]
+    df = spark.createDataFrame([(2 * i + k, x[: 115 + 5 * k]) for i, x in enumerate(own) for k in (0, 1)], "id long, line string")
+    signed = lines.line_signatures(df, lines.Fuzzy())
+    turns = near.shared_in_turns(signed)
+    assert len(turns) == -(-len(signed.buckets) // near.BANDS) > 1 and [name for name, _ in plans] == ["buckets", *["shared"] * len(turns)]
+    assert plans[0][1].count("Exchange hashpartitioning(id#") == plans[0][1].count("Exchange ") == 1
+    got = [tuple(r) for t in turns for r in t.collect()]
+    assert len(got) >= 60 and sorted(got) == sorted(map(tuple, near.shared_buckets(lines.line_buckets(df, lines.Fuzzy())).collect()))
+
+
 def test_similar_classes_rounds(spark, monkeypatch):
     """Small buckets are settled in one round, whatever strangers they hold; a group larger than these in the rounds that follow."""
     rng = np.random.default_rng(9)
