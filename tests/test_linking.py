@@ -70,6 +70,19 @@ def test_similar_pairs_are_all_pairs(spark):
     assert got == {(a, b) for a, b in combinations(names, 2) if a[:2] == b[:2] and abs(len(a) - len(b)) <= 3 and likeness(a, b) >= 0.8}
 
 
+def test_typo_proposals_are_all_pairs(spark):
+    """Also of names that differ in their first two characters, or by more than three in length."""
+    names = some_keys(8)
+    names = sorted({*names, *["#" + x[1:] for x in names[::3]], *[x + " 1234"[: 4 + len(x) % 2] for x in names[1::3]], "ibrahim ferrer", "ybrahim ferrer", "the rook and the raven", "the rook and the ravenous"})
+    n = {x: (1, 8, 9, 12)[i % 4] for i, x in enumerate(names)} | {"ibrahim ferrer": 9, "ybrahim ferrer": 1, "the rook and the raven": 9}
+    e = spark.createDataFrame([(x,) for x, k in n.items() for _ in range(k)] + [(None,), ("",)], "artiest string")
+    got = {(r.a, r.b, r.n_a, r.n_b) for r in matching.typo_proposals(e).collect()}
+    bare = lambda x: x.lower().removeprefix("the ")
+    want = {(a, b, n[a], n[b]) for a, b in combinations(names, 2) if min(n[a], n[b]) <= 8 <= max(n[a], n[b]) and bare(a) != bare(b) and likeness(a, b) >= 0.9}
+    assert got == want and ("ibrahim ferrer", "ybrahim ferrer", 9, 1) in got
+    assert any(a[:2] != b[:2] for a, b, *_ in got) and any(abs(len(a) - len(b)) > 3 for a, b, *_ in got)
+
+
 def test_verdict_counts_whole_weeks_between(spark):
     weeks = {"a": [1, 2], "b": [6, 7], "c": [7], "d": [2, 9], "e": [3]}
     e = spark.createDataFrame([("t", 2020, w, 1, k) for k, ws in weeks.items() for w in ws], "lijst string, jaar int, week int, positie int, sleutel string")
