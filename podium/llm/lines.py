@@ -23,21 +23,21 @@ SKETCH = 32
 @dataclass(frozen=True)
 class Fuzzy:
     """shingle: characters of a shingle. percent: least 100 * intersection / union. minima: of a signature, and as many bands
-    of four of them. Two lines at 80 % share no band with a probability of about 3e-5 (simulated), whatever their length. Lines that
-    have a phrase or two in common rarely share four minima; with bands of three such pairs grew with the square of the lines.
+    of five of them. Two lines at 80 % share no band with a probability of about 5e-5 (simulated), whatever their length. Lines that
+    have a phrase or two in common hardly ever share five minima; with bands of three or four such pairs grow with the square of the lines.
 
     Minima are over all shingles of every line that isn't blank, so lines with equal sets share all bands.
     """
 
     shingle: int = 7
     percent: int = 80
-    minima: int = 36
+    minima: int = 48
     seed: int = 11
 
     def __post_init__(self):
-        if self.minima < 13:
+        if self.minima < 23:
             raise ValueError("bands of fewer minima share more than one of them")
-        if -(-self.minima // 2) % 5 == 0:
+        if -(-self.minima // 2) % 7 == 0:
             raise ValueError("some orders would be turned alike")
 
 
@@ -76,18 +76,18 @@ def line_signatures(lines: DataFrame, how: Fuzzy) -> Signed:
     """lines(id, line) -> the minima of each distinct line, and the bands made of them.
 
     Minima are taken where lines lie, and those of repeated lines put together by id, so minima are dealt in place of texts. They are
-    of the halves of 64-bit hashes in turn: chance makes two of four bytes equal in one of 2**32. A band is four minima, any two
+    of the halves of 64-bit hashes in turn: chance makes two of four bytes equal in one of 2**32. A band is five minima, any two
     bands share one at most. A line shorter than a shingle is similar to equal lines only, and those have one id already.
     """
     rng, turns = random.Random(how.seed), -(-how.minima // 2)
-    # five turns on each time: the orders of a band lie far apart, or few shingles would come first in several of them together
-    orders = [(i % 2, 32 * (5 * (i // 2) % turns) // turns, rng.getrandbits(32) - (1 << 31)) for i in range(how.minima)]
+    # seven turns on each time: the orders of a band lie far apart, or few shingles would come first in several of them together
+    orders = [(i % 2, 32 * (7 * (i // 2) % turns) // turns, rng.getrandbits(32) - (1 << 31)) for i in range(how.minima)]
     each = _shingle_rows(lines.where(F.length("line") >= how.shingle), how.shingle)
     half = (lambda s: F.shiftright(s, 32), lambda s: F.shiftright(F.shiftleft(s, 32), 32))
     each = each.select("id", *[h(F.col(f"s{j}")).cast("int").alias(f"h{k}_{j}") for k, h in enumerate(half) for j in range(AT_ONCE)])
     least = [F.least(*[_order(F.col(f"h{k}_{j}"), turn, mask) for j in range(AT_ONCE)]) for k, turn, mask in orders]
     signed = each.groupBy("id").agg(*[F.min(x).alias(f"m{i}") for i, x in enumerate(least)])
-    return Signed(signed, [F.xxhash64(F.lit(i), *[f"m{(i + j) % how.minima}" for j in (0, 1, 4, 6)]) for i in range(how.minima)])
+    return Signed(signed, [F.xxhash64(F.lit(i), *[f"m{(i + j) % how.minima}" for j in (0, 1, 4, 9, 11)]) for i in range(how.minima)])
 
 
 def line_buckets(lines: DataFrame, how: Fuzzy) -> DataFrame:

@@ -31,7 +31,7 @@ FEW = 16
 #: Words of a short sketch: little code where the same rows meet in many buckets.
 SHORT = 8
 #: Buckets of an id that are dealt out at a time, where they are made of written rows.
-BANDS = 9
+BANDS = 12
 
 #: (pairs(a, b), what prepare made) -> those of them that are similar, (a, b)
 Verify = Callable[[DataFrame, DataFrame], DataFrame]
